@@ -1,19 +1,21 @@
-"""Difference hash and sharpness of a row-major numeric grid held in an array column."""
+"""Difference hash and sharpness of a row-major numeric grid held in an array column.
 
-from __future__ import annotations
+``grid`` and ``gray`` are column names (or SQL text of an array).
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
 # Quality thresholds on 0..255 gray levels.
 MIN_BRIGHTNESS, MAX_BRIGHTNESS, MIN_SHARPNESS = 45.0, 225.0, 60.0
 # Luma weights.
 LUMA = (0.299, 0.587, 0.114)
 
 
-def dhash(grid: Column, rows: int, cols: int) -> Column:
+def dhash(grid: str, rows: int, cols: int) -> Column:
     """Bit = right cell greater than left cell, row-major, most significant bit first.
 
     The grid has at most 64 neighbouring pairs, so the bits are unrolled.
@@ -23,53 +25,55 @@ def dhash(grid: Column, rows: int, cols: int) -> Column:
         raise ValueError("a difference hash holds at most 64 bits")
     top = len(pairs) - 1
     bits = [
-        F.shiftleft((F.get(grid, at + 1) > F.get(grid, at)).cast("bigint"), top - i)
+        f"shiftleft(CAST(get({grid}, {at + 1}) > get({grid}, {at}) AS BIGINT), {top - i})"
         for i, at in enumerate(pairs)
     ]
-    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+    while len(bits) > 1:
+        bits = [" | ".join(bits[i : i + 2]) for i in range(0, len(bits), 2)]
+        bits = [f"({b})" for b in bits]
+    return F.expr(bits[0])
 
 
 def luma(red: Column, green: Column, blue: Column) -> Column:
     return red * LUMA[0] + green * LUMA[1] + blue * LUMA[2]
 
 
-def brightness(gray: Column) -> Column:
-    total = F.aggregate(gray, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return total / F.size(gray)
+def brightness(gray: str) -> Column:
+    return F.expr(
+        f"aggregate({gray}, CAST(0 AS DOUBLE), (acc, x) -> acc + CAST(x AS DOUBLE)) / size({gray})"
+    )
 
 
-def laplacian(gray: Column, width: int, height: int) -> Column:
-    """4-neighbour Laplacian of the interior cells."""
+def laplacian(gray: str, width: int, height: int) -> str:
+    """SQL text of the array of 4-neighbour Laplacians of the interior cells."""
     inner = [y * width + x for y in range(1, height - 1) for x in range(1, width - 1)]
-    at = lambda i: F.get(gray, i).cast("double")
-    return F.array(
-        *[
-            at(i) * 4 - at(i - 1) - at(i + 1) - at(i - width) - at(i + width)
-            for i in inner
-        ]
-    )
+    at = lambda i: f"CAST(get({gray}, {i}) AS DOUBLE)"
+    cells = [
+        f"{at(i)} * 4 - {at(i - 1)} - {at(i + 1)} - {at(i - width)} - {at(i + width)}"
+        for i in inner
+    ]
+    return f"array({', '.join(cells)})"
 
 
-def sharpness(gray: Column, width: int, height: int) -> Column:
+def sharpness(gray: str, width: int, height: int) -> Column:
     """Population variance of the Laplacian; 0 when there is no interior."""
     if width < 3 or height < 3:
         return F.lit(0.0)
     values = laplacian(gray, width, height)
-    sums = F.aggregate(
-        values,
-        F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")),
-        lambda acc, x: F.struct((acc["s"] + x).alias("s"), (acc["q"] + x * x).alias("q")),
-    )
     count = (width - 2) * (height - 2)
-    return sums["q"] / count - (sums["s"] / count) * (sums["s"] / count)
+    zero = "named_struct('s', CAST(0 AS DOUBLE), 'q', CAST(0 AS DOUBLE))"
+    step = "(a, x) -> named_struct('s', a.s + x, 'q', a.q + x * x)"
+    done = f"a -> a.q / {count} - (a.s / {count}) * (a.s / {count})"
+    return F.expr(f"aggregate({values}, {zero}, {step}, {done})")
 
 
-def quality_warnings(bright: Column, sharp: Column) -> Column:
+def quality_warnings(bright: str, sharp: str) -> Column:
     """Warning codes in fixed order, empty when the picture is fine."""
-    return F.array_compact(
-        F.array(
-            F.when(bright < MIN_BRIGHTNESS, F.lit("tooDark")),
-            F.when(bright > MAX_BRIGHTNESS, F.lit("tooBright")),
-            F.when(sharp < MIN_SHARPNESS, F.lit("tooBlurry")),
-        )
-    )
+    codes = [
+        f"CASE WHEN {bright} < {MIN_BRIGHTNESS} THEN 'tooDark' END",
+        f"CASE WHEN {bright} > {MAX_BRIGHTNESS} THEN 'tooBright' END",
+        f"CASE WHEN {sharp} < {MIN_SHARPNESS} THEN 'tooBlurry' END",
+    ]
+    return F.expr(f"array_compact(array({', '.join(codes)}))")
+
+

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from splitwarden.functions.sqltext import plus
+
 UNROLL = 32
 
 # Fixed values.
@@ -17,13 +19,6 @@ LOG_FLOOR = 1e-8
 GAUGE_DEGREES = 180.0
 
 
-def _total(terms: list[Column]) -> Column:
-    total = terms[0]
-    for term in terms[1:]:
-        total = total + term
-    return total
-
-
 def predicted_index(probs: Column) -> Column:
     """0-based position of the first maximum."""
     return (F.array_position(probs, F.array_max(probs)) - 1).cast("int")
@@ -53,8 +48,10 @@ def gauge_degrees(percent: Column) -> Column:
     return F.least(F.greatest(finite * 1.8, F.lit(0.0)), F.lit(GAUGE_DEGREES))
 
 
-def one_hot(label: Column, k: int) -> Column:
-    return F.array(*[(label == i).cast("double") for i in range(k)])
+def one_hot(label: str, k: int) -> Column:
+    """``label`` is a column name."""
+    cells = ", ".join(f"CAST({label} = {i} AS DOUBLE)" for i in range(k))
+    return F.expr(f"array({cells})")
 
 
 def _bind(value: Column, body) -> Column:
@@ -103,15 +100,14 @@ def true_probability(probs: Column, label: Column) -> Column:
     return F.get(probs, label)
 
 
-def squared_error(probs: Column, label: Column, k: int) -> Column:
-    """Sum over classes of (p - one_hot)^2."""
+def squared_error(probs: str, label: str, k: int) -> Column:
+    """Sum over classes of (p - one_hot)^2; both arguments are column names."""
     if k <= UNROLL:
-        gaps = [F.get(probs, i) - (label == i).cast("double") for i in range(k)]
-        return _total([gap * gap for gap in gaps])
-    return F.aggregate(
-        F.zip_with(probs, one_hot(label, k), lambda p, o: (p - o) * (p - o)),
-        F.lit(0.0),
-        lambda acc, x: acc + x,
+        gaps = [f"(get({probs}, {i}) - CAST({label} = {i} AS DOUBLE))" for i in range(k)]
+        return F.expr(plus(f"{gap} * {gap}" for gap in gaps))
+    return F.expr(
+        f"aggregate(transform({probs}, (p, i) -> power(p - CAST({label} = i AS DOUBLE), 2)), "
+        "CAST(0 AS DOUBLE), (acc, x) -> acc + x)"
     )
 
 
@@ -121,9 +117,7 @@ def bin_edges(bins: int) -> list[float]:
     return [i * step for i in range(bins)] + [1.0]
 
 
-def confidence_bin(value: Column, bins: int) -> Column:
+def confidence_bin(value: str, bins: int) -> Column:
     """0-based bin by comparison with the edges; the last bin is closed on the right."""
     inner = bin_edges(bins)[1:-1]
-    if not inner:
-        return F.lit(0)
-    return _total([(value >= F.lit(edge)).cast("int") for edge in inner])
+    return F.expr(plus(f"CAST({value} >= {edge!r}D AS INT)" for edge in inner))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitwarden.functions.lexicon import BILINGUAL_RULES, LanguageRules
+from splitwarden.functions.sqltext import plus, quoted, string_array, string_map
 
 # Fixed value: runs of letters and digits joined by one hyphen, apostrophe or right quote.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:[-’'][\p{L}\p{N}]+)*"
@@ -34,23 +35,30 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), multi
 
 
-def casefold(text: Column) -> Column:
+def casefold_sql(text: str) -> str:
     """Unicode case folding: lower-case, then the characters folding maps further."""
     source, target, multi = _folding()
-    lowered = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
-    rare = F.translate(lowered, source, target)
+    lowered = f"replace(lower({text}), 'ß', 'ss')"
+    rare = f"translate(x, {quoted(source)}, {quoted(target)})"
     for char, folded in multi.items():
         if char != "ß":
-            rare = F.replace(rare, F.lit(char), F.lit(folded))
-    needed = "[" + source + "".join(multi) + "]"
-    return F.when(lowered.rlike(needed), rare).otherwise(lowered)
+            rare = f"replace({rare}, {quoted(char)}, {quoted(folded)})"
+    needed = quoted("[" + source + "".join(multi) + "]")
+    # The lambda evaluates the lower-cased text once; rare letters are folded on demand.
+    folded = f"transform(array({lowered}), x -> CASE WHEN x RLIKE {needed} THEN {rare} ELSE x END)"
+    return f"get({folded}, 0)"
 
 
-def tokenize(text: Column) -> Column:
-    return F.regexp_extract_all(casefold(text), F.lit(TOKEN_PATTERN), 0)
+def casefold(text: str) -> Column:
+    return F.expr(casefold_sql(text))
 
 
-def normalize_phrase(text: Column) -> Column:
+def tokenize(text: str) -> Column:
+    """Tokens of a text column, given by name."""
+    return F.expr(f"regexp_extract_all({casefold_sql(text)}, {quoted(TOKEN_PATTERN)}, 0)")
+
+
+def normalize_phrase(text: str) -> Column:
     return F.array_join(tokenize(text), " ")
 
 
@@ -59,7 +67,7 @@ def fold_literal(term: str) -> str:
     return " ".join(re.findall(r"[^\W_]+(?:[-’'][^\W_]+)*", term.casefold()))
 
 
-def contains_term(phrase: Column, term: str) -> Column:
+def contains_sql(phrase: str, term: str) -> str:
     """Whether a normalised phrase holds the term as whole tokens.
 
     Tokens hold no spaces, so one padded substring test covers both single tokens and
@@ -67,105 +75,133 @@ def contains_term(phrase: Column, term: str) -> Column:
     """
     folded = fold_literal(term)
     if not folded:
-        return F.lit(False)
-    padded = F.concat(F.lit(" "), phrase, F.lit(" "))
-    return F.contains(padded, F.lit(f" {folded} "))
+        return "false"
+    return f"contains(concat(' ', {phrase}, ' '), {quoted(f' {folded} ')})"
 
 
-def _matched(phrase: Column, terms: tuple[str, ...]) -> Column:
-    return F.array_compact(
-        F.array(*[F.when(contains_term(phrase, t), F.lit(t)) for t in terms])
-    )
+def contains_term(phrase: str, term: str) -> Column:
+    return F.expr(contains_sql(phrase, term))
+
+
+def _matched(phrase: str, terms: Sequence[str]) -> str:
+    if not terms:
+        return "CAST(array() AS ARRAY<STRING>)"
+    cells = [f"CASE WHEN {contains_sql(phrase, t)} THEN {quoted(t)} END" for t in terms]
+    return f"array_compact(array({', '.join(cells)}))"
 
 
 def term_weight(term: str) -> int:
     return PHRASE_WEIGHT if " " in term else 1
 
 
-def category_struct(phrase: Column, rules: LanguageRules) -> Column:
-    """Winning category and its matched terms; ties go to the earlier priority."""
+def category_sql(phrase: str, rules: LanguageRules) -> str:
+    """Struct of the winning category and its matched terms; ties go to the earlier priority."""
     scored = []
     for rank, category in enumerate(rules.priority):
         terms = rules.terms.get(category, ())
-        score = F.lit(0)
-        for term in terms:
-            score = score + contains_term(phrase, term).cast("int") * term_weight(term)
+        score = plus(
+            f"CAST({contains_sql(phrase, t)} AS INT) * {term_weight(t)}" for t in terms
+        )
         scored.append(
-            F.struct(
-                score.alias("score"),
-                F.lit(-rank).alias("rank"),
-                F.lit(category).alias("category"),
-                (_matched(phrase, terms) if terms else F.array().cast("array<string>")).alias(
-                    "matched_terms"
-                ),
-            )
+            f"named_struct('score', {score}, 'rank', {-rank}, 'category', {quoted(category)}, "
+            f"'matched_terms', {_matched(phrase, terms)})"
         )
-    best = F.array_max(F.array(*scored))
-    none = F.struct(
-        F.lit(rules.default).alias("category"),
-        F.array().cast("array<string>").alias("matched_terms"),
+    none = (
+        f"named_struct('category', {quoted(rules.default)}, "
+        "'matched_terms', CAST(array() AS ARRAY<STRING>))"
+    )
+    chosen = "named_struct('category', b.category, 'matched_terms', b.matched_terms)"
+    best = f"array_max(array({', '.join(scored)}))"
+    return (
+        f"get(transform(array({best}), b -> CASE WHEN b.score > 0 THEN {chosen} ELSE {none} END), 0)"
     )
-    won = F.struct(best["category"].alias("category"), best["matched_terms"].alias("matched_terms"))
-    return F.when(best["score"] > 0, won).otherwise(none)
 
 
-def keywords(
-    tokens: Column, phrase: Column, matched: Column, rules: LanguageRules, limit: int = KEYWORD_LIMIT
-) -> Column:
+def category_struct(phrase: str, rules: LanguageRules) -> Column:
+    return F.expr(category_sql(phrase, rules))
+
+
+def keywords_sql(
+    tokens: str, phrase: str, matched: str, rules: LanguageRules, limit: int = KEYWORD_LIMIT
+) -> str:
     """Matched terms, then other rule terms in rule order, then content tokens; first ``limit``.
 
     Duplicates are dropped by normalised form: rule terms are literals whose normalised
     form is known, and a token is its own normalised form.
     """
-    ordered = [t for terms in rules.terms.values() for t in terms]
-    unique = list(dict.fromkeys(ordered))
-    stop = F.array(*[F.lit(w) for w in sorted(rules.stopwords)]).cast("array<string>")
-    content = F.filter(
-        tokens,
-        lambda t: (F.length(t) >= MIN_KEYWORD_CHARS) & ~F.array_contains(stop, t),
+    unique = list(dict.fromkeys(t for terms in rules.terms.values() for t in terms))
+    content = (
+        f"filter({tokens}, t -> length(t) >= {MIN_KEYWORD_CHARS} "
+        f"AND NOT array_contains({string_array(sorted(rules.stopwords))}, t))"
     )
-    candidates = F.concat(matched, _matched(phrase, tuple(unique)), content)
+    candidates = f"concat({matched}, {_matched(phrase, unique)}, {content})"
     altered = {t: fold_literal(t) for t in unique if fold_literal(t) != t}
     if not altered:
-        return F.slice(F.array_distinct(candidates), 1, limit)
-    pairs = F.create_map(*[F.lit(v) for kv in altered.items() for v in kv])
-    folded = F.transform(candidates, lambda c: F.coalesce(F.try_element_at(pairs, c), c))
-    first = F.filter(
-        candidates,
-        lambda c, i: F.array_position(folded, F.get(folded, i)) == i + 1,
-    )
-    return F.slice(first, 1, limit)
-
-
-def _analysis(text: Column, tokens: Column, rules: LanguageRules) -> Column:
-    phrase = F.array_join(tokens, " ")
-    best = category_struct(phrase, rules)
-    label = F.create_map(*[F.lit(v) for kv in rules.labels.items() for v in kv])[best["category"]]
-    return F.struct(
-        text.alias("text"),
-        F.concat(label, F.lit(": "), text).alias("formatted_text"),
-        best["category"].alias("category"),
-        label.alias("category_label"),
-        keywords(tokens, phrase, best["matched_terms"], rules).alias("keywords"),
-        best["matched_terms"].alias("matched_terms"),
-        F.size(tokens).alias("token_count"),
+        return f"slice(array_distinct({candidates}), 1, {limit})"
+    folded = f"transform(cs, c -> coalesce(try_element_at({string_map(altered)}, c), c))"
+    first = (
+        f"transform(array({candidates}), cs -> transform(array({folded}), fs -> "
+        "filter(cs, (c, i) -> array_position(fs, get(fs, i)) = i + 1)))"
     )
+    return f"slice(get(get({first}, 0), 0), 1, {limit})"
 
 
-def analysis(
-    text: Column,
-    language: Column,
-    rules: Mapping[str, LanguageRules] = BILINGUAL_RULES,
-    tokens: Column | None = None,
+def keywords(
+    tokens: str, phrase: str, matched: str, rules: LanguageRules, limit: int = KEYWORD_LIMIT
 ) -> Column:
-    """Analysis struct of one text; an unsupported language fails the query."""
-    tokens = tokenize(text) if tokens is None else tokens
-    value = None
-    for name, language_rules in rules.items():
-        branch = _analysis(text, tokens, language_rules)
-        value = F.when(language == name, branch) if value is None else value.when(language == name, branch)
-    message = F.concat(F.lit("unsupported language: "), F.coalesce(language, F.lit("NULL")))
-    return F.when(language.isin(*rules), value).otherwise(F.raise_error(message))
+    return F.expr(keywords_sql(tokens, phrase, matched, rules, limit))
+
+
+def _by_language(language: str, rules: Mapping[str, LanguageRules], branch) -> str:
+    cases = " ".join(f"WHEN {language} = {quoted(n)} THEN {branch(r)}" for n, r in rules.items())
+    error = f"raise_error(concat('unsupported language: ', coalesce({language}, 'NULL')))"
+    return f"CASE {cases} ELSE {error} END"
+
+
+def with_analysis(
+    df: DataFrame,
+    text: str,
+    language: str,
+    rules: Mapping[str, LanguageRules] = BILINGUAL_RULES,
+    name: str = "analysis",
+) -> DataFrame:
+    """Add the analysis struct of a text column; an unsupported language fails the query.
+
+    Tokens, phrase and category are columns of their own, so each is computed once.
+    """
+    steps = (
+        df.withColumn("_tokens", tokenize(text))
+        .withColumn("_phrase", F.array_join("_tokens", " "))
+        .withColumn(
+            "_best", F.expr(_by_language(language, rules, lambda r: category_sql("_phrase", r)))
+        )
+        .withColumn(
+            "_label",
+            F.expr(
+                _by_language(
+                    language, rules, lambda r: f"element_at({string_map(r.labels)}, _best.category)"
+                )
+            ),
+        )
+        .withColumn(
+            "_keywords",
+            F.expr(
+                _by_language(
+                    language,
+                    rules,
+                    lambda r: keywords_sql("_tokens", "_phrase", "_best.matched_terms", r),
+                )
+            ),
+        )
+    )
+    struct = (
+        f"named_struct('text', {text}, 'formatted_text', concat(_label, ': ', {text}), "
+        "'category', _best.category, 'category_label', _label, 'keywords', _keywords, "
+        "'matched_terms', _best.matched_terms, 'token_count', size(_tokens))"
+    )
+    return steps.withColumn(name, F.expr(struct)).drop(
+        "_tokens", "_phrase", "_best", "_label", "_keywords"
+    )
 
 
 def escape_html(text: Column) -> Column:

@@ -34,19 +34,15 @@ def analyze_texts(
     rules: Mapping[str, LanguageRules] = BILINGUAL_RULES,
 ) -> DataFrame:
     """Add ``analysis`` to every non-empty text; blank-only texts stay."""
-    # Tokens are materialised as a column first so that they are extracted once per text.
-    tokens = df.filter(F.length(text) > 0).withColumn("_tokens", X.tokenize(F.col(text)))
-    return tokens.withColumn(
-        "analysis", X.analysis(F.col(text), F.col(language), rules, F.col("_tokens"))
-    ).drop("_tokens")
+    return X.with_analysis(df.filter(F.length(text) > 0), text, language, rules)
 
 
 def classify_text(
     df: DataFrame, rules: LanguageRules, text: str = "text"
 ) -> DataFrame:
     """Add ``category`` and ``matched_terms``."""
-    phrase = df.withColumn("_phrase", X.normalize_phrase(F.col(text)))
-    best = X.category_struct(F.col("_phrase"), rules)
+    phrase = df.withColumn("_phrase", X.normalize_phrase(text))
+    best = X.category_struct("_phrase", rules)
     return phrase.withColumn("_best", best).select(
         *df.columns, F.col("_best.category"), F.col("_best.matched_terms")
     )

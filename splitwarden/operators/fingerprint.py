@@ -20,7 +20,7 @@ def token_cell(token: Column, cells: int = ROWS * COLS) -> Column:
 def text_cells(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, cell, n): tokens of a document counted per cell, partly before the shuffle."""
     tokens = spread(docs.select(key, text)).select(
-        key, F.explode(X.tokenize(F.col(text))).alias("token")
+        key, F.explode(X.tokenize(text)).alias("token")
     )
     return (
         tokens.select(key, token_cell(F.col("token")).alias("cell"))
@@ -32,12 +32,16 @@ def text_cells(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def text_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, dhash) for every document, including those without tokens."""
     cells = text_cells(docs, key, text)
-    counts = [
-        F.coalesce(F.sum(F.when(F.col("cell") == i, F.col("n"))), F.lit(0))
-        for i in range(ROWS * COLS)
-    ]
-    grid = cells.groupBy(key).agg(F.array(*counts).alias("grid"))
-    hashed = grid.select(key, G.dhash(F.col("grid"), ROWS, COLS).alias("dhash"))
+    # A document has at most 72 cells, so the map of its counts stays small.
+    counts = cells.groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("counts")
+    )
+    every = f"sequence(0L, {ROWS * COLS - 1}L)"
+    grid = counts.select(
+        key,
+        F.expr(f"transform({every}, c -> coalesce(try_element_at(counts, c), 0L))").alias("grid"),
+    )
+    hashed = grid.select(key, G.dhash("grid", ROWS, COLS).alias("dhash"))
     return docs.select(key).join(hashed, key, "left").select(
         key, F.coalesce("dhash", F.lit(0).cast("bigint")).alias("dhash")
     )

@@ -65,12 +65,12 @@ def grid_quality(
     """Brightness, sharpness and warnings of a gray grid column, in built-in functions."""
     measured = df.withColumns(
         {
-            "brightness": G.brightness(F.col(gray)),
-            "blur_variance": G.sharpness(F.col(gray), width, height),
+            "brightness": G.brightness(gray),
+            "blur_variance": G.sharpness(gray, width, height),
         }
     )
     return measured.withColumn(
-        "warnings", G.quality_warnings(F.col("brightness"), F.col("blur_variance"))
+        "warnings", G.quality_warnings("brightness", "blur_variance")
     )
 
 
@@ -172,7 +172,7 @@ def image_quality(images: DataFrame) -> DataFrame:
         images, "origin string, brightness double, blur_variance double", measure
     )
     return measured.withColumn(
-        "warnings", G.quality_warnings(F.col("brightness"), F.col("blur_variance"))
+        "warnings", G.quality_warnings("brightness", "blur_variance")
     )
 
 
@@ -185,4 +185,4 @@ def image_dhash(images: DataFrame, size: int = 8) -> DataFrame:
         return {"grid": grid.astype(np.float64).ravel()}
 
     grids = _per_image(images, "origin string, grid array<double>", measure)
-    return grids.select("origin", G.dhash(F.col("grid"), size, size + 1).alias("dhash"))
+    return grids.select("origin", G.dhash("grid", size, size + 1).alias("dhash"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitwarden.functions import probs as P
@@ -22,6 +22,9 @@ from splitwarden.operators.scale import materialise
 # Fixed value: probabilities are clipped to [EPS, 1 - EPS] before the logarithm.
 LOG_LOSS_EPS = 2.220446049250313e-16
 ECE_BINS = 10
+# Up to this many classes a key's counts are one row of arrays, built by a single shuffle.
+UNROLL_CELLS = 12
+UNROLL_CLASSES = 32
 
 COUNT_METRICS = ["sample_count", "correct_count"]
 SCORE_METRICS = [
@@ -82,10 +85,10 @@ def metric_cube(
         P.predicted_index(probs).alias("y_pred"),
         F.array_max(probs).alias("conf"),
         (-F.log(hit)).alias("loss"),
-        P.squared_error(probs, label, k).alias("sq"),
+        P.squared_error("probs", "y_true", k).alias("sq"),
     )
     return (
-        scored.withColumn("bin", P.confidence_bin(F.col("conf"), bins))
+        scored.withColumn("bin", P.confidence_bin("conf", bins))
         .groupBy(*by, "y_true", "y_pred", "bin")
         .agg(
             F.count("*").alias("n"),
@@ -99,6 +102,19 @@ def metric_cube(
 def confusion_from_cube(cube: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Dense k x k counts per key: missing cells are emitted as zero."""
     by = list(by)
+    if k <= UNROLL_CELLS:
+        cells = ", ".join(
+            f"coalesce(sum(n) FILTER (WHERE y_true = {t} AND y_pred = {p}), 0L)"
+            for t in range(k)
+            for p in range(k)
+        )
+        packed = cube.groupBy(*by).agg(F.expr(f"array({cells})").alias("_cells"))
+        return packed.select(*by, F.posexplode("_cells").alias("_at", "n")).select(
+            *by,
+            F.floor(F.col("_at") / k).cast("int").alias("y_true"),
+            (F.col("_at") % k).cast("int").alias("y_pred"),
+            "n",
+        )
     seen = cube.groupBy(*by, "y_true", "y_pred").agg(F.sum("n").alias("n"))
     labels = F.sequence(F.lit(0), F.lit(k - 1))
     keys = cube.groupBy(*by).agg(F.first("n").alias("_any")).drop("_any")
@@ -145,8 +161,8 @@ def per_class_metrics(confusion: DataFrame, by: Sequence[str] = ()) -> DataFrame
         .groupBy(*by, "class_index")
         .agg(*[F.sum(c).alias(c) for c in ("support", "predicted", "tp")])
     )
-    totals = confusion.groupBy(*by).agg(F.sum("n").alias("total"))
-    joined = margins.join(totals, by)
+    # A key has few class rows, so the total over them is a small window.
+    joined = margins.withColumn("total", F.sum("support").over(Window.partitionBy(*by)))
     tp, support, predicted = F.col("tp"), F.col("support"), F.col("predicted")
     fp, fn = predicted - tp, support - tp
     tn = F.col("total") - support - fp
@@ -251,6 +267,93 @@ def expected_calibration_error(
     return ece_from_reliability(reliability(preds, k, by, bins), by, ece_name(bins))
 
 
+def key_profile(cube: DataFrame, k: int, by: Sequence[str], bins: int = ECE_BINS) -> DataFrame:
+    """One row per key with the margins, the diagonal and the bin sums as arrays."""
+
+    def sums(value: str, zero: str, conditions: Sequence[str]) -> Column:
+        cells = [f"coalesce(sum({value}) FILTER (WHERE {c}), {zero})" for c in conditions]
+        return F.expr(f"array({', '.join(cells)})")
+
+    return cube.groupBy(*by).agg(
+        sums("n", "0L", [f"y_true = {i}" for i in range(k)]).alias("support"),
+        sums("n", "0L", [f"y_pred = {i}" for i in range(k)]).alias("predicted"),
+        sums("n", "0L", [f"y_true = {i} AND y_pred = {i}" for i in range(k)]).alias("tp"),
+        sums("n", "0L", [f"bin = {i} AND y_true = y_pred" for i in range(bins)]).alias(
+            "bin_hits"
+        ),
+        sums("conf", "0D", [f"bin = {i}" for i in range(bins)]).alias("bin_conf"),
+        F.sum("n").alias("total"),
+        (F.sum("loss") / F.sum("n")).alias("log_loss"),
+        (F.sum("sq") / F.sum("n")).alias("brier_score_multiclass"),
+        (F.sum("conf") / F.sum("n")).alias("mean_confidence"),
+    )
+
+
+def bundle_from_profile(profile: DataFrame, k: int, by: Sequence[str], bins: int) -> DataFrame:
+    """Every metric except the areas, by array expressions on one profile row per key."""
+    add = "CAST(0 AS DOUBLE), (acc, x) -> acc + x"
+    ratio = lambda a, b: f"CASE WHEN {b} = 0 THEN 0D ELSE {a} / nullif({b}, 0) END"
+    scored = profile.withColumn(
+        "c",
+        F.expr(
+            "transform(arrays_zip(support, predicted, tp), c -> named_struct("
+            "'w', c.support, 'p', c.predicted, 'hit', c.tp, "
+            f"'precision', {ratio('c.tp', 'c.predicted')}, "
+            f"'recall', {ratio('c.tp', 'c.support')}, "
+            f"'f1', {ratio('(2 * c.tp)', '(c.support + c.predicted)')}, "
+            # True negatives over all negatives of the class.
+            f"'spec', {ratio('(total - c.support - c.predicted + c.tp)', '(total - c.support)')}))"
+        ),
+    )
+
+    def total(value: str) -> str:
+        return f"aggregate(transform(c, x -> CAST({value} AS DOUBLE)), {add})"
+
+    def macro(score: str, kept: str) -> str:
+        return f"{total(f'CASE WHEN {kept} THEN x.{score} ELSE 0D END')} / {total(f'CASE WHEN {kept} THEN 1 ELSE 0 END')}"
+
+    def weighted(score: str) -> str:
+        return f"{total(f'x.{score} * x.w')} / total"
+
+    present, in_truth, every = "(x.w > 0 OR x.p > 0)", "x.w > 0", "true"
+    off = "aggregate(zip_with(bin_hits, bin_conf, (h, f) -> abs(h - f)), " + add + ")"
+    values = {
+        "sample_count": "total",
+        "correct_count": f"CAST({total('x.hit')} AS BIGINT)",
+        "accuracy": f"{total('x.hit')} / total",
+        "balanced_accuracy": macro("recall", in_truth),
+        "precision_macro": macro("precision", present),
+        "recall_macro": macro("recall", present),
+        "f1_macro": macro("f1", present),
+        "precision_weighted": weighted("precision"),
+        "recall_weighted": weighted("recall"),
+        "f1_weighted": weighted("f1"),
+        "specificity_macro": macro("spec", every),
+        "specificity_weighted": weighted("spec"),
+        ece_name(bins): f"{off} / total",
+        "_tp": total("CAST(x.w AS DOUBLE) * x.p"),
+        "_tt": total("CAST(x.w AS DOUBLE) * x.w"),
+        "_pp": total("CAST(x.p AS DOUBLE) * x.p"),
+    }
+    base = scored.selectExpr(
+        *by,
+        "log_loss",
+        "brier_score_multiclass",
+        "mean_confidence",
+        *[f"{text} AS {name}" for name, text in values.items()],
+    )
+    n = "CAST(sample_count AS DOUBLE)"
+    chance = f"(_tp / ({n} * {n}))"
+    spread = f"(({n} * {n} - _pp) * ({n} * {n} - _tt))"
+    return base.selectExpr(
+        "*",
+        "mean_confidence - accuracy AS confidence_accuracy_gap",
+        f"CASE WHEN {chance} < 1 THEN (accuracy - {chance}) / (1 - {chance}) END AS cohen_kappa",
+        f"CASE WHEN {spread} = 0 THEN 0D ELSE (correct_count * {n} - _tp) / sqrt(nullif({spread}, 0D)) END"
+        " AS matthews_correlation_coefficient",
+    ).drop("_tp", "_tt", "_pp")
+
+
 def metric_bundle(
     preds: DataFrame,
     k: int,
@@ -263,20 +366,20 @@ def metric_bundle(
         keyed = preds.withColumn("_all", F.lit(0))
         return metric_bundle(keyed, k, ["_all"], bins, with_auc).drop("_all")
     by = list(by)
-    cube = materialise(metric_cube(preds, k, by, bins), "cube")
-    per_class = per_class_metrics(confusion_from_cube(cube, k, by), by)
-    parts = [
-        probability_scores(cube, by),
-        ece_from_reliability(reliability_from_cube(cube, by), by, ece_name(bins)),
-    ]
+    cube = metric_cube(preds, k, by, bins)
+    if k <= UNROLL_CLASSES:
+        wide = bundle_from_profile(key_profile(cube, k, by, bins), k, by, bins)
+    else:
+        cube = materialise(cube, "cube")
+        per_class = per_class_metrics(confusion_from_cube(cube, k, by), by)
+        wide = label_scores(per_class, by).join(probability_scores(cube, by), by)
+        wide = wide.join(
+            ece_from_reliability(reliability_from_cube(cube, by), by, ece_name(bins)), by
+        ).withColumn(
+            "confidence_accuracy_gap", F.col("mean_confidence") - F.col("accuracy")
+        )
     if with_auc:
-        parts.append(roc_auc_ovr(preds, k, by))
-    wide = label_scores(per_class, by)
-    for part in parts:
-        wide = wide.join(part, by)
-    wide = wide.withColumn(
-        "confidence_accuracy_gap", F.col("mean_confidence") - F.col("accuracy")
-    )
+        wide = wide.join(roc_auc_ovr(preds, k, by), by)
     names = [n for n in metric_names(bins) if with_auc or n not in AUC_METRICS]
     return wide.select(*by, *names)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitwarden.operators.scale import bounded_broadcast, prefix_sums
+from splitwarden.operators.scale import prefix_sums
 
 
 def score_counts(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -69,11 +69,9 @@ def roc_curve(preds: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         [*by, "class_index"],
         [F.col("score").desc()],
         {"tp": "pos", "fp": "neg"},
+        {"_p": "pos", "_n": "neg"},
     )
-    totals = points.groupBy(*by, "class_index").agg(
-        F.max("tp").alias("_p"), F.max("fp").alias("_n")
-    )
-    return points.join(bounded_broadcast(totals), [*by, "class_index"]).select(
+    return points.select(
         *by,
         "class_index",
         F.col("score").alias("threshold"),

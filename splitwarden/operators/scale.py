@@ -192,9 +192,12 @@ def prefix_sums(
     within: Sequence[str],
     order: Sequence[str | Column],
     sums: Mapping[str, str],
+    totals: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Running inclusive sums ``{output: input}`` per ``within`` group in ``order``.
 
+    ``totals`` names output columns for the whole sum of a group, ``{output: input}``.
+
     Same two-pass scheme as ``number_rows``: sums inside each range by a window that sees
     one range only, plus the totals of the ranges before it.
     """
@@ -203,21 +206,25 @@ def prefix_sums(
         df.repartitionByRange(*columns).withColumn("_slot", F.spark_partition_id()),
         "ranges",
     )
-    totals = ordered.groupBy("_slot", *within).agg(
-        *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()]
+    totals = totals or {}
+    per_range = ordered.groupBy("_slot", *within).agg(
+        *[F.sum(src).alias(f"_t_{out}") for out, src in sums.items()],
+        *[F.sum(src).alias(f"_g_{out}") for out, src in totals.items()],
     )
+    group = Window.partitionBy(*within)
     before = (
         Window.partitionBy(*within)
         .orderBy("_slot")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = totals.select(
+    offsets = per_range.select(
         "_slot",
         *within,
         *[
             F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}")
             for out in sums
         ],
+        *[F.sum(f"_g_{out}").over(group).alias(out) for out in totals],
     )
     local = (
         Window.partitionBy("_slot", *within)
@@ -227,8 +234,10 @@ def prefix_sums(
     running = ordered.select(
         "*", *[F.sum(src).over(local).alias(f"_l_{out}") for out, src in sums.items()]
     )
-    joined = running.join(bounded_broadcast(offsets), ["_slot", *within])
+    # Both sides are keyed like the window, so the join adds no shuffle of the rows.
+    joined = running.join(offsets, ["_slot", *within])
     return joined.select(
         *df.columns,
         *[(F.col(f"_l_{out}") + F.col(f"_o_{out}")).alias(out) for out in sums],
+        *totals,
     )

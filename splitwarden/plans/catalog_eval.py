@@ -218,7 +218,7 @@ def display(spark, sf):
 )
 def one_hot(spark, sf):
     preds = X.predictions(spark, sf)
-    hot = F.transform(P.one_hot(F.col("y_true"), K), lambda x: x.cast("int").cast("string"))
+    hot = F.transform(P.one_hot("y_true", K), lambda x: x.cast("int").cast("string"))
     return preds.select(
         "row_id",
         F.array_join(hot, ",").alias("one_hot"),
@@ -283,7 +283,7 @@ def nll_grid(spark, sf):
     points = (0.5, 1.0, 1.5, 3.0)
     sums = logs.agg(
         *[
-            F.avg(C.scaled_nll(F.col("z"), F.col("y_true"), K, 1.0 / t)).alias(f"v{i}")
+            F.avg(C.scaled_nll("z", "y_true", K, 1.0 / t)).alias(f"v{i}")
             for i, t in enumerate(points)
         ]
     )
