@@ -15,25 +15,18 @@ N_FOLDS = 5
 
 def fold_preconditions(df: DataFrame, k: int = N_FOLDS) -> DataFrame:
     """Violations: groups with several classes, classes with fewer than ``k`` groups."""
-    per_group = df.groupBy("group_id").agg(
-        F.min("class_index").alias("low"), F.max("class_index").alias("high")
-    )
-    mixed = per_group.filter("low <> high").select(
-        F.lit("group_with_several_classes").alias("rule"),
-        F.col("group_id").cast("string").alias("subject"),
-        F.lit(None).cast("bigint").alias("value"),
-    )
     pairs = df.groupBy("class_index", "group_id").agg(F.count("*").alias("_n"))
-    scarce = (
-        pairs.groupBy("class_index")
-        .agg(F.count("*").alias("groups"))
-        .filter(F.col("groups") < k)
-        .select(
-            F.lit("class_with_too_few_groups").alias("rule"),
-            F.col("class_index").cast("string").alias("subject"),
-            F.col("groups").alias("value"),
+
+    def rule(name: str, key: str, broken: str) -> DataFrame:
+        return (
+            pairs.groupBy(F.col(key).cast("string").alias("subject"))
+            .agg(F.count("*").alias("value"))
+            .filter(broken)
+            .select(F.lit(name).alias("rule"), "subject", "value")
         )
-    )
+
+    mixed = rule("group_with_several_classes", "group_id", "value > 1")
+    scarce = rule("class_with_too_few_groups", "class_index", f"value < {int(k)}")
     return mixed.unionByName(scarce)
 
 
@@ -99,9 +92,9 @@ def fold_integrity(assignments: DataFrame) -> DataFrame:
     return per_group.groupBy("fold").agg(
         F.sum("train").alias("train_image_count"),
         F.sum("validation").alias("validation_image_count"),
-        F.count_if("train > 0").alias("train_group_count"),
-        F.count_if("validation > 0").alias("validation_group_count"),
-        F.count_if("train > 0 AND validation > 0").alias("overlap_group_count"),
+        F.count_if(F.expr("train > 0")).alias("train_group_count"),
+        F.count_if(F.expr("validation > 0")).alias("validation_group_count"),
+        F.count_if(F.expr("train > 0 AND validation > 0")).alias("overlap_group_count"),
     )
 
 
@@ -122,7 +115,7 @@ def oof_coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFram
     return per_id.agg(
         F.coalesce(F.sum("e"), F.lit(0)).alias("expected_rows"),
         F.coalesce(F.sum("o"), F.lit(0)).alias("observed_rows"),
-        F.count_if("e > 0 AND o = 0").alias("missing"),
-        F.count_if("e = 0 AND o > 0").alias("extra"),
-        F.count_if("o > 1").alias("repeated"),
+        F.count_if(F.expr("e > 0 AND o = 0")).alias("missing"),
+        F.count_if(F.expr("e = 0 AND o > 0")).alias("extra"),
+        F.count_if(F.expr("o > 1")).alias("repeated"),
     )
