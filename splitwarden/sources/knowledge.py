@@ -20,8 +20,8 @@ class Knowledge:
 def _entries(df: DataFrame, column: str, key: str) -> DataFrame:
     """One row per entry of a VARIANT object, named ``key`` and ``value``."""
     kept = [c for c in df.columns if c != column]
-    exploded = df.lateralJoin(
-        df.sparkSession.tvf.variant_explode(F.col(column).outer())
+    exploded = df.withColumnRenamed(column, "_object").lateralJoin(
+        df.sparkSession.tvf.variant_explode(F.col("_object").outer())
     )
     return exploded.select(
         *kept, F.col("key").alias(key), F.col("value").alias("value")
