@@ -13,7 +13,8 @@ from splitwarden.functions.lexicon import BILINGUAL_RULES, LanguageRules
 from splitwarden.functions.sqltext import plus, quoted, string_array, string_map
 
 # Fixed value: runs of letters and digits joined by one hyphen, apostrophe or right quote.
-TOKEN_PATTERN = r"[\p{L}\p{N}]+(?:[-’'][\p{L}\p{N}]+)*"
+# Possessive, because a run can never give letters back to the rest of the pattern.
+TOKEN_PATTERN = r"[\p{L}\p{N}]++(?:[-’'][\p{L}\p{N}]++)*+"
 KEYWORD_LIMIT = 6
 MIN_KEYWORD_CHARS = 3
 PHRASE_WEIGHT = 3
@@ -35,6 +36,18 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), multi
 
 
+def _guard(chars: str, gap: int = 0x100) -> str:
+    """Character class of a few ranges that covers ``chars``; cheap to test on every text."""
+    codes = sorted(map(ord, set(chars) - {"ß"}))
+    ranges = [[codes[0], codes[0]]]
+    for code in codes[1:]:
+        if code - ranges[-1][1] <= gap and ranges[-1][0] > 0x2FF:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]"
+
+
 def casefold_sql(text: str) -> str:
     """Unicode case folding: lower-case, then the characters folding maps further."""
     source, target, multi = _folding()
@@ -43,7 +56,7 @@ def casefold_sql(text: str) -> str:
     for char, folded in multi.items():
         if char != "ß":
             rare = f"replace({rare}, {quoted(char)}, {quoted(folded)})"
-    needed = quoted("[" + source + "".join(multi) + "]")
+    needed = quoted(_guard(source + "".join(multi)))
     # The lambda evaluates the lower-cased text once; rare letters are folded on demand.
     folded = f"transform(array({lowered}), x -> CASE WHEN x RLIKE {needed} THEN {rare} ELSE x END)"
     return f"get({folded}, 0)"

@@ -88,10 +88,10 @@ def attach(
     their facts one copy per salt, so no task receives a whole hot group.
     """
     facts = materialise(facts, "facts")
-    total = facts.agg(F.sum(size)).first()[0] or 0
-    threshold = max(total * HOT_SHARE, HOT_FLOOR)
+    seen = facts.agg(F.sum(size).alias("total"), F.max(size).alias("top")).first()
+    threshold = max((seen["total"] or 0) * HOT_SHARE, HOT_FLOOR)
     hot = facts.filter(F.col(size) > threshold).select(key, F.lit(True).alias("_hot"))
-    if hot.isEmpty():
+    if (seen["top"] or 0) <= threshold:
         joined = rows.join(facts, key, how)
         return joined if keep_size else joined.drop(size)
     salted_rows = (
@@ -111,13 +111,16 @@ def expand(left: DataFrame, members: DataFrame, key: str) -> DataFrame:
     The number of copies of a left row never exceeds its number of matches by more than
     the constant factor of the salts, so work stays proportional to the output.
     """
-    sizes = members.groupBy(key).agg(F.count("*").alias("_size"))
     total = members.count()
+    if total <= HOT_FLOOR:
+        return left.join(members, key)
     threshold = max(total * HOT_SHARE, HOT_FLOOR)
+    sizes = members.groupBy(key).agg(F.count("*").alias("_size"))
     hot = sizes.filter(F.col("_size") > threshold).select(key, F.lit(True).alias("_hot"))
+    hot = materialise(hot, "hot")  # at most 1 / HOT_SHARE rows
     if hot.isEmpty():
         return left.join(members, key)
-    hot = F.broadcast(materialise(hot, "hot"))
+    hot = F.broadcast(hot)
     salted = members.join(hot, key, "left").withColumn("_salt", _salt(members)).drop("_hot")
     copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
     copied = (

@@ -37,7 +37,12 @@ def remembered(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
+    """Stored prediction table derived from all orders, built once per session."""
+    return remembered(spark, sf, "predictions", lambda: _predictions(spark, sf))
+
+
+def _predictions(spark: SparkSession, sf: str) -> DataFrame:
+    o = spread(table(spark, sf, "orders"))
     y = F.substring("o_orderpriority", 1, 1).cast("int") - 1
     base = F.col("o_orderkey") * 31 + F.floor("o_totalprice")
     raw = [
@@ -377,7 +382,7 @@ def reviewed_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def order_groups(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders")
+    o = spread(table(spark, sf, "orders"))
     index = (F.col("o_custkey") % 6).cast("int")
     return o.select(
         F.col("o_orderkey").alias("row_id"),
