@@ -282,7 +282,8 @@ def flat(bundle):
 )
 def bundle(spark, sf):
     preds = X.requests(spark, sf).withColumn("season", D.season(F.col("selected_date"), True))
-    done = flat(AD.result_bundle(preds.drop("content", "selected_date"), bundles(spark, sf)))
+    # The readable columns are made on the static side, once per bundle.
+    done = AD.result_bundle(preds.drop("content", "selected_date"), flat(bundles(spark, sf)))
     return done.select(
         "session", "seq", "class_name", "season", "lang", "name", "season_note", "item_count",
         "source_count", "item_digests",
