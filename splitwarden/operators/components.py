@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitwarden.operators.scale import attach, materialise
+from splitwarden.operators.scale import attach, materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -56,7 +56,9 @@ def edge_stars(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         if _settled(current):
             return current
         widened = materialise(_star(current, large=True), "large-star")
-        current = materialise(_star(widened, large=False), "small-star")
+        following = materialise(_star(widened, large=False), "small-star")
+        release(current, widened)
+        current = following
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 

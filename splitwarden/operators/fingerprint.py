@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from splitwarden.functions import grids as G
 from splitwarden.functions import text as X
-from splitwarden.operators.scale import spread
 
 ROWS, COLS = 8, 9
 
@@ -19,7 +18,7 @@ def token_cell(token: Column, cells: int = ROWS * COLS) -> Column:
 
 def text_cells(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, cell, n): tokens of a document counted per cell, partly before the shuffle."""
-    tokens = spread(docs.select(key, text)).select(
+    tokens = docs.select(
         key, F.explode(X.tokenize(text)).alias("token")
     )
     return (

@@ -52,11 +52,26 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once and continue from the files, so lost executors cost no recomputation."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def release(*stored: DataFrame) -> None:
+    """Delete materialised tables that nothing reads any more."""
+    for table in stored:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only a scan that is too coarse to use the cluster (one huge file)."""
+    """Repartition a scan that is too coarse to use the cluster (one huge file).
+
+    Only for a plain scan: asking a plan with shuffles for its partitions would run it.
+    """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= wanted:
         return df

@@ -21,7 +21,7 @@ from splitwarden.plans.fixtures import round_cols
 from splitwarden.sources import files as FI
 from splitwarden.sources import sinks as SK
 from splitwarden.sources import tables as TB
-from splitwarden.operators.scale import scratch_path
+from splitwarden.operators.scale import scratch_path, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -77,7 +77,7 @@ def digest(spark, sf):
     f"WITH {X.FINGERPRINT_SQL} SELECT doc_id, cell, CAST(n AS BIGINT) AS n FROM cells",
 )
 def cells(spark, sf):
-    return text_cells(X.table(spark, sf, "documents"))
+    return text_cells(spread(X.table(spark, sf, "documents")))
 
 
 @query(
@@ -85,7 +85,7 @@ def cells(spark, sf):
     f"WITH {X.FINGERPRINT_SQL} SELECT doc_id, {HEX} AS dhash_hex FROM fp",
 )
 def fingerprint(spark, sf):
-    prints = text_fingerprint(X.table(spark, sf, "documents"))
+    prints = text_fingerprint(spread(X.table(spark, sf, "documents")))
     return prints.select("doc_id", KEYS.hash_hex(F.col("dhash")).alias("dhash_hex"))
 
 

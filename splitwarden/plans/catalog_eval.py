@@ -358,7 +358,8 @@ fr AS (
 )
 def fold_results(spark, sf):
     counts = ["train_sample_count", "train_correct_count", "validation_sample_count", "validation_correct_count"]
-    return round_cols(fold_metrics(spark, sf).filter(~F.col("metric").isin(counts)))
+    scores = fold_metrics(spark, sf).filter(~F.col("metric").isin(counts))
+    return round_cols(scores.filter("value IS NOT NULL"))
 
 
 @query(

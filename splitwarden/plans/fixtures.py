@@ -263,7 +263,7 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(1).alias("height"),
         F.lit("T").alias("mode"),
     )
-    prints = text_fingerprint(table(spark, sf, "documents"))
+    prints = text_fingerprint(docs)
     return number_records(rows.join(prints, "doc_id"))
 
 
