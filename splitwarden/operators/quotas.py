@@ -41,7 +41,11 @@ def _reach(histogram: Histogram, max_test: int, max_val: int) -> tuple[list, lis
     width = max_val + 1
     full = (1 << ((max_test + 1) * width)) - 1
     row = (1 << width) - 1
-    ones = sum(1 << (t * width) for t in range(max_test + 1))
+    ones, rows = 1, 1
+    while rows <= max_test:
+        ones |= ones << (rows * width)
+        rows *= 2
+    ones &= full
     states = 1
     steps, trail = [], [states]
     for size in sorted(histogram, reverse=True):
@@ -79,106 +83,143 @@ def _trace(steps: list, trail: list[int], width: int, test: int, val: int) -> Qu
 
 def _closest(
     states: int, width: int, target_test: int, target_val: int, total: int
-) -> tuple[int, int]:
+) -> tuple[int, int] | None:
     """State with least absolute, then maximum, then joint error; no part empty."""
-    best = None
-    test = 0
-    row_mask = (1 << width) - 1
-    while states >> (test * width):
-        row = states >> (test * width) & row_mask
-        while row:
-            low = row & -row
-            val = low.bit_length() - 1
-            row ^= low
-            if test > 0 and val > 0 and total - test - val > 0:
-                dt, dv = abs(test - target_test), abs(val - target_val)
-                joint = abs(test + val - target_test - target_val)
-                key = (dt + dv, max(dt, dv), joint, test, val)
-                if best is None or key < best:
-                    best = key
-        test += 1
-    if best is None:
-        raise ValueError("no assignment leaves all three parts non-empty")
-    return best[3], best[4]
-
-
-def _greedy(histogram: Histogram, share: tuple[float, float], goal: list[int]) -> Quota:
-    """Proportional quotas by size, larger sizes first, never above the goals."""
-    quota: Quota = {}
-    left = list(goal)
-    for size in sorted(histogram, reverse=True):
-        taken = []
-        for side in (0, 1):
-            take = min(int(histogram[size] * share[side]), max(left[side], 0) // size)
-            left[side] -= take * size
-            taken.append(take)
-        quota[size] = (taken[0], taken[1])
-    goal[:] = left
-    return quota
+    data = states.to_bytes((states.bit_length() + 7) // 8, "little")
+
+    def reached(test: int, val: int) -> bool:
+        if test <= 0 or val <= 0 or val >= width or total - test - val <= 0:
+            return False
+        at = test * width + val
+        return at >> 3 < len(data) and bool(data[at >> 3] >> (at & 7) & 1)
+
+    # Look at growing distances from the target; the first distance with a state wins.
+    furthest = 8 * len(data) // width + width + target_test + target_val
+    for error in range(furthest + 1):
+        found = []
+        for dt in range(error + 1):
+            dv = error - dt
+            for test in {target_test - dt, target_test + dt}:
+                for val in {target_val - dv, target_val + dv}:
+                    if reached(test, val):
+                        joint = abs(test + val - target_test - target_val)
+                        found.append((max(dt, dv), joint, test, val))
+        if found:
+            return min(found)[2:]
+    return None
+
+
+def _take(pool: dict[int, int], quota: Quota, size: int, side: int, count: int) -> int:
+    """Move ``count`` groups from the pool to one side; returns the rows moved."""
+    if count <= 0:
+        return 0
+    pool[size] -= count
+    test, val = quota.get(size, (0, 0))
+    quota[size] = (test + count, val) if side == 0 else (test, val + count)
+    return count * size
+
+
+def _fill(pool: dict[int, int], quota: Quota, goal: list[int]) -> None:
+    """Larger sizes first, each to the side with more room, never above the goals."""
+    for size in sorted(pool, reverse=True):
+        for side in sorted((0, 1), key=lambda i: -goal[i]):
+            goal[side] -= _take(pool, quota, size, side, min(pool[size], goal[side] // size))
+
+
+def _error(quota: Quota, test: int, val: int) -> tuple[int, int, int]:
+    dt = sum(s * a for s, (a, _) in quota.items()) - test
+    dv = sum(s * b for s, (_, b) in quota.items()) - val
+    return abs(dt) + abs(dv), max(abs(dt), abs(dv)), abs(dt + dv)
+
+
+def _states(pool: Histogram, test: int, val: int) -> int:
+    largest = max(pool, default=0)
+    return (test + min(largest, test) + 1) * (val + min(largest, val) + 1)
+
+
+def _solve(pool: Histogram, test: int, val: int, total: int) -> Quota | None:
+    """Search all states of a pool for the targets, or the nearest state."""
+    largest = max(pool, default=0)
+    steps, trail, width = _reach(pool, test + min(largest, test), val + min(largest, val))
+    if val < width and trail[-1] >> (test * width + val) & 1:
+        return _trace(steps, trail, width, test, val)
+    near = _closest(trail[-1], width, test, val, total)
+    return None if near is None else _trace(steps, trail, width, *near)
 
 
 def split_quotas(histogram: Histogram, target_test: int, target_val: int) -> Quota:
     """Quotas that meet both targets exactly when reachable, else come closest.
 
-    Small classes are solved over all states. In large classes proportional quotas cover
-    all but a reserve of each target, and the same search settles the reserve with the
-    groups left; the reserve doubles until it is met exactly or the state budget ends.
+    Small classes are solved over all states. In large classes quotas cover all but a
+    reserve of each target, first in proportion to the sizes and then with the largest
+    groups that fit, and the same search settles the reserve with the groups left. The
+    reserve doubles until both targets are met or the state budget ends; then the closest
+    quotas found are used and the split summary reports the difference.
     """
     total = sum(size * count for size, count in histogram.items())
     if target_test < 1 or target_val < 1:
         raise ValueError("test and validation targets must both be positive")
     if target_test + target_val >= total:
         raise ValueError("the train part would be empty")
-    largest = max(histogram)
-
-    def solve(pool: Histogram, test: int, val: int, used: tuple[int, int]) -> tuple[Quota, bool]:
-        over_t, over_v = min(largest, test), min(largest, val)
-        steps, trail, width = _reach(pool, test + over_t, val + over_v)
-        if trail[-1] >> (test * width + val) & 1:
-            return _trace(steps, trail, width, test, val), True
-        # Overshoot by more than the smallest group can only matter when nothing closer
-        # exists, so the full margin is searched.
-        if used == (0, 0):
-            near = _closest(trail[-1], width, test, val, total)
-        else:
-            near = _closest(trail[-1], width, test, val, 1 << 62)
-        return _trace(steps, trail, width, *near), False
-
-    def states(test: int, val: int) -> int:
-        return (test + min(largest, test) + 1) * (val + min(largest, val) + 1)
-
-    if states(target_test, target_val) * max(len(histogram), 1) <= STATE_BUDGET * 25:
-        return solve(histogram, target_test, target_val, (0, 0))[0]
-
-    share = (target_test / total, target_val / total)
-    reserve, best = 64, None
-    while True:
-        goal = [max(target_test - reserve, 0), max(target_val - reserve, 0)]
-        done = [target_test - goal[0], target_val - goal[1]]
-        base = _greedy(histogram, share, goal)
-        pool = {s: n - sum(base[s]) for s, n in histogram.items() if n > sum(base[s])}
-        # Fill what the proportional pass left above the reserve, larger sizes first.
-        for size in sorted(pool, reverse=True):
-            for side in (0, 1):
-                take = min(pool[size], goal[side] // size)
-                if take:
-                    goal[side] -= take * size
-                    pool[size] -= take
-                    counts = list(base[size])
-                    counts[side] += take
-                    base[size] = (counts[0], counts[1])
-        rest = (goal[0] + done[0], goal[1] + done[1])
-        small = {s: n for s, n in pool.items() if n > 0 and s <= max(rest)}
-        if best is not None and states(*rest) > STATE_BUDGET:
-            return best
-        quota, exact = solve(small, rest[0], rest[1], (1, 1))
-        merged = {
-            s: tuple(a + b for a, b in zip(base[s], quota.get(s, (0, 0)))) for s in histogram
-        }
-        best = merged
-        if exact or goal == [0, 0] and reserve >= max(target_test, target_val):
-            return merged
-        reserve *= 2
+
+    # Groups too large for both targets matter only when nothing smaller comes near.
+    if _states(histogram, target_test, target_val) * len(histogram) <= STATE_BUDGET * 25:
+        quota = _solve(histogram, target_test, target_val, total)
+        if quota is None:
+            raise ValueError("no assignment leaves all three parts non-empty")
+        return quota
+
+    shares = (target_test / total, target_val / total)
+    best: Quota = {}
+    best_error = None
+    for proportional in (True, False):
+        reserve = 64
+        while True:
+            goal = [max(target_test - reserve, 0), max(target_val - reserve, 0)]
+            kept = [target_test - goal[0], target_val - goal[1]]
+            pool, quota = dict(histogram), {}
+            if proportional:
+                for size in sorted(pool, reverse=True):
+                    for side in (0, 1):
+                        count = min(int(histogram[size] * shares[side]), goal[side] // size)
+                        goal[side] -= _take(pool, quota, size, side, count)
+            _fill(pool, quota, goal)
+            rest = (goal[0] + kept[0], goal[1] + kept[1])
+            small = {s: n for s, n in pool.items() if n > 0 and s <= max(rest)}
+            fits = _states(small, *rest) <= STATE_BUDGET
+            # Without room for the search the reserve itself is filled greedily.
+            if fits:
+                settled = _solve(small, rest[0], rest[1], 1 << 62) or {}
+                for size, (a, b) in settled.items():
+                    test, val = quota.get(size, (0, 0))
+                    quota[size] = (test + a, val + b)
+            else:
+                _fill(pool, quota, list(rest))
+            error = _error(quota, target_test, target_val)
+            if best_error is None or error < best_error:
+                best, best_error = quota, error
+            if best_error == (0, 0, 0):
+                return best
+            if not fits or goal == [0, 0] and reserve >= max(target_test, target_val):
+                break
+            reserve *= 2
+    # One group larger than a whole target may still come closer than staying below it.
+    over_test = min((s for s in histogram if s >= target_test), default=None)
+    over_val = min((s for s in histogram if s >= target_val), default=None)
+    for big_test, big_val in ((over_test, None), (None, over_val), (over_test, over_val)):
+        pool, quota, goal = dict(histogram), {}, [target_test, target_val]
+        for side, big in ((0, big_test), (1, big_val)):
+            if big is not None and pool[big] > 0:
+                _take(pool, quota, big, side, 1)
+                goal[side] = 0
+        _fill(pool, quota, goal)
+        test = sum(s * a for s, (a, _) in quota.items())
+        val = sum(s * b for s, (_, b) in quota.items())
+        if test and val and test + val < total:
+            error = _error(quota, target_test, target_val)
+            if error < best_error:
+                best, best_error = quota, error
+    return best
 
 
 def fold_quotas(histogram: Histogram, k: int) -> dict[int, list[int]]:

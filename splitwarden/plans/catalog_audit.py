@@ -120,7 +120,7 @@ def grid_dhash(spark, sf):
 @query(
     "hamming_to_nearest_hash",
     f"""WITH {EMBEDDING_BITS_SQL} SELECT a.vec_id AS vec_id,
-  bit_count(xor(a.h, b.h)) AS distance FROM eh a JOIN eh b ON b.vec_id = a.vec_id + 1""",
+  CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM eh a JOIN eh b ON b.vec_id = a.vec_id + 1""",
 )
 def hamming(spark, sf):
     h = embedding_hashes(spark, sf).select("vec_id", "dhash")
@@ -185,7 +185,7 @@ def near(spark, sf):
     "near_hash_pairs",
     f"""WITH {EMBEDDING_BITS_SQL}, d AS (SELECT DISTINCT h FROM eh)
 SELECT lpad(lower(hex(a.h)), 16, '0') AS hash_1, lpad(lower(hex(b.h)), 16, '0') AS hash_2,
-  bit_count(xor(a.h, b.h)) AS distance FROM d a JOIN d b ON a.h < b.h
+  CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM d a JOIN d b ON a.h < b.h
 WHERE bit_count(xor(a.h, b.h)) <= 12""",
 )
 def near_hashes(spark, sf):

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitwarden.functions import keys as K
+from splitwarden.functions.sqltext import quoted
 
 # Accepted image suffixes.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".webp")
@@ -48,7 +49,7 @@ def scan_labeled_files(
     )
     base = root.rstrip("/") + "/"
     position = F.locate(base, F.col("path"))
-    relative = F.expr(f"substring(path, locate('{base}', path) + {len(base)})")
+    relative = F.expr(f"substring(path, locate({quoted(base)}, path) + {len(base)})")
     accepted = (
         files.filter(position > 0)
         .withColumn("relative_path", relative)

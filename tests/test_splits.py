@@ -60,6 +60,21 @@ def test_quotas_of_a_huge_class_are_exact():
     assert sum(s * b for s, (_, b) in quota.items()) == val
 
 
+def test_quotas_of_large_skewed_classes():
+    # A third of the rows in one group, exact with the rest; then one that must overshoot.
+    for histogram, want in (
+        ({200_000: 1, 50_000: 1, 1: 50_000}, 0),
+        ({5: 100_000, 1_000_000: 3}, 300_000),
+    ):
+        total = sum(s * n for s, n in histogram.items())
+        test, val = round(total * 0.2), round(total * 0.1)
+        quota = Q.split_quotas(histogram, test, val)
+        assert all(a + b <= histogram[s] for s, (a, b) in quota.items())
+        t = sum(s * a for s, (a, _) in quota.items())
+        v = sum(s * b for s, (_, b) in quota.items())
+        assert abs(t - test) + abs(v - val) == want
+
+
 def test_fold_quotas_equal_one_by_one_dealing():
     rng = random.Random(6)
     for _ in range(100):
