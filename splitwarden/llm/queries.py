@@ -7,7 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from splitwarden.llm.decontaminate import decontamination_report
 from splitwarden.llm.license import license_scan
 from splitwarden.llm.near_duplicates import near_duplicates
+from splitwarden.llm.packing import pack_documents
 from splitwarden.llm.quality import quality_report
+from splitwarden.llm.segments import repeated_passages
+from splitwarden.llm.tokenfile import read_token_files, write_token_files
+from splitwarden.llm.warc import read_records, write_archives
+from splitwarden.operators.scale import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +27,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(_table(spark, sf_dir, "documents"))
 
@@ -33,11 +42,33 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.drop("spans")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "warc")
+    index = write_archives(_table(spark, sf_dir, "pages"), folder)
+    fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return read_records(index, folder, fields)
+
+
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start")
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    written = write_token_files(_table(spark, sf_dir, "documents"), folder)
+    return read_token_files(spark, folder, written)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
+    "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op7_warc": op7_warc,
+    "op8_repeated_passages": op8_repeated_passages,
+    "op9_token_files": op9_token_files,
 }
 
 SQL: dict[str, str] = {}

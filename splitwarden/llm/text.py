@@ -36,6 +36,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _VALUES = mix(np.arange(256, dtype=np.uint64))[LOWER]
+_RAW_VALUES = mix(np.arange(256, 512, dtype=np.uint64)), mix(np.arange(512, 768, dtype=np.uint64))
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -75,6 +76,23 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
 
 
+def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of the bytes of every range; ranges are in order."""
+    out = np.empty((2, len(start)), np.uint64)
+    low = 0
+    while low < len(start):
+        high = max(int(np.searchsorted(end, start[low] + _BLOCK, "right")), low + 1)
+        begin, stop = int(start[low]), int(end[high - 1])
+        power, inverse = _power_tables(stop - begin + 1)
+        s, e = start[low:high] - begin, end[low:high] - begin
+        for i, values in enumerate(_RAW_VALUES):
+            sums = np.zeros(stop - begin + 1, np.uint64)
+            np.cumsum(values[data[begin:stop]] * power[: stop - begin], out=sums[1:])
+            out[i, low:high] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
+        low = high
+    return out[0], out[1]
+
+
 @dataclass
 class Words:
     """The words of a column: row, byte range in ``data`` and key of each, in text order."""
