@@ -191,6 +191,14 @@ def decontamination_report(docs: DataFrame, items: DataFrame, **options) -> Data
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with all their columns."""
+    columns = docs.columns
+    found = find_hits(docs, items, columns, text, **options, prefix="_c")
+    clean = found.filter(~contaminated(hit_words("_spans"), F.col("_n")))
+    return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "_text"):

@@ -238,3 +238,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         F.when(F.col("known"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
         "digest",
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class with its columns: the one with the least doc_id.
+
+    Documents without words all stay. Of rows that share doc_id and text one stays; a class of
+    null ids only keeps one of its texts.
+    """
+    classes = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    chosen = materialise(
+        classes.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "chosen"
+    ).toDF("_kept_id", "_kept_digest", "_copies")
+    repeated = chosen.filter("_copies > 1 OR _kept_id IS NULL").isEmpty() is False
+    keyed = docs.withColumn("_digest", F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256))
+    kept = keyed.join(
+        chosen,
+        docs[doc_id].eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")),
+        "left_semi",
+    )
+    if repeated:
+        once = ["_digest", "_id"]
+        kept = kept.withColumn("_id", docs[doc_id]).dropDuplicates(once)
+    return kept.select(*docs.columns)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from splitwarden.llm.decontaminate import decontamination_report
 from splitwarden.llm.license import license_scan
+from splitwarden.llm.lines import line_report
 from splitwarden.llm.near_duplicates import near_duplicates
 from splitwarden.llm.packing import pack_documents
+from splitwarden.llm.pii import replace_pii
 from splitwarden.llm.quality import quality_report
 from splitwarden.llm.segments import repeated_passages
 from splitwarden.llm.tokenfile import read_token_files, write_token_files
@@ -42,6 +45,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.drop("spans")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "warc")
     index = write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -60,15 +67,28 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, folder, written)
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = spark.conf.get("splitwarden.pii.key", "a key for tests; production sets its own")
+    replaced = replace_pii(_table(spark, sf_dir, "documents"), key.encode())
+    return replaced.select(
+        "doc_id",
+        F.size("pii_changes").cast("bigint").alias("n_entities"),
+        "text",
+        F.transform("pii_changes", lambda c: c["kind"]).alias("kinds"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_packing": op3_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_decontamination": op5_decontamination,
+    "op6_line_dedup": op6_line_dedup,
     "op7_warc": op7_warc,
     "op8_repeated_passages": op8_repeated_passages,
     "op9_token_files": op9_token_files,
+    "op10_pii_surrogates": op10_pii_surrogates,
 }
 
 SQL: dict[str, str] = {}
