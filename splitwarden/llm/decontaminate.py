@@ -125,7 +125,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"start": s, "end": e} for s, e in out]
 
 
-def test_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = NGRAM) -> DataFrame:
+def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = NGRAM) -> DataFrame:
     """Distinct (window, item) of the benchmark, ids as strings."""
     narrow = items.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"),
@@ -144,13 +144,17 @@ def find_hits(
     n: int = NGRAM,
     block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Columns ``keep`` of every document with ``n_words``, ``spans`` of hit words and ``items``."""
+    """Every document: columns ``keep`` as _c0, _c1, ..., then _text, _n, _spans and _items.
+
+    _n is the number of words, _spans the disjoint hit word ranges, _items the ids found. The
+    plain names of the input are not used, so they cannot clash.
+    """
     spark = docs.sparkSession
-    windows = materialise(test_windows(items, item_id, item_text, n), "test-ngrams")
+    windows = materialise(item_windows(items, item_id, item_text, n), "test-ngrams")
     size = windows.agg(F.sum(F.octet_length("window") + F.octet_length("item") + 16)).first()[0] or 0
     blocks = -(-size // block_bytes)
     state = docs.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)],
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)],
         F.col(text).cast("string").alias("_text"),
         F.lit(0).cast("bigint").alias("_n"),
         F.array().cast(_SPANS).alias("_spans"),
@@ -160,16 +164,11 @@ def find_hits(
         part = windows.filter(F.pmod(F.xxhash64("window"), F.lit(max(1, blocks))) == block)
         shared = spark.sparkContext.broadcast([(r["window"], r["item"]) for r in part.collect()])
         state = state.mapInArrow(_scan(shared), state.schema)
-    return state.select(
-        *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
-        F.col("_n").alias("n_words"),
-        F.col("_spans").alias("spans"),
-        F.col("_items").alias("items"),
-    )
+    return state
 
 
 def hit_words() -> Column:
-    return F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return F.aggregate("_spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
 
 
 def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
@@ -177,26 +176,34 @@ def contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
     return (n_hit > 0) & (n_hit * share >= n_words)
 
 
-def decontamination_report(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def decontamination_report(
+    docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
     """One row per document: words, hit words, items and the verdict."""
-    found = find_hits(docs, items, ["doc_id"], **options).withColumn("n_hit", hit_words())
+    found = find_hits(docs, items, [doc_id], text, **options)
     return found.select(
-        "doc_id",
-        "n_words",
-        "n_hit",
-        F.size("items").cast("bigint").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
-        "spans",
+        F.col("_c0").alias("doc_id"),
+        F.col("_n").alias("n_words"),
+        hit_words().alias("n_hit"),
+        F.size("_items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("_items"), ","), 256).alias("items_sha256"),
+        contaminated(hit_words(), F.col("_n")).alias("contaminated"),
+        F.col("_spans").alias("spans"),
     )
 
 
+def _restored(found: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of the input under their own names and in their order."""
+    others = [c for c in columns if c != text]
+    places = {c: f"_c{i}" for i, c in enumerate(others)} | {text: "_text"}
+    return found.select(*[F.col(places[c]).alias(c) for c in columns])
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, with all their columns."""
-    columns = docs.columns
-    found = find_hits(docs, items, columns, text, **options, prefix="_c")
-    clean = found.filter(~contaminated(hit_words("_spans"), F.col("_n")))
-    return clean.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
+    others = [c for c in docs.columns if c != text]
+    found = find_hits(docs, items, others, text, **options)
+    return _restored(found.filter(~contaminated(hit_words(), F.col("_n"))), docs.columns, text)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,21 +223,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         done = int(words.end[first[row] + span["end"] - 1]) - base
                     texts[row] = b"".join([*kept, raw[done:]]).decode()
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(c) for c in part.schema.names[:-2]], pa.array(texts, pa.string())],
-                names=part.schema.names[:-1],
+                [*[part.column(c) for c in part.schema.names[:-2]], pa.array(texts, pa.string()), part.column("_spans")],
+                names=part.schema.names,
             )
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
     """The documents with all columns, hit words cut out of ``text``, the rest left as it was."""
-    columns = docs.columns
-    found = find_hits(docs.withColumn("_body", F.col(text)), items, [*columns, "_body"], text, **options)
-    shaped = found.select(
-        *[F.col(c).alias(f"_k{i}") for i, c in enumerate(columns)],
-        F.col("_body").cast("string").alias("_text"),
-        F.col("spans").alias("_spans"),
-    )
-    cut = shaped.mapInArrow(_cut, shaped.drop("_spans").schema)
-    return cut.select(
-        *[F.col("_text" if c == text else f"_k{i}").alias(c) for i, c in enumerate(columns)]
-    )
+    others = [c for c in docs.columns if c != text]
+    found = find_hits(docs, items, others, text, **options).drop("_n", "_items")
+    return _restored(found.mapInArrow(_cut, found.schema), docs.columns, text)
