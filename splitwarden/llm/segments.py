@@ -96,8 +96,9 @@ def text_units(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def repeated_passages(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """One row per passage to remove: where it stands and which document keeps its first unit.
+    """One row per passage to remove: where it stands and which place keeps it.
 
+    The units of a run may have different keepers; the least of them is named.
     ``start`` and ``stop`` are character offsets in the original text.
     """
     units = text_units(docs, doc_id, text)
@@ -128,10 +129,11 @@ def repeated_passages(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
         F.sum("words").alias("n_words"),
-        F.min_by("kept_doc_id", "unit").alias("kept_doc_id"),
-        F.min_by("kept_start", "unit").alias("kept_start"),
+        F.min(F.struct(F.col("kept_doc_id").isNull().alias("no_id"), "kept_doc_id", "kept_start")).alias("kept"),
+    )
+    return joined.filter(F.col("n_words") >= min_words).select(
+        *document, "start", "stop", "n_words", "kept.kept_doc_id", "kept.kept_start"
     )
-    return joined.filter(F.col("n_words") >= min_words).drop("run")
 
 
 def remove_passages(

@@ -1,0 +1,178 @@
+"""Packing, WARC archives, surrogates and the pipeline."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+from helpers import corpus, prose, table
+
+import corpus_pipeline
+from splitwarden.llm.packing import closest_fill, fill_windows, pack_documents
+from splitwarden.llm.pii import detect, render, replace_pii, surrogate
+from splitwarden.llm.tokens import END_ID, tokenizer_path
+from splitwarden.llm.warc import _ranges, read_records, write_archives
+from splitwarden.operators.scale import scratch_path
+
+
+def whole(text):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    library.encode_special_tokens = True
+    return library.encode(text or "", add_special_tokens=False).ids + [END_ID]
+
+
+def test_closest_fill_is_the_best_subset_sum():
+    rnd = random.Random(2)
+    for _ in range(400):
+        counts = {rnd.randrange(1, 30): rnd.randrange(1, 4) for _ in range(rnd.randrange(1, 6))}
+        room = rnd.randrange(1, 80)
+        sums = {0}
+        for length, n in counts.items():
+            sums = {s + length * k for s in sums for k in range(n + 1)}
+        used = closest_fill(counts, room)
+        assert sum(k * n for k, n in used.items()) == max(s for s in sums if s <= room)
+        assert all(n <= counts[k] for k, n in used.items())
+
+
+def test_windows_use_every_piece_once_with_little_padding():
+    rnd = random.Random(4)
+    counts = Counter(rnd.randrange(1, 1025) for _ in range(50_000))
+    used = Counter()
+    slack = 0
+    for pattern, times in fill_windows(counts):
+        total = sum(k * n for k, n in pattern.items())
+        assert total <= 1024
+        slack += (0 if total & (total - 1) == 0 else 1024 - total) * times
+        for length, n in pattern.items():
+            used[length] += n * times
+    assert used == counts and slack < 0.01 * sum(k * n for k, n in counts.items())
+
+
+def test_packing_of_a_table(spark):
+    rows = corpus()
+    found = pack_documents(table(spark, rows).repartition(5)).collect()
+    pieces = Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in found)
+    expected = Counter()
+    for doc, text in rows:
+        ids = whole(text)
+        for at in range(0, len(ids), 1024):
+            part = ids[at : at + 1024]
+            expected[(doc, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), len(ids))] += 1
+    assert pieces == expected
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r.sequence_id].append((r.offset, r.length, r.padded_to))
+    assert sorted(sequences) == list(range(len(sequences)))
+    for members in sequences.values():
+        place = 0
+        for offset, length, padded in sorted(members):
+            assert offset == place
+            place += length
+        assert place <= 1024 and padded == (place if place & (place - 1) == 0 else 1024)
+    assert pack_documents(table(spark, [])).count() == 0
+
+
+def test_archives(spark):
+    shared, short = "<p>" + "x" * 200, "tiny"
+    rows = [(i, f"http://h/{i}", f"<html>{prose(i, 30)}</html>") for i in range(30)]
+    rows += [(40, "u", shared), (38, "v", shared), (39, None, shared), (41, "a b\r\nX: y", short), (42, "", short)]
+    rows += [(43, "e", None), (44, "e", ""), (None, "n", shared), (38, "v", shared), (45, "ü", "é漢" * 4000)]
+    pages = spark.createDataFrame([(*r, 1, "r") for r in rows], "page_id bigint, url string, html string, digest int, file string")
+    folder = scratch_path(spark, "test-warc")
+    index = write_archives(pages.repartition(4), folder)
+    assert index.count() == len(rows)
+    got = Counter(
+        (r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
+        for r in read_records(index, folder).collect()
+    )
+    expected = Counter()
+    for page, _, html in rows:
+        body = (html or "").encode()
+        revisit = html == shared and page != 38
+        expected[(page, len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", 38 if revisit else None)] += 1
+    assert got == expected
+    some = read_records(index.filter("page_id IN (3, 45)"), folder, ["page_id", "payload"]).collect()
+    assert {r.page_id: bytes(r.payload).decode() for r in some} == {3: rows[3][2], 45: "é漢" * 4000}
+    assert read_records(write_archives(pages.limit(0), scratch_path(spark, "test-warc")), folder).count() == 0
+
+
+def test_ranges_join_neighbours():
+    assert [r[:2] for r in _ranges([(0, 10), (10, 10), (200_000, 5), (200_010, 5)])] == [(0, 20), (200_000, 200_015)]
+
+
+PERSONAL = (
+    "Mr John Smith (john.smith@mail.example.com, +1 (736) 555-2678) met Mrs Anna Smith at 10.1.2.3; "
+    "card 4111 1111 1111 1111, password=b7db7aa4a5fcc78305, SSN 123-45-6789, Госпожа Иванова."
+)
+
+
+def test_detection():
+    kinds = [k.split(":")[0] for k, *_ in detect(PERSONAL)]
+    assert kinds == ["given", "surname", "email", "phone", "given", "surname", "ip", "card", "secret", "ssn", "surname"]
+    assert detect("version 1.2.3.4.5 and 12:30, 2024-01-02") == []
+
+
+def test_surrogates_keep_type_shape_and_identity(spark):
+    rows = [(1, PERSONAL), (2, PERSONAL.replace("4111 1111 1111 1111", "4111111111111111")), (3, None), (4, ""), (None, "mail JOHN.SMITH@mail.example.com"), (1, PERSONAL), (5, "nothing here")]
+    rows += [(100 + i, f"user{i % 10}@a.b from 10.0.0.{i} Mr Ab{chr(97 + i % 26)} Cd{chr(97 + i // 26)}") for i in range(200)]
+    docs = table(spark, rows)
+    out = replace_pii(docs, b"key")
+    assert out.columns == [*docs.columns, "pii_changes"]
+    found = out.collect()
+    assert len(found) == len(rows)
+    text = {r.doc_id: r.text for r in found}
+    assert text[3] is None and text[4] == "" and text[5] == "nothing here"
+    for secret in ("john.smith", "555-2678", "4111", "b7db7aa4", "123-45-6789", "Иванова", "Smith", "10.1.2.3"):
+        assert secret not in text[1] and secret not in text[2]
+    source, forms = dict(rows), defaultdict(set)
+    for r in found:
+        for c in r.pii_changes:
+            raw = source[r.doc_id][c["start"] : c["stop"]]
+            canonical = next(e for k, e, s, _ in detect(source[r.doc_id]) if s == c["start"])
+            forms[c["kind"], canonical].add(c["surrogate"])
+            assert [x.isdigit() for x in render(c["kind"], raw, c["surrogate"])] == [x.isdigit() for x in raw] or c["kind"] in ("ip", "email") or "name" in c["kind"] or c["kind"].startswith(("given", "surname"))
+    assert all(len(x) == 1 for x in forms.values())  # one surrogate for one entity
+    by_kind = defaultdict(list)
+    for (kind, _), values in forms.items():
+        by_kind[kind] += values
+    for kind, values in by_kind.items():  # distinct, and none of them an entity
+        assert len(values) == len(set(values))
+        assert not set(values) & {e for k, e in forms if k == kind}
+    assert replace_pii(table(spark, []), b"key").count() == 0
+    again = {r.doc_id: r.text for r in replace_pii(docs.repartition(3), b"key").collect()}
+    assert again == text
+
+
+def test_surrogate_forms():
+    from splitwarden.llm.pii import _luhn
+
+    assert _luhn(surrogate(b"k", "card", "4111111111111111", 0)) == 0
+    assert surrogate(b"k", "ip", "192.168.7.9", 0).startswith("192.168.")
+    assert surrogate(b"k", "phone", "17365552678", 3)[0] == "1"
+    assert render("surname:latin:any", "SMITH", "baker") == "BAKER"
+
+
+def test_pipeline_stages_follow_each_other(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    from splitwarden.operators.scale import materialise
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), "test-stage")
+        assert docs.columns == columns, name
+        assert 0 < docs.count() <= before
+        before = docs.count()
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_takes_awkward_rows(spark):
+    docs = table(spark, corpus())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        once = stage(spark, docs, "/root/testdata/sf0.001")
+        assert once.columns == docs.columns and once.count() > 0, name
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0, name
