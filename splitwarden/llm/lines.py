@@ -8,7 +8,8 @@ are compared by edit distance; two lines within ``THRESHOLD`` = t edits are link
    the segment, content). By the pigeonhole principle a linked line that is not shorter holds
    one of the segments unchanged, so each line probes, for every length from its own down to t
    less, the few substrings that the multi-match-aware bounds allow.
-3. Pairs that meet are verified in full: common ends are cut off and a banded bit-parallel
+3. Of the lines that meet, a pair is made only where the parities of their characters allow t
+   edits. Pairs are verified in full: common ends are cut off and a banded bit-parallel
    edit distance (Myers, Hyyro) runs over 2t + 1 diagonals until it exceeds t.
 4. An occurrence is removed when the same line occurs earlier, or when its line is linked to a
    line that first occurs earlier. Earlier means lesser doc_id, then lesser line number.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -56,29 +58,51 @@ def probes(length: int, threshold: int) -> Iterator[tuple[int, int, int, int]]:
                 yield length - shorter, i, place, size
 
 
+def parity(texts: list[str]) -> np.ndarray:
+    """64 parity bits of the characters of each non-empty line.
+
+    An edit takes one character and gives one at most, so it flips at most two bits: lines
+    within t edits differ in at most 2t bits.
+    """
+    if not texts:
+        return np.zeros(0, np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.uint64)
+    bits = np.uint64(1) << ((points * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(58))
+    lengths = np.array([len(t) for t in texts])
+    return np.bitwise_xor.reduceat(bits, np.cumsum(lengths) - lengths).view(np.int64)
+
+
 def _sign(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, tuple[list, list]] = {}
         for batch in batches:
-            ids, keys, probing = [], [], []
-            for line, text in zip(batch.column("line").to_pylist(), batch.column("text").to_pylist()):
-                n = len(text)
+            ids, keys, probing, repeats = [], [], [], []
+            texts = batch.column("text").to_pylist()
+            raw, bags = "".join(texts).encode("utf-32-le"), parity(texts)
+            base = 0
+            for line, n in zip(batch.column("line").to_pylist(), map(len, texts)):
                 if n not in plans:
                     if len(plans) > 50_000:
                         plans.clear()
                     own = [(n, i, s, k) for i, (s, k) in enumerate(segments(n, threshold + 1))]
                     plans[n] = own, sorted(set(probes(n, threshold)) - set(own))
-                raw = text.encode("utf-32-le")
                 for is_probe, places in enumerate(plans[n]):
                     for length, i, start, size in places:
                         seed = length * (threshold + 1) + i
-                        key = xxhash.xxh64_intdigest(raw[4 * start : 4 * (start + size)], seed)
-                        keys.append(key - (1 << 63))
+                        at = base + 4 * start
+                        keys.append(xxhash.xxh64_intdigest(raw[at : at + 4 * size], seed) - (1 << 63))
                         probing.append(is_probe == 1)
                         ids.append(line)
+                repeats.append(len(plans[n][0]) + len(plans[n][1]))
+                base += 4 * n
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(probing, pa.bool_())],
-                names=["key", "line", "probe"],
+                [
+                    pa.array(keys, pa.int64()),
+                    pa.array(ids, pa.int64()),
+                    pa.array(probing, pa.bool_()),
+                    pa.array(np.repeat(bags, repeats)),
+                ],
+                names=["key", "line", "probe", "bag"],
             )
 
     return run
@@ -187,18 +211,25 @@ def _place(doc_id: Column | str = "doc_id", line_no: Column | str = "line_no") -
 def line_links(lines: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Pairs (a, b) of different lines within ``threshold`` edits; ``lines``: line, text."""
     signed = lines.select("line", "text").mapInArrow(
-        _sign(threshold), "key bigint, line bigint, probe boolean"
+        _sign(threshold), "key bigint, line bigint, probe boolean, bag bigint"
+    )
+    index = signed.filter(~F.col("probe")).select(
+        F.col("key").alias("other_key"), F.col("line").alias("other"), F.col("bag").alias("other_bag")
     )
-    index = signed.filter(~F.col("probe")).select("key", F.col("line").alias("other"))
     met = (
-        signed.join(index, "key")
-        .filter((F.col("line") < F.col("other")) | (F.col("probe") & (F.col("line") > F.col("other"))))
+        signed.join(
+            index,
+            (F.col("key") == F.col("other_key"))
+            & ((F.col("line") < F.col("other")) | (F.col("probe") & (F.col("line") > F.col("other"))))
+            & (F.bit_count(F.col("bag").bitwiseXOR(F.col("other_bag"))) <= 2 * threshold),
+        )
         .select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b"))
         .distinct()
     )
     pairs = materialise(met, "line-pairs")
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    texts = lines.join(ends, "line", "left_semi").select("line", "text")
+    # The number of paired lines grows with the corpus: never a broadcast.
+    texts = lines.select("line", "text").join(ends.hint("merge"), "line", "left_semi")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     links = materialise(joined.mapInArrow(_verify(threshold), "a bigint, b bigint"), "line-links")
     release(pairs)
@@ -216,6 +247,8 @@ def removed_lines(
 
     doc_id, text_key, line_no, kept_doc_id, kept_line_no, n_links (of its line to others).
     """
+    if min_chars <= threshold:
+        raise ValueError("a line must be longer than the number of edits")
     found = _occurrences(docs, doc_id, text, min_chars)
     lines = (
         found.groupBy("digest_a", "digest_b")
