@@ -11,11 +11,11 @@ equal weights that is the Jaccard similarity of the sets.
 Banding. ``BANDS`` bands of ``ROWS`` registers: a pair at similarity 0.8 shares no band with
 probability (1 - 0.8^6)^32 = 6e-5.
 
-Verification. Jaccard similarity of the shingle sets, computed in full, at least 0.8. It is a
-metric, which keeps buckets cheap without losing a link: all members of a bucket are compared
-with its hub (least content); pairs that are not yet in one class are compared only when their
-distances to the hub differ by at most 0.2, since otherwise the triangle inequality rules the
-link out. Links are closed to classes after each of the two steps.
+Verification. Jaccard similarity of the shingle sets, computed in full, at least 0.8. All
+members of a bucket are compared with its hub (least content) and the links closed to classes.
+Members that are then still in different classes meet by prefix filtering (``_unsettled``),
+which loses no link and does not pair all texts that share an original; what meets is verified
+in the same way.
 
 Copies of one text are one content; they are never paired. A class is named by its least
 doc_id.
@@ -28,7 +28,7 @@ impossible between different shingles up to the hash; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ SIMILARITY = 0.8
 BANDS = 32
 ROWS = 6
 _REGISTERS = BANDS * ROWS
+COMMON = 100_000  # shingles whose frequency orders the prefixes; 1.6 MB in a broadcast
+SLICE_COPIES = 4  # texts of a slice of 4 MB that hold a shingle before it is counted
 
 
 def shingles(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,39 +118,106 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def jaccard(a: Words, b: Words) -> np.ndarray:
-    """Jaccard similarity of the shingle sets of equal rows of ``a`` and ``b``."""
-    ra, ea, _ = shingles(a)
-    rb, eb, _ = shingles(b)
-    rows, both = np.concatenate((ra, rb)), np.concatenate((ea, eb))
-    order = np.lexsort((both, rows))
-    rows, both = rows[order], both[order]
-    same = (rows[1:] == rows[:-1]) & (both[1:] == both[:-1])
-    shared = np.bincount(rows[1:][same], minlength=a.rows)
-    total = np.bincount(rows, minlength=a.rows) - shared
-    return shared / np.maximum(total, 1)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Overlap:
+    """Shingle sets of equal rows of ``a`` and ``b``, compared in full."""
+
+    def __init__(self, a: Words, b: Words):
+        ra, ea, _ = shingles(a)
+        self.row, self.element, _ = shingles(b)
+        rows, both = np.concatenate((ra, self.row)), np.concatenate((ea, self.element))
+        side = np.arange(len(rows)) >= len(ra)
+        order = np.lexsort((side, both, rows))
+        same = np.zeros(len(rows), bool)
+        same[1:] = (np.diff(rows[order]) == 0) & (both[order][1:] == both[order][:-1])
+        twin = np.empty(len(rows), bool)
+        twin[order] = same
+        shared = np.bincount(self.row[twin[len(ra) :]], minlength=a.rows)
+        self.size = np.bincount(self.row, minlength=a.rows)
+        total = np.bincount(ra, minlength=a.rows) + self.size - shared
+        self.jaccard = shared / np.maximum(total, 1)
+
+    def prefixes(self, common: tuple[np.ndarray, np.ndarray]) -> pa.Array:
+        """The first shingles of each b, rare ones first, then by hash."""
+        known, counts = common
+        slot = np.searchsorted(known, self.element)
+        slot[slot == len(known)] = 0
+        often = np.where(known[slot] == self.element, counts[slot], 0) if len(known) else slot
+        order = np.lexsort((self.element, often, self.row))
+        first = np.cumsum(self.size) - self.size
+        place = np.arange(len(order)) - first[self.row[order]]
+        wanted = place < _prefix(self.size)[self.row[order]]
+        kept = np.bincount(self.row[order][wanted], minlength=len(self.size))
+        offsets = np.concatenate(([0], np.cumsum(kept)))
+        tokens = self.element[order][wanted].view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text_a"):
-            a, b = words_of(part.column("text_a")), words_of(part.column("text_b"))
+        for part in slices(batch, "text"):
+            _, element, _ = shingles(words_of(part.column("text")))
+            found, count = np.unique(element, return_counts=True)
+            often = count >= SLICE_COPIES
             yield pa.RecordBatch.from_arrays(
-                [part.column("a"), part.column("b"), pa.array(jaccard(a, b))],
-                names=["a", "b", "similarity"],
+                [pa.array(found[often].view(np.int64)), pa.array(count[often])], names=["token", "n"]
             )
 
 
-def _similarities(pairs: DataFrame, contents: DataFrame) -> DataFrame:
-    """``similarity`` of every pair (a, b) of contents; only texts of paired contents move."""
+def common_shingles(contents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found in many texts, with about how many, sorted; at most ``COMMON`` of them.
+
+    They only set the order in which shingles enter prefixes. Any order gives the same links;
+    this one keeps shingles that many texts share out of most prefixes.
+    """
+    counted = contents.mapInArrow(_frequent, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = counted.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def _prefix(size: np.ndarray) -> np.ndarray:
+    """Shingles of the longer of two similar texts among which one must be shared."""
+    return np.floor((1 - SIMILARITY) * size + 1e-9).astype(np.int64) + 1
+
+
+def jaccard(a: Words, b: Words) -> np.ndarray:
+    return Overlap(a, b).jaccard
+
+
+def _verify(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text_a"):
+                found = Overlap(words_of(part.column("text_a")), words_of(part.column("text_b")))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("a"),
+                        part.column("b"),
+                        pa.array(found.jaccard),
+                        pa.array(found.size, pa.int64()),
+                        found.prefixes(shared.value),
+                    ],
+                    names=["a", "b", "similarity", "size", "prefix"],
+                )
+
+    return run
+
+
+def _compared(pairs: DataFrame, contents: DataFrame, shared) -> DataFrame:
+    """similarity, size and prefix of b for every pair (a, b); only texts of paired contents move."""
     ends = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct()
-    texts = contents.join(ends, "content", "left_semi")
+    # The number of paired texts grows with the corpus: never a broadcast.
+    texts = contents.join(ends.hint("merge"), "content", "left_semi")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return joined.mapInArrow(_verify, "a bigint, b bigint, similarity double")
+    return joined.mapInArrow(
+        _verify(shared), "a bigint, b bigint, similarity double, size bigint, prefix array<bigint>"
+    )
 
 
 def content_classes(contents: DataFrame) -> DataFrame:
     """(content, class) of all contents linked to another; ``contents``: content, text, distinct."""
+    shared = contents.sparkSession.sparkContext.broadcast(common_shingles(contents.select("text")))
     members = materialise(
         contents.mapInArrow(_sign, "content bigint, keys array<bigint>").select(
             "content", F.explode("keys").alias("bucket")
@@ -157,55 +226,69 @@ def content_classes(contents: DataFrame) -> DataFrame:
     )
     hubs = members.groupBy("bucket").agg(F.min("content").alias("hub"), F.count("*").alias("n"))
     hubs = materialise(hubs.filter("n > 1").select("bucket", "hub"), "hubs")
-    crowded = materialise(members.join(hubs, "bucket"), "crowded")
-    release(members)
-    spokes = crowded.filter("content <> hub").select(F.col("hub").alias("a"), F.col("content").alias("b"))
-    measured = materialise(_similarities(spokes.distinct(), contents), "measured")
+    spokes = (
+        members.join(hubs, "bucket")
+        .filter("content <> hub")
+        .select(F.col("hub").alias("a"), F.col("content").alias("b"))
+        .distinct()
+    )
+    spokes = materialise(spokes, "spokes")
+    release(members, hubs)
+    measured = materialise(_compared(spokes, contents, shared), "measured")
+    release(spokes)
     links = measured.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
     stars = edge_stars(links.toDF("dst", "src"))
-    rest = materialise(_unsettled(crowded, measured, stars), "unsettled")
+    rest = materialise(_unsettled(measured, stars), "unsettled")
     if rest.isEmpty():
         classes = stars
     else:
-        more = _similarities(rest, contents).filter(F.col("similarity") >= SIMILARITY)
+        more = _compared(rest, contents, shared).filter(F.col("similarity") >= SIMILARITY)
         more = materialise(more.select("a", "b"), "links")
         classes = edge_stars(links.union(more).toDF("dst", "src"))
     return classes.select(F.col("src").alias("content"), F.col("dst").alias("class"))
 
 
-def _unsettled(crowded: DataFrame, measured: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different classes that the hub's distances do not rule out."""
+def _unsettled(measured: DataFrame, stars: DataFrame) -> DataFrame:
+    """Pairs of one hub in different classes that may be linked, by prefix filtering.
+
+    Shingles are ordered by (about how many texts hold them, hash). If two texts have similarity t, at most (1 - t) / (1 + t) of the shorter and 1 - t of the longer text's
+    shingles are not shared, so their first shared shingle lies in both prefixes, and the
+    shingles before it bound the overlap. What many texts took from one original stands last
+    in this order, so texts that only share a common passage or original do not meet.
+    """
     classes = stars.select(F.col("src").alias("content"), F.col("dst").alias("class"))
     far = (
-        crowded.filter("content <> hub")
-        .join(measured.toDF("hub", "content", "similarity"), ["hub", "content"])
+        measured.select(F.col("a").alias("hub"), F.col("b").alias("content"), "size", "prefix")
         .join(classes, "content", "left")
         .withColumn("class", F.coalesce("class", "content"))
         .join(classes.toDF("hub", "hub_class"), "hub", "left")
-        .withColumn("hub_class", F.coalesce("hub_class", "hub"))
-        .withColumn("distance", 1 - F.col("similarity"))
+        .withColumn("outside", F.col("class") != F.coalesce("hub_class", "hub"))
     )
-    reach = 1 - SIMILARITY
-    # Only a member outside the hub's class can give a link that is not known yet, and it can
-    # reach a member of that class only if it is within reach of that member's distance.
-    outside = far.filter("class <> hub_class").select("bucket", "content", "class", "distance")
-    inside = far.join(outside.select("bucket").distinct(), "bucket", "left_semi")
-    cell = F.floor(F.col("distance") / reach)
-    left = outside.withColumn("cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    right = inside.select(
-        "bucket",
-        cell.alias("cell"),
-        F.col("content").alias("other"),
-        F.col("class").alias("other_class"),
-        F.col("distance").alias("other_distance"),
+    # Only a member outside the hub's class can give a link that is not known yet.
+    open_hubs = far.filter("outside").select("hub").distinct()
+    tokens = far.join(open_hubs, "hub", "left_semi").select(
+        "hub", "content", "class", "size", "outside", F.posexplode("prefix").alias("place", "token")
     )
-    return (
-        left.join(right, ["bucket", "cell"])
-        .filter("class <> other_class")
-        .filter(F.abs(F.col("distance") - F.col("other_distance")) <= reach + 1e-9)
-        .select(F.least("content", "other").alias("a"), F.greatest("content", "other").alias("b"))
-        .distinct()
+    share = (1 - SIMILARITY) / (1 + SIMILARITY)
+    short = tokens.filter(F.col("place") <= F.col("size") * share + 1e-9)
+    s, long = short.alias("s"), tokens.alias("l")
+    needed = (F.col("s.size") + F.col("l.size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    left = F.least(F.col("s.size") - F.col("s.place"), F.col("l.size") - F.col("l.place"))
+    met = s.join(
+        long,
+        (F.col("s.hub") == F.col("l.hub"))
+        & (F.col("s.token") == F.col("l.token"))
+        & (
+            (F.col("s.size") < F.col("l.size"))
+            | ((F.col("s.size") == F.col("l.size")) & (F.col("s.content") < F.col("l.content")))
+        )
+        & (F.col("s.class") != F.col("l.class"))
+        & (F.col("s.outside") | F.col("l.outside"))
+        & (left >= needed),
     )
+    return met.select(
+        F.least("s.content", "l.content").alias("a"), F.greatest("s.content", "l.content").alias("b")
+    ).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
