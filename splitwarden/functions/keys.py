@@ -24,6 +24,11 @@ DECISION_ALIASES = {
 }
 
 
+def strip(value: Column | str) -> Column:
+    """Cut every kind of white space off both ends, not only blanks."""
+    return F.regexp_replace(value, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def _literal_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(part) for pair in values.items() for part in pair])
 
@@ -33,7 +38,7 @@ def normalise_decision(value: Column, strict: bool = True) -> Column:
 
     Unknown spellings fail the query when ``strict``; otherwise they pass through.
     """
-    cleaned = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    cleaned = F.lower(strip(F.coalesce(value, F.lit(""))))
     known = F.try_element_at(_literal_map(DECISION_ALIASES), cleaned)
     if not strict:
         return F.coalesce(known, cleaned)
@@ -75,7 +80,7 @@ def run_name(experiment: Column, seed: Column) -> Column:
 
 def clean_path(value: Column) -> Column:
     """Trim and drop one matching pair of surrounding quotes."""
-    return F.regexp_replace(F.trim(value), r"""(?s)^(["'])(.*)\1$""", "$2")
+    return F.regexp_replace(strip(value), r"""(?s)^(["'])(.*)\1$""", "$2")
 
 
 def flat_name(path: Column) -> Column:

@@ -9,6 +9,7 @@ from functools import cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitwarden.functions import keys as K
 from splitwarden.functions.lexicon import BILINGUAL_RULES, LanguageRules
 from splitwarden.functions.sqltext import plus, quoted, string_array, string_map
 
@@ -240,4 +241,4 @@ def as_paragraphs(value: Column) -> Column:
         F.try_variant_get(value, "$", "array<string>"),
         F.array(F.try_variant_get(value, "$", "string")),
     )
-    return F.filter(listed, lambda p: p.isNotNull() & (F.trim(p) != ""))
+    return F.filter(listed, lambda p: p.isNotNull() & (K.strip(p) != ""))

@@ -124,12 +124,13 @@ def advice_bundles(
 def result_bundle(preds: DataFrame, bundles: DataFrame, strict: bool = True) -> DataFrame:
     """Look up every prediction (``class_name``, ``season``): one row per language.
 
-    With ``strict`` a class without advice fails the query instead of losing its row.
+    With ``strict`` a class without advice fails the query; otherwise its row stays without
+    advice and ``found`` is false.
     """
     side = bounded_broadcast(bundles.withColumn("_known", F.lit(True)))
-    joined = preds.join(side, ["class_name", "season"], "left" if strict else "inner")
+    joined = preds.join(side, ["class_name", "season"], "left")
     if not strict:
-        return joined.drop("_known")
+        return joined.withColumn("found", F.coalesce("_known", F.lit(False))).drop("_known")
     unknown = F.concat(F.lit("no advice for class "), F.coalesce("class_name", F.lit("NULL")))
     checked = F.coalesce("_known", F.raise_error(unknown).cast("boolean"))
     return joined.filter(checked).drop("_known")

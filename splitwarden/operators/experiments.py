@@ -298,13 +298,17 @@ def best_epoch(history: DataFrame, run: Sequence[str] = ("run",)) -> DataFrame:
 
 
 def overlay_configs(
-    base: DataFrame, overrides: DataFrame, names: Sequence[str]
+    base: DataFrame, overrides: DataFrame, names: Sequence[str] | None = None
 ) -> DataFrame:
     """Full settings of the named variants: the base with (section, key) overrides.
 
     ``base``: section, key, value. ``overrides``: name, section, key, value. A name that
-    is neither overridden nor "baseline" is an error. Overrides may add keys.
+    is neither overridden nor "baseline" is an error. Overrides may add keys. Without
+    ``names`` every overridden variant and the baseline are given (one name per experiment).
     """
+    if names is None:
+        found = overrides.select("name").distinct().filter("name <> 'baseline'")
+        names = ["baseline", *sorted(r["name"] for r in found.collect())]
     listed = bounded_broadcast(overrides.select("name").distinct())
     wanted = base.sparkSession.createDataFrame([(n,) for n in names], "name string")
     unknown = [

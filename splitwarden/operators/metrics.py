@@ -71,6 +71,15 @@ def with_prediction(df: DataFrame) -> DataFrame:
     )
 
 
+def known_labels(df: DataFrame, k: int) -> DataFrame:
+    """Rows whose truth and prediction are classes 0..k-1.
+
+    A NULL label or one outside that range belongs to no class: no metric counts the row,
+    whatever the number of classes.
+    """
+    return df.filter(F.col("y_true").between(0, k - 1) & F.col("y_pred").between(0, k - 1))
+
+
 def metric_cube(
     preds: DataFrame, k: int, by: Sequence[str] = (), bins: int = ECE_BINS
 ) -> DataFrame:
@@ -88,7 +97,8 @@ def metric_cube(
         P.squared_error("probs", "y_true", k).alias("sq"),
     )
     return (
-        scored.withColumn("bin", P.confidence_bin("conf", bins))
+        known_labels(scored, k)
+        .withColumn("bin", P.confidence_bin("conf", bins))
         .groupBy(*by, "y_true", "y_pred", "bin")
         .agg(
             F.count("*").alias("n"),
@@ -132,7 +142,7 @@ def confusion_matrix(preds: DataFrame, k: int, by: Sequence[str] = ()) -> DataFr
     """Dense counts; accepts rows with ``y_pred`` or with ``probs`` only."""
     if "y_pred" not in preds.columns:
         preds = preds.withColumn("y_pred", P.predicted_index(F.col("probs")))
-    cells = preds.groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
+    cells = known_labels(preds, k).groupBy(*by, "y_true", "y_pred").agg(F.count("*").alias("n"))
     return confusion_from_cube(cells, k, by)
 
 

@@ -8,218 +8,125 @@ Spark.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
+import numpy as np
+
 Histogram = Mapping[int, int]
 Quota = dict[int, tuple[int, int]]  # size -> (groups to test, groups to validation)
 
-STATE_BUDGET = 4_000_000
-
-
-def _pieces(count: int) -> list[int]:
-    """Split a count into 1, 1, 2, 2, 4, 4, ... and a rest.
-
-    Every power comes twice, so any two numbers that fit together can be formed from
-    disjoint pieces: one for test, one for validation.
-    """
-    pieces, step = [], 1
-    while count > 0:
-        for _ in range(2):
-            take = min(step, count)
-            if take:
-                pieces.append(take)
-                count -= take
-        step *= 2
-    return pieces
-
-
-def _reach(histogram: Histogram, max_test: int, max_val: int) -> tuple[list, list[int], int]:
-    """Reachable (test, validation) totals as bit sets, one set per step for tracing back.
-
-    Bit ``t * width + v`` stands for the state (t, v).
-    """
-    width = max_val + 1
-    full = (1 << ((max_test + 1) * width)) - 1
-    row = (1 << width) - 1
-    ones, rows = 1, 1
-    while rows <= max_test:
-        ones |= ones << (rows * width)
-        rows *= 2
-    ones &= full
-    states = 1
-    steps, trail = [], [states]
-    for size in sorted(histogram, reverse=True):
-        most = min(histogram[size], (max_test + max_val) // size)
-        for piece in _pieces(most):
-            weight = size * piece
-            grown = states
-            if weight <= max_test:
-                grown |= (states << (weight * width)) & full
-            if weight <= max_val:
-                # Only states whose validation total stays in range may move.
-                room = (row >> weight) * ones
-                grown |= (states & room) << weight
-            steps.append((size, piece))
-            trail.append(grown)
-            states = grown
-    return steps, trail, width
-
-
-def _trace(steps: list, trail: list[int], width: int, test: int, val: int) -> Quota:
-    quota: Quota = {}
-    for (size, piece), before in zip(reversed(steps), reversed(trail[:-1])):
-        if before >> (test * width + val) & 1:
-            continue
-        weight = size * piece
-        t, v = quota.get(size, (0, 0))
-        if test >= weight and before >> ((test - weight) * width + val) & 1:
-            test -= weight
-            quota[size] = (t + piece, v)
-        else:
-            val -= weight
-            quota[size] = (t, v + piece)
-    return quota
-
-
-def _closest(
-    states: int, width: int, target_test: int, target_val: int, total: int
-) -> tuple[int, int] | None:
-    """State with least absolute, then maximum, then joint error; no part empty."""
-    data = states.to_bytes((states.bit_length() + 7) // 8, "little")
-
-    def reached(test: int, val: int) -> bool:
-        if test <= 0 or val <= 0 or val >= width or total - test - val <= 0:
-            return False
-        at = test * width + val
-        return at >> 3 < len(data) and bool(data[at >> 3] >> (at & 7) & 1)
-
-    # Look at growing distances from the target; the first distance with a state wins.
-    furthest = 8 * len(data) // width + width + target_test + target_val
-    for error in range(furthest + 1):
-        found = []
-        for dt in range(error + 1):
-            dv = error - dt
-            for test in {target_test - dt, target_test + dt}:
-                for val in {target_val - dv, target_val + dv}:
-                    if reached(test, val):
-                        joint = abs(test + val - target_test - target_val)
-                        found.append((max(dt, dv), joint, test, val))
-        if found:
-            return min(found)[2:]
-    return None
-
-
-def _take(pool: dict[int, int], quota: Quota, size: int, side: int, count: int) -> int:
-    """Move ``count`` groups from the pool to one side; returns the rows moved."""
-    if count <= 0:
-        return 0
-    pool[size] -= count
-    test, val = quota.get(size, (0, 0))
-    quota[size] = (test + count, val) if side == 0 else (test, val + count)
-    return count * size
-
-
-def _fill(pool: dict[int, int], quota: Quota, goal: list[int]) -> None:
-    """Larger sizes first, each to the side with more room, never above the goals."""
-    for size in sorted(pool, reverse=True):
-        for side in sorted((0, 1), key=lambda i: -goal[i]):
-            goal[side] -= _take(pool, quota, size, side, min(pool[size], goal[side] // size))
-
-
-def _error(quota: Quota, test: int, val: int) -> tuple[int, int, int]:
-    dt = sum(s * a for s, (a, _) in quota.items()) - test
-    dv = sum(s * b for s, (_, b) in quota.items()) - val
-    return abs(dt) + abs(dv), max(abs(dt), abs(dv)), abs(dt + dv)
-
-
-def _states(pool: Histogram, test: int, val: int) -> int:
-    largest = max(pool, default=0)
-    return (test + min(largest, test) + 1) * (val + min(largest, val) + 1)
-
-
-def _solve(pool: Histogram, test: int, val: int, total: int) -> Quota | None:
-    """Search all states of a pool for the targets, or the nearest state."""
-    largest = max(pool, default=0)
-    steps, trail, width = _reach(pool, test + min(largest, test), val + min(largest, val))
-    if val < width and trail[-1] >> (test * width + val) & 1:
-        return _trace(steps, trail, width, test, val)
-    near = _closest(trail[-1], width, test, val, total)
-    return None if near is None else _trace(steps, trail, width, *near)
-
-
-def split_quotas(histogram: Histogram, target_test: int, target_val: int) -> Quota:
-    """Quotas that meet both targets exactly when reachable, else come closest.
-
-    Small classes are solved over all states. In large classes quotas cover all but a
-    reserve of each target, first in proportion to the sizes and then with the largest
-    groups that fit, and the same search settles the reserve with the groups left. The
-    reserve doubles until both targets are met or the state budget ends; then the closest
-    quotas found are used and the split summary reports the difference.
+# Candidates looked at over all sizes, and at least per size; bounds the driver's time and memory.
+CANDIDATES = 12_000_000
+LEAST_CANDIDATES = 20_000
+# Ways of dealing one size that are tried from every partial total.
+WAYS = 600
+
+
+def _ways(count: int, share_test: float, share_val: float) -> tuple[np.ndarray, bool]:
+    """(test, validation) counts tried for a size, nearest to the shares first; and whether all."""
+    reach = count if (count + 1) * (count + 2) // 2 <= WAYS else 5
+    a0, b0 = round(count * share_test), round(count * share_val)
+    pairs = [
+        (a, b)
+        for a in range(max(0, a0 - reach), min(count, a0 + reach) + 1)
+        for b in range(max(0, b0 - reach), min(count - a, b0 + reach) + 1)
+    ]
+    pairs.sort(key=lambda p: (abs(p[0] - a0) + abs(p[1] - b0), p))
+    whole = len(pairs) == (count + 1) * (count + 2) // 2
+    return np.array(pairs[: None if whole else WAYS], np.int64).reshape(-1, 2), whole
+
+
+def _finish(test: np.ndarray, val: np.ndarray, size: int, count: int, goal: tuple[int, int]):
+    """Counts of the last size that bring each partial total closest to the goal."""
+    found = []
+    for up_a in (0, 1):
+        a = np.clip((goal[0] - test) // size + up_a, 0, count)
+        for up_b in (0, 1):
+            b = np.clip((goal[1] - val) // size + up_b, 0, count - a)
+            found.append((a, b))
+            found.append((np.minimum(a, count - np.minimum(b, count)), np.minimum(b, count)))
+    # Where the groups do not suffice for both goals, what is missing is shared evenly.
+    even = (goal[0] - test - goal[1] + val + count * size) // (2 * size)
+    for up in (0, 1):
+        a = np.clip(even + up, 0, count)
+        found.append((a, count - a))
+    return found
+
+
+def _score(test: np.ndarray, val: np.ndarray, goal: tuple[int, int], total: int) -> np.ndarray:
+    """Sort key: absolute, then maximum, then joint error; last when a part is empty."""
+    dt, dv = np.abs(test - goal[0]), np.abs(val - goal[1])
+    empty = (test <= 0) | (val <= 0) | (test + val >= total)
+    return np.lexsort((np.abs(test + val - sum(goal)), np.maximum(dt, dv), dt + dv, empty))
+
+
+def solve_quotas(histogram: Histogram, target_test: int, target_val: int) -> tuple[Quota, bool]:
+    """(quotas, proven): the closest totals found, and whether nothing can be closer.
+
+    One search for histograms of any size. Sizes are dealt from the largest to the smallest;
+    every partial total is kept once, and where there are more than the budget allows, those
+    nearest to a proportional deal stay. The smallest size is dealt by the difference that is
+    left. The result is proven when no partial total and no way of dealing was left out, or
+    when the error equals the bound that the common divisor of the sizes sets.
     """
     total = sum(size * count for size, count in histogram.items())
     if target_test < 1 or target_val < 1:
         raise ValueError("test and validation targets must both be positive")
     if target_test + target_val >= total:
         raise ValueError("the train part would be empty")
+    sizes = sorted((s for s, n in histogram.items() if n > 0), reverse=True)
+    goal, limit = (target_test, target_val), sizes[0]
+    budget = max(LEAST_CANDIDATES, CANDIDATES // len(sizes))
+    keep = budget // 10
+    test, val = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    trail: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    whole, done = True, 0
+    for size in sizes:
+        count = histogram[size]
+        ways, all_ways = _ways(count, target_test / total, target_val / total)
+        parts = [(np.full(len(test), a), np.full(len(test), b)) for a, b in ways.tolist()]
+        if size == sizes[-1] and not all_ways:
+            parts += _finish(test, val, size, count, goal)
+            all_ways = True
+        elif len(test) * len(parts) > budget:
+            parts, all_ways = parts[: max(9, budget // len(test))], False
+        whole &= all_ways
+        parent = np.tile(np.arange(len(test)), len(parts))
+        a, b = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        new_test, new_val = test[parent] + a * size, val[parent] + b * size
+        inside = np.flatnonzero((new_test <= target_test + limit) & (new_val <= target_val + limit))
+        order = inside[np.lexsort((new_val[inside], new_test[inside]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (np.diff(new_test[order]) != 0) | (np.diff(new_val[order]) != 0)
+        order = order[first]
+        done += size * count
+        if len(order) > keep:
+            whole = False
+            ahead = np.abs(new_test[order] - target_test * done / total)
+            ahead += np.abs(new_val[order] - target_val * done / total)
+            if size == sizes[-1]:
+                ahead = np.abs(new_test[order] - target_test) + np.abs(new_val[order] - target_val)
+            order = np.sort(order[np.argsort(ahead, kind="stable")[:keep]])
+        trail.append((parent[order], a[order], b[order]))
+        test, val = new_test[order], new_val[order]
+    at = int(_score(test, val, goal, total)[0])
+    if test[at] <= 0 or val[at] <= 0 or test[at] + val[at] >= total:
+        raise ValueError("no assignment leaves all three parts non-empty")
+    error = abs(int(test[at]) - target_test) + abs(int(val[at]) - target_val)
+    divisor = math.gcd(*sizes)
+    least = sum(min(g % divisor, -g % divisor) for g in goal)
+    quota: Quota = {}
+    for size, (parent, a, b) in zip(reversed(sizes), reversed(trail)):
+        if a[at] or b[at]:
+            quota[size] = (int(a[at]), int(b[at]))
+        at = int(parent[at])
+    return quota, whole or error == least
 
-    # Groups too large for both targets matter only when nothing smaller comes near.
-    if _states(histogram, target_test, target_val) * len(histogram) <= STATE_BUDGET * 25:
-        quota = _solve(histogram, target_test, target_val, total)
-        if quota is None:
-            raise ValueError("no assignment leaves all three parts non-empty")
-        return quota
-
-    shares = (target_test / total, target_val / total)
-    best: Quota = {}
-    best_error = None
-    for proportional in (True, False):
-        reserve = 64
-        while True:
-            goal = [max(target_test - reserve, 0), max(target_val - reserve, 0)]
-            kept = [target_test - goal[0], target_val - goal[1]]
-            pool, quota = dict(histogram), {}
-            if proportional:
-                for size in sorted(pool, reverse=True):
-                    for side in (0, 1):
-                        count = min(int(histogram[size] * shares[side]), goal[side] // size)
-                        goal[side] -= _take(pool, quota, size, side, count)
-            _fill(pool, quota, goal)
-            rest = (goal[0] + kept[0], goal[1] + kept[1])
-            small = {s: n for s, n in pool.items() if n > 0 and s <= max(rest)}
-            fits = _states(small, *rest) <= STATE_BUDGET
-            # Without room for the search the reserve itself is filled greedily.
-            if fits:
-                settled = _solve(small, rest[0], rest[1], 1 << 62) or {}
-                for size, (a, b) in settled.items():
-                    test, val = quota.get(size, (0, 0))
-                    quota[size] = (test + a, val + b)
-            else:
-                _fill(pool, quota, list(rest))
-            error = _error(quota, target_test, target_val)
-            if best_error is None or error < best_error:
-                best, best_error = quota, error
-            if best_error == (0, 0, 0):
-                return best
-            if not fits or goal == [0, 0] and reserve >= max(target_test, target_val):
-                break
-            reserve *= 2
-    # One group larger than a whole target may still come closer than staying below it.
-    over_test = min((s for s in histogram if s >= target_test), default=None)
-    over_val = min((s for s in histogram if s >= target_val), default=None)
-    for big_test, big_val in ((over_test, None), (None, over_val), (over_test, over_val)):
-        pool, quota, goal = dict(histogram), {}, [target_test, target_val]
-        for side, big in ((0, big_test), (1, big_val)):
-            if big is not None and pool[big] > 0:
-                _take(pool, quota, big, side, 1)
-                goal[side] = 0
-        _fill(pool, quota, goal)
-        test = sum(s * a for s, (a, _) in quota.items())
-        val = sum(s * b for s, (_, b) in quota.items())
-        if test and val and test + val < total:
-            error = _error(quota, target_test, target_val)
-            if error < best_error:
-                best, best_error = quota, error
-    return best
+
+def split_quotas(histogram: Histogram, target_test: int, target_val: int) -> Quota:
+    """Quotas that meet both targets when they can be met, else come closest."""
+    return solve_quotas(histogram, target_test, target_val)[0]
 
 
 def fold_quotas(histogram: Histogram, k: int) -> dict[int, list[int]]:

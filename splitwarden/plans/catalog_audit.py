@@ -530,7 +530,7 @@ def split_counts(spark, sf):
     "split_destination_names",
     """WITH m AS (
   SELECT o_orderkey, CASE WHEN o_orderkey % 10 < 7 THEN 'train' ELSE 'test' END AS split,
-    printf('c%d/f%d%s%08d.JPG', o_custkey % 6, o_custkey % 7, CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '__' END, o_orderkey // 4) AS relative_path,
+    printf('c%d/f%d%s%08d.JPG', o_custkey % 6, o_custkey % 7, CASE WHEN o_orderkey % 2 = 0 THEN '/' ELSE '__' END, o_orderkey // 2) AS relative_path,
     'c' || CAST(o_custkey % 6 AS VARCHAR) AS class_name FROM orders),
 f AS (SELECT *, replace(regexp_replace(relative_path, '^[^/]+/', ''), '/', '__') AS flat,
   regexp_replace(regexp_replace(relative_path, '^.*/', ''), '[.][^.]*$', '') AS stem FROM m),
@@ -548,9 +548,9 @@ def destination_names(spark, sf):
         F.concat(F.lit("c"), (F.col("o_custkey") % 6).cast("string")).alias("class_name"),
         F.format_string(
             "c%d/f%d%s%08d.JPG", F.col("o_custkey") % 6, F.col("o_custkey") % 7, joint,
-            F.floor(F.col("o_orderkey") / 4),
+            F.floor(F.col("o_orderkey") / 2),
         ).alias("relative_path"),
-    ).distinct()
+    )
     return SK.split_destinations(m)
 
 

@@ -581,7 +581,7 @@ nm AS (SELECT DISTINCT c_mktsegment AS name FROM customer UNION ALL SELECT 'base
 ov AS (
   SELECT c_mktsegment AS name, n_name AS key, CAST(n_regionkey AS VARCHAR) AS section,
     CAST(count(*) AS VARCHAR) AS value
-  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 5000 GROUP BY ALL)
+  FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)
 SELECT nm.name, section, key, coalesce(ov.value, b.value) AS value
 FROM b CROSS JOIN nm LEFT JOIN ov USING (name, section, key)""",
 )
@@ -593,8 +593,7 @@ def overlay(spark, sf):
         F.col("n_nationkey").cast("string").alias("value"),
     )
     over = (
-        customer.filter("c_acctbal > 5000")
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .groupBy(
             F.col("c_mktsegment").alias("name"),
             F.col("n_regionkey").cast("string").alias("section"),
@@ -602,6 +601,4 @@ def overlay(spark, sf):
         )
         .agg(F.count("*").cast("string").alias("value"))
     )
-    names = ["baseline", "AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    have = {r[0] for r in customer.select("c_mktsegment").distinct().collect()}
-    return E.overlay_configs(base, over, [n for n in names if n == "baseline" or n in have])
+    return E.overlay_configs(base, over)

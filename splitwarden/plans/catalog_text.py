@@ -292,13 +292,18 @@ def bundle(spark, sf):
 
 @query(
     "advice_item_analysis",
-    f"""WITH {REQUEST_SQL}, en AS (SELECT pos, text FROM it WHERE lang = 'en'),
-{rules_sql(BILINGUAL_RULES['en'], 'en', 'pos')}
-SELECT pos, category, keywords, CAST(len(k) AS INTEGER) AS token_count FROM an""",
+    "SELECT * FROM ("
+    + ") UNION ALL SELECT * FROM (".join(
+        f"""WITH {REQUEST_SQL}, src AS (SELECT pos, text FROM it WHERE lang = '{lang}'),
+{rules_sql(BILINGUAL_RULES[lang], 'src', 'pos')}
+SELECT pos, category, keywords, CAST(len(k) AS INTEGER) AS token_count FROM an"""
+        for lang in ("en", "fil")
+    )
+    + ")",
 )
 def item_analysis(spark, sf):
     _, items, _, _ = X.knowledge_tables(spark, sf)
-    done = AD.analyze_texts(items.filter("lang = 'en'"))
+    done = AD.analyze_texts(items)
     return done.select(
         "pos",
         "analysis.category",
@@ -465,7 +470,9 @@ def event_stream(spark, sf):
 @query(
     "enrich_stream",
     f"""WITH {REQUEST_SQL}, k AS (SELECT *, seq % 5 AS k FROM rq)
-SELECT session, seq, 200 AS status, '' AS rejection, lang, name, item_count FROM k JOIN bn USING (class_name, season) WHERE k < 2
+SELECT session, seq, 200 AS status, '' AS rejection, lang, name, item_count
+FROM k JOIN bn USING (class_name, season) WHERE k < 2 AND seq % 13 <> 0
+UNION ALL SELECT session, seq, 500, 'unknown_class', '', '', 0 FROM k WHERE k < 2 AND seq % 13 = 0
 UNION ALL SELECT session, seq, 415, CASE k WHEN 2 THEN 'no_decoder' WHEN 3 THEN 'unsupported_format' ELSE 'empty' END,
   '', '', 0 FROM k WHERE k >= 2""",
 )
@@ -473,7 +480,10 @@ def enrich(spark, sf):
     static = AD.flat_bundle(bundles(spark, sf)).select(
         "class_name", "season", "lang", "name", "item_count"
     )
-    stream = RQ.enrich_requests(X.request_columns(event_stream(spark, sf)), static)
+    asked = X.request_columns(event_stream(spark, sf))
+    # Some requests name a class without advice; they must stay as rows.
+    unknown = F.when(F.col("seq") % 13 == 0, "class_9").otherwise(F.col("class_name"))
+    stream = RQ.enrich_requests(asked.withColumn("class_name", unknown), static)
     path = scratch_path(spark, "enriched")
     RQ.run_available(stream.drop("content"), path)
     back = spark.read.parquet(path)

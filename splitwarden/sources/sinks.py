@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from splitwarden.functions import keys as K
 from splitwarden.functions import probs as P
+from splitwarden.operators.scale import materialise
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -25,27 +26,46 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
 
 
 def split_destinations(df: DataFrame) -> DataFrame:
-    """Add ``destination_relative_path``: split/class/flattened name, clashes numbered.
+    """Add ``destination_relative_path``: split/class/flattened name, all of them different.
 
-    The first row of a clash (by relative path) keeps the flattened name, the next ones
-    become <stem>_<n><suffix> from n = 1.
+    The first row (by relative path) that claims a name gets it. The others claim
+    <stem>_<n><suffix>, from the number of claims before them, and go on counting while the
+    name is taken, by a row that was given it before or by one that claims it too. Rounds are
+    as many as the longest chain of taken names.
     """
     inside = F.regexp_replace("relative_path", r"^[^/]+/", "")
-    named = df.withColumn("_flat", K.flat_name(inside))
+    keys = ["split", "class_name"]
     # Paths are unique, so a name has at most one clash per way of writing its separators
     # and the window groups stay tiny.
-    clash = Window.partitionBy("split", "class_name", "_flat").orderBy("relative_path")
-    numbered = named.withColumn("_n", F.row_number().over(clash))
-    renamed = F.concat(
-        K.file_stem(F.col("relative_path")),
-        F.lit("_"),
-        (F.col("_n") - 1).cast("string"),
-        K.file_suffix(F.col("relative_path")),
+    clash = Window.partitionBy(*keys, "_flat").orderBy("relative_path")
+    claims = df.select(*keys, "relative_path", K.flat_name(inside).alias("_flat")).withColumn(
+        "_n", F.row_number().over(clash) - 1
+    )
+    taken = materialise(
+        claims.filter("_n = 0").select(*keys, "relative_path", F.col("_flat").alias("_name")), "names"
+    )
+    waiting = materialise(claims.filter("_n > 0").select(*keys, "relative_path", "_n"), "waiting")
+    while not waiting.isEmpty():
+        numbered = waiting.withColumn(
+            "_name",
+            F.concat(
+                K.file_stem(F.col("relative_path")),
+                F.lit("_"),
+                F.col("_n").cast("string"),
+                K.file_suffix(F.col("relative_path")),
+            ),
+        )
+        free = numbered.join(taken.select(*keys, "_name"), [*keys, "_name"], "left_anti")
+        given = free.groupBy(*keys, "_name").agg(F.min("relative_path").alias("relative_path"))
+        given = given.select(*keys, "relative_path", "_name")
+        taken = materialise(taken.union(given), "names")
+        waiting = materialise(
+            waiting.join(taken, [*keys, "relative_path"], "left_anti").withColumn("_n", F.col("_n") + 1),
+            "waiting",
+        )
+    return df.join(taken, [*keys, "relative_path"]).select(
+        *df.columns, F.concat_ws("/", "split", "class_name", "_name").alias("destination_relative_path")
     )
-    name = F.when(F.col("_n") == 1, F.col("_flat")).otherwise(renamed)
-    return numbered.withColumn(
-        "destination_relative_path", F.concat_ws("/", "split", "class_name", name)
-    ).drop("_flat", "_n")
 
 
 def materialize_split(df: DataFrame, path: str, mode: str = "overwrite") -> None:

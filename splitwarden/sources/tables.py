@@ -37,7 +37,7 @@ def load_class_names(spark: SparkSession, path: str) -> DataFrame:
 
 def class_violations(dictionary: DataFrame) -> DataFrame:
     """Blank or repeated names of a dictionary table."""
-    blank = dictionary.filter(F.coalesce(F.trim("class_name"), F.lit("")) == "").select(
+    blank = dictionary.filter(F.coalesce(K.strip("class_name"), F.lit("")) == "").select(
         F.lit("blank_name").alias("rule"), F.col("class_index").cast("string").alias("subject")
     )
     repeated = (
@@ -67,13 +67,13 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_review(df: DataFrame, order: str = "line_no", strict: bool = True) -> DataFrame:
     """Trimmed pairs with normalised decisions; the last row of a pair wins."""
-    first = F.trim(F.coalesce("relative_path_1", F.lit("")))
-    second = F.trim(F.coalesce("relative_path_2", F.lit("")))
+    first = K.strip(F.coalesce("relative_path_1", F.lit("")))
+    second = K.strip(F.coalesce("relative_path_2", F.lit("")))
     cleaned = df.select(
         first.alias("relative_path_1"),
         second.alias("relative_path_2"),
         K.normalise_decision(F.col("decision"), strict).alias("decision"),
-        F.trim(F.coalesce("notes", F.lit(""))).alias("notes"),
+        K.strip(F.coalesce("notes", F.lit(""))).alias("notes"),
         order,
     ).filter("relative_path_1 <> '' AND relative_path_2 <> ''")
     key = K.pair_key(F.col("relative_path_1"), F.col("relative_path_2"))
@@ -91,21 +91,31 @@ def read_review(df: DataFrame, order: str = "line_no", strict: bool = True) -> D
 MANIFEST_REQUIRED = ("split", "class_name", "class_index", "group_id", "relative_path")
 
 
-def read_manifest(df: DataFrame, split: str, classes: DataFrame) -> DataFrame:
-    """Rows of one split, text columns trimmed; the split filter reaches the scan."""
+def stripped_manifest(df: DataFrame) -> DataFrame:
+    """The manifest as both the reader and the checks see it: text columns without white space
+    around them."""
     require_columns(df, MANIFEST_REQUIRED)
-    return (
-        df.filter(F.trim("split") == split)
-        .withColumns({c: F.trim(c) for c in ("class_name", "group_id", "relative_path")})
+    text = ("split", "class_name", "group_id", "relative_path")
+    return df.withColumns({c: K.strip(F.col(c).cast("string")) for c in text})
+
+
+def read_manifest(df: DataFrame, split: str, classes: DataFrame) -> DataFrame:
+    """Rows of one split; a row of an unknown class fails the query instead of vanishing."""
+    known = bounded_broadcast(classes.select("class_name", F.lit(True).alias("_known")))
+    rows = (
+        stripped_manifest(df)
+        .filter(F.col("split") == split)
         .withColumn("class_index", F.col("class_index").cast("int"))
-        .join(bounded_broadcast(classes.select("class_name")), "class_name", "left_semi")
+        .join(known, "class_name", "left")
     )
+    unknown = F.concat(F.lit("unknown class in manifest: "), F.coalesce("class_name", F.lit("NULL")))
+    return rows.filter(F.coalesce("_known", F.raise_error(unknown).cast("boolean"))).drop("_known")
 
 
 def manifest_violations(df: DataFrame, classes: DataFrame) -> DataFrame:
     """Every broken contract as (rule, subject)."""
-    require_columns(df, MANIFEST_REQUIRED)
-    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    df = stripped_manifest(df)
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     checked = df.join(
         bounded_broadcast(classes.select("class_name", F.col("class_index").alias("_right"))),
         "class_name",

@@ -17,7 +17,8 @@ def enrich_requests(requests: DataFrame, bundles: DataFrame) -> DataFrame:
     """Admit each request, derive its season and look up its bundle.
 
     Works on batch and streaming input alike: no step keeps state, and the bundles are a
-    static side. Rejected requests stay as rows with their status and no bundle.
+    static side. Rejected requests stay as rows with their status and no bundle; an admitted
+    request whose class has no advice stays with status 500.
     """
     admitted = admit_images(requests).withColumn("season", D.season(F.col("selected_date")))
     bad_date = F.col("season").isNull()
@@ -29,9 +30,19 @@ def enrich_requests(requests: DataFrame, bundles: DataFrame) -> DataFrame:
             ).otherwise(F.col("rejection")),
         }
     )
-    accepted = result_bundle(checked.filter("rejection IS NULL"), bundles, strict=False)
-    refused = checked.filter("rejection IS NOT NULL")
-    return accepted.unionByName(refused, allowMissingColumns=True)
+    # A refused request looks up no class, so one read of the source serves all rows.
+    asked = checked.withColumn("_class", F.col("class_name")).withColumn(
+        "class_name", F.when(F.col("rejection").isNull(), F.col("class_name"))
+    )
+    answered = result_bundle(asked, bundles, strict=False)
+    missing = F.col("rejection").isNull() & ~F.col("found")
+    return answered.withColumns(
+        {
+            "class_name": F.col("_class"),
+            "status": F.when(missing, 500).otherwise(F.col("status")),
+            "rejection": F.when(missing, "unknown_class").otherwise(F.col("rejection")),
+        }
+    ).drop("_class", "found")
 
 
 def run_available(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None):
@@ -49,25 +60,9 @@ def run_available(stream: DataFrame, path: str, mode: str = "append", checkpoint
     return query
 
 
-def latest_per_key(
-    rows: DataFrame,
-    key: str,
-    seq: str,
-    payload: Sequence[str],
-    event_time: str | None = None,
-    horizon: str | None = None,
-) -> DataFrame:
-    """Newest row per key by sequence number; older answers are dropped.
-
-    With ``event_time`` and ``horizon`` the state of a key is kept per time window and
-    leaves memory once the watermark passes; without them a key stays for good.
-    """
-    keys = [F.col(key)]
-    if event_time and horizon:
-        if rows.isStreaming:
-            rows = rows.withWatermark(event_time, horizon)
-        keys.append(F.window(event_time, horizon))
-    newest = rows.groupBy(*keys).agg(
+def latest_per_key(rows: DataFrame, key: str, seq: str, payload: Sequence[str]) -> DataFrame:
+    """Newest row per key by sequence number; older answers are dropped."""
+    newest = rows.groupBy(key).agg(
         F.max(seq).alias(seq), F.max_by(F.struct(*payload), F.col(seq)).alias("_p")
     )
     return newest.select(key, seq, *[F.col(f"_p.{c}").alias(c) for c in payload])
@@ -76,20 +71,19 @@ def latest_per_key(
 def run_latest(
     stream: DataFrame, key: str, seq: str, payload: Sequence[str], path: str
 ) -> DataFrame:
-    """Run ``latest_per_key`` over everything present and return the merged result.
+    """Newest row per key of everything present, one row per key however late answers come.
 
-    Each micro-batch appends the keys it changed under its own batch number, so a retried
-    batch overwrites itself; the newest row per key is the answer.
+    The stream itself keeps no state: each micro-batch is reduced to its newest row per key
+    and written under its own number, so a retried batch overwrites itself, and the batches
+    are merged by key when they are read.
     """
     spark: SparkSession = stream.sparkSession
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        latest_per_key(batch, key, seq, payload).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     query = (
-        latest_per_key(stream, key, seq, payload)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", scratch_path(spark, "stream-state"))
+        stream.writeStream.option("checkpointLocation", scratch_path(spark, "stream-state"))
         .foreachBatch(save)
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,55 @@ def test_manifest_contracts(spark):
     ]
     with pytest.raises(ValueError, match="missing required columns"):
         TB.read_manifest(df.drop("split"), "train", names)
+
+
+def brute_score(histogram, test, val):
+    total = sum(size * n for size, n in histogram.items())
+    states = {(0, 0)}
+    for size, n in histogram.items():
+        states = {
+            (t + a * size, v + b * size) for t, v in states for a in range(n + 1) for b in range(n - a + 1)
+        }
+    return min(
+        (abs(t - test) + abs(v - val), max(abs(t - test), abs(v - val)), abs(t + v - test - val))
+        for t, v in states
+        if t > 0 and v > 0 and t + v < total
+    )
+
+
+def score_of(quota, test, val):
+    t = sum(size * a for size, (a, _) in quota.items())
+    v = sum(size * b for size, (_, b) in quota.items())
+    return abs(t - test) + abs(v - val), max(abs(t - test), abs(v - val)), abs(t + v - test - val)
+
+
+def test_quotas_of_large_groups_are_the_closest():
+    rnd = random.Random(11)
+    for _ in range(60):
+        histogram = {}
+        for _ in range(rnd.randrange(3, 8)):
+            size = rnd.randrange(1, rnd.choice([10, 1000, 10**6]))
+            histogram[size] = histogram.get(size, 0) + rnd.randrange(1, 3)
+        total = sum(size * n for size, n in histogram.items())
+        test, val = round(total * 0.2), round(total * 0.1)
+        if test < 1 or val < 1 or sum(histogram.values()) < 3:
+            continue
+        quota, proven = Q.solve_quotas(histogram, test, val)
+        assert proven and score_of(quota, test, val) == brute_score(histogram, test, val)
+
+
+@pytest.mark.parametrize("s, error", [(100, 60), (300, 180), (1000, 600), (100_000, 60_000)])
+def test_quotas_do_not_depend_on_the_size_of_the_class(s, error):
+    histogram = {5 * s + 1: 5, 4 * s + 1: 5, 3 * s + 1: 5, 7 * s + 1: 2}
+    total = sum(size * n for size, n in histogram.items())
+    start = time.perf_counter()
+    quota, proven = Q.solve_quotas(histogram, round(total * 0.2), round(total * 0.1))
+    assert proven and score_of(quota, round(total * 0.2), round(total * 0.1))[0] == error
+    assert time.perf_counter() - start < 1
+
+
+def test_quotas_of_many_sizes_are_exact():
+    histogram = {size: max(1, 10**6 // size**2) for size in range(1, 800)}
+    total = sum(size * n for size, n in histogram.items())
+    quota, proven = Q.solve_quotas(histogram, round(total * 0.2), round(total * 0.1))
+    assert proven and score_of(quota, round(total * 0.2), round(total * 0.1))[0] == 0
