@@ -3,13 +3,15 @@
 A unit is a line or a part of a line: lines are cut at content-defined words (a word whose key
 is less than those of the ``REACH`` words before it and not more than those of the ``REACH``
 words after it), so a passage gives the same units wherever it stands inside a line. Units are
-normalised to lower-case words and hashed to 128 bits; digests are grouped over the whole
+normalised to lower-case words and hashed to 96 bits; digests are grouped over the whole
 corpus, the earliest unit (least doc_id, then least offset) stays, and the rest are repeats.
-Repeated units that follow each other are joined, and a run of at least ``MIN_WORDS`` words is
-reported for removal; shorter repeats such as a notice of one sentence are left alone.
+Repeated units that follow each other and are kept by one document are joined, and a run of at
+least ``MIN_WORDS`` words is reported for removal; shorter repeats, such as a notice of one
+sentence, or two notices that stand together by chance, are left alone.
 
 Cases: null and empty texts have no units; a null doc_id ranks last; rows with the same doc_id
-and text are one document, so they do not repeat each other and their spans are reported once;
+and text are one document, so they do not repeat each other and their spans are reported once
+(units at one offset under one doc_id count as the same place);
 very long texts are cut a slice at a time; other columns are ignored.
 """
 
@@ -24,11 +26,11 @@ from pyspark.sql import functions as F
 
 from splitwarden.llm.text import as_bytes, mix, slices, words_of
 
-REACH = 4
+REACH = 3
 MIN_WORDS = 16
 _UNITS = (
     "doc_id bigint, text_key bigint, unit bigint, start bigint, stop bigint, words bigint, "
-    "hash_a bigint, hash_b bigint"
+    "hash_a bigint, hash_b int"
 )
 
 
@@ -77,7 +79,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(characters[words.end[ends - 1]] - base),
                     pa.array(ends - starts),
                     pa.array(_digest(words.key, starts, 1)),
-                    pa.array(_digest(words.key, starts, 2)),
+                    pa.array((_digest(words.key, starts, 2) >> 32).astype(np.int32)),
                 ],
                 names=[f.split()[0] for f in _UNITS.split(", ")],
             )
@@ -98,41 +100,35 @@ def repeated_passages(
 ) -> DataFrame:
     """One row per passage to remove: where it stands and which place keeps it.
 
-    The units of a run may have different keepers; the least of them is named.
     ``start`` and ``stop`` are character offsets in the original text.
     """
     units = text_units(docs, doc_id, text)
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start", "text_key")
-    groups = units.groupBy("hash_a", "hash_b").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-    # Only digests found at two places matter; the rest end here.
-    groups = groups.filter("first <> last").select(
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
+    groups = units.groupBy("hash_a", "hash_b").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+    # Only digests found twice matter; the rest end here.
+    groups = groups.filter("n > 1").select(
         "hash_a",
         "hash_b",
         F.col("first.doc_id").alias("kept_doc_id"),
         F.col("first.start").alias("kept_start"),
-        F.col("first.text_key").alias("kept_key"),
     )
     repeats = units.join(groups, ["hash_a", "hash_b"]).filter(
-        ~(
-            F.col("doc_id").eqNullSafe(F.col("kept_doc_id"))
-            & (F.col("start") == F.col("kept_start"))
-            & (F.col("text_key") == F.col("kept_key"))
-        )
+        ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")))
     )
     document = ["doc_id", "text_key"]
     # A document's units, never more than its own words, meet in one task.
-    in_order = Window.partitionBy(*document).orderBy("unit")
+    in_order = Window.partitionBy(*document, "kept_doc_id").orderBy("unit")
     runs = repeats.dropDuplicates([*document, "unit"]).withColumn(
         "run", F.col("unit") - F.row_number().over(in_order)
     )
-    joined = runs.groupBy(*document, "run").agg(
+    joined = runs.groupBy(*document, "kept_doc_id", "run").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
         F.sum("words").alias("n_words"),
-        F.min(F.struct(F.col("kept_doc_id").isNull().alias("no_id"), "kept_doc_id", "kept_start")).alias("kept"),
+        F.min("kept_start").alias("kept_start"),
     )
     return joined.filter(F.col("n_words") >= min_words).select(
-        *document, "start", "stop", "n_words", "kept.kept_doc_id", "kept.kept_start"
+        *document, "start", "stop", "n_words", "kept_doc_id", "kept_start"
     )
 
 
