@@ -4,6 +4,7 @@
 * ``spread``           adds tasks only when a scan has fewer splits than the cluster has cores.
 * ``bounded_broadcast`` broadcasts a side only after checking its size.
 * ``attach``           joins rows to one-row-per-key facts with the hot keys salted.
+* ``expand``           joins many to many with keys split by the pairs they give.
 * ``number_rows``      dense numbers in a global order without a single-task window.
 * ``prefix_sums``      running sums in a global order without a single-task window.
 """
@@ -18,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
-# A key is hot when it owns more than this share of all rows, so there are at most
-# 1 / HOT_SHARE hot keys however large the table is.
-HOT_SHARE = 0.001
-HOT_SALTS = 64
-
-# Below this many rows a group is never worth splitting.
-HOT_FLOOR = 100_000
+BROADCAST_BYTES = 64 << 20
+# Rows that one task should get of one key; a key with more is hot and gets as many salts as
+# it has such portions.
+TARGET_ROWS = 1_000_000
+# The list of hot keys is broadcast, so there may be at most this many: beyond, only keys with
+# more than 1 / MAX_HOT of all rows count as hot.
+MAX_HOT = 500_000
 
 _INDEX_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
 _local_scratch: str | None = None
@@ -79,20 +80,42 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when ``df`` is shown to hold at most ``limit`` rows, else leave it."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """Hint a broadcast when ``df`` is shown to be small in rows and bytes, else leave it."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    seen = df.limit(limit + 1).agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).first()
+    small = seen["n"] <= limit and (seen["bytes"] or 0) <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
+
+
+def _hot_keys(sizes: DataFrame, keys: Sequence[str], size: str) -> DataFrame | None:
+    """(keys, _salts) of the keys whose ``size`` is more than a task should get; None if none."""
+    seen = sizes.agg(F.sum(F.col(size).cast("double")).alias("total"), F.max(size).alias("top")).first()
+    threshold = max(TARGET_ROWS, int((seen["total"] or 0) / MAX_HOT))
+    if (seen["top"] or 0) <= threshold:
+        return None
+    return sizes.filter(F.col(size) > threshold).select(
+        *keys, F.ceil(F.col(size) / TARGET_ROWS).cast("int").alias("_salts")
+    )
+
 
+def _salted(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with ``_salt``: of a hot key by a hash of the row, so a retried task deals alike."""
+    spread_by = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.col("_salts"))
+    joined = rows.join(F.broadcast(hot), list(keys), "left")
+    return joined.withColumn("_salt", F.coalesce(spread_by, F.lit(0)).cast("int")).drop("_salts")
 
-def _salt(rows: DataFrame) -> Column:
-    # A hash of the row, not rand(): a retried task must send every row to the same place.
-    spread_by = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(HOT_SALTS))
-    return F.when(F.col("_hot"), spread_by).otherwise(0).cast("int")
+
+def _copied(rows: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One copy of each row per salt of its key."""
+    joined = rows.join(F.broadcast(hot), list(keys), "left")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    return joined.withColumn("_salt", F.explode(salts)).drop("_salts")
 
 
 def attach(
     rows: DataFrame,
     facts: DataFrame,
-    key: str,
+    key: str | Sequence[str],
     size: str,
     how: str = "inner",
     keep_size: bool = True,
@@ -102,48 +125,40 @@ def attach(
     Hot keys are found from the sizes already in ``facts``; their rows get a salt and
     their facts one copy per salt, so no task receives a whole hot group.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     facts = materialise(facts, "facts")
-    seen = facts.agg(F.sum(size).alias("total"), F.max(size).alias("top")).first()
-    threshold = max((seen["total"] or 0) * HOT_SHARE, HOT_FLOOR)
-    hot = facts.filter(F.col(size) > threshold).select(key, F.lit(True).alias("_hot"))
-    if (seen["top"] or 0) <= threshold:
-        joined = rows.join(facts, key, how)
-        return joined if keep_size else joined.drop(size)
-    salted_rows = (
-        rows.join(F.broadcast(hot), key, "left").withColumn("_salt", _salt(rows)).drop("_hot")
-    )
-    copies = F.when(F.col(size) > threshold, F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
-    salted_facts = facts.withColumn(
-        "_salt", F.explode(copies.otherwise(F.array(F.lit(0))))
-    )
-    joined = salted_rows.join(salted_facts, [key, "_salt"], how).drop("_salt")
+    hot = _hot_keys(facts, keys, size)
+    if hot is None:
+        joined = rows.join(facts, keys, how)
+    else:
+        salted = _salted(rows, hot, keys)
+        joined = salted.join(_copied(facts, hot, keys), [*keys, "_salt"], how).drop("_salt")
     return joined if keep_size else joined.drop(size)
 
 
 def expand(left: DataFrame, members: DataFrame, key: str) -> DataFrame:
-    """Equi-join on ``key`` where ``members`` may have hot keys: they are salted, ``left`` copied.
+    """Equi-join on ``key`` where one key may give very many pairs.
 
-    The number of copies of a left row never exceeds its number of matches by more than
-    the constant factor of the salts, so work stays proportional to the output.
+    A key is split by the number of pairs it gives, not by the rows of one side: its members
+    are salted and its left rows copied, so every task makes about ``TARGET_ROWS`` pairs.
     """
-    total = members.count()
-    if total <= HOT_FLOOR:
-        return left.join(members, key)
-    threshold = max(total * HOT_SHARE, HOT_FLOOR)
-    sizes = members.groupBy(key).agg(F.count("*").alias("_size"))
-    hot = sizes.filter(F.col("_size") > threshold).select(key, F.lit(True).alias("_hot"))
-    hot = materialise(hot, "hot")  # at most 1 / HOT_SHARE rows
-    if hot.isEmpty():
+    counts = members.groupBy(key).agg(F.count("*").alias("_members"))
+    pairs = left.groupBy(key).agg(F.count("*").alias("_left")).join(counts, key)
+    # Products of counts pass 64 bits on large keys.
+    pairs = pairs.select(
+        key, (F.col("_left").cast("double") * F.col("_members")).alias("_pairs"), "_members"
+    )
+    pairs = materialise(pairs.filter(F.col("_pairs") > TARGET_ROWS), "pairs")
+    hot = _hot_keys(pairs, [key], "_pairs")
+    if hot is None:
+        release(pairs)
         return left.join(members, key)
-    hot = F.broadcast(hot)
-    salted = members.join(hot, key, "left").withColumn("_salt", _salt(members)).drop("_hot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))
-    copied = (
-        left.join(hot, key, "left")
-        .withColumn("_salt", F.explode(copies.otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
+    # More salts than members would only copy the left rows.
+    hot = hot.join(pairs.select(key, "_members"), key).select(
+        key, F.least("_salts", F.col("_members").cast("int")).alias("_salts")
     )
-    return copied.join(salted, [key, "_salt"]).drop("_salt")
+    hot = materialise(hot, "hot")
+    return _copied(left, hot, [key]).join(_salted(members, hot, [key]), [key, "_salt"]).drop("_salt")
 
 
 def _columns(order: Sequence[str | Column]) -> list[Column]:
@@ -195,10 +210,10 @@ def number_rows(
         if not group:
             result = result.withColumn(name, F.col("_number"))
             continue
-        firsts = position(ordered.groupBy(*group).agg(F.min("_pos").alias("_pos")), "_first")
-        firsts = bounded_broadcast(firsts.drop("_pos"))
+        starts = ordered.groupBy(*group).agg(F.min("_pos").alias("_pos"), F.count("*").alias("_owned"))
+        firsts = position(starts, "_first").drop("_pos")
         result = (
-            result.join(firsts, list(group))
+            attach(result, firsts, list(group), "_owned", keep_size=False)
             .withColumn(name, F.col("_number") - F.col("_first") + 1)
             .drop("_first")
         )

@@ -101,7 +101,7 @@ def exact_links(recs):
 @pytest.mark.parametrize("seed, floor", [(1, 100_000), (2, 3), (3, 3)])
 def test_pairs_totals_and_groups_equal_brute_force(spark, monkeypatch, seed, floor):
     # The low floor sends the small table through the salted joins.
-    monkeypatch.setattr(scale, "HOT_FLOOR", floor)
+    monkeypatch.setattr(scale, "TARGET_ROWS", floor)
     df = make_records(spark, random_rows(seed)).cache()
     recs = sorted((r.asDict() for r in df.collect()), key=lambda r: r["row_no"])
     want = reference_pairs(recs, 4)

@@ -106,7 +106,7 @@ def grouped_rows(spark, seed=1):
 
 @pytest.mark.parametrize("floor", [100_000, 5])
 def test_split_keeps_groups_and_meets_targets(spark, monkeypatch, floor):
-    monkeypatch.setattr(scale, "HOT_FLOOR", floor)
+    monkeypatch.setattr(scale, "TARGET_ROWS", floor)
     df = grouped_rows(spark)
     done = SP.group_split(df, seed=7).cache()
     assert done.count() == df.count()
@@ -210,3 +210,28 @@ def test_quotas_of_many_sizes_are_exact():
     total = sum(size * n for size, n in histogram.items())
     quota, proven = Q.solve_quotas(histogram, round(total * 0.2), round(total * 0.1))
     assert proven and score_of(quota, round(total * 0.2), round(total * 0.1))[0] == 0
+
+
+def test_hot_keys_are_split_by_target_size(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TARGET_ROWS", 200)
+    # One key with 30 % of the rows, a thousand just below 0.1 %.
+    rows = spark.range(20_000).select(
+        F.when(F.col("id") < 6_000, F.lit(-1)).otherwise(F.col("id") % 1000).alias("k"), "id"
+    )
+    facts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    hot = scale._hot_keys(facts, ["k"], "n")
+    assert [(r["k"], r["_salts"]) for r in hot.collect()] == [(-1, 30)]
+    dealt = scale._salted(rows, hot, ["k"]).filter("k = -1").groupBy("_salt").count()
+    assert dealt.agg(F.max("count")).first()[0] < 2 * 200
+    joined = scale.attach(rows, facts, "k", "n")
+    assert joined.count() == 20_000
+    assert joined.groupBy("k").agg(F.max("n").alias("n")).exceptAll(facts).isEmpty()
+
+
+def test_expand_splits_by_the_pairs_of_a_key(spark, monkeypatch):
+    monkeypatch.setattr(scale, "TARGET_ROWS", 500)
+    left = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("a"))
+    members = spark.range(600).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id") % 3).alias("k"), F.col("id").alias("b"))
+    found = scale.expand(left, members, "k")
+    assert found.exceptAll(left.join(members, "k")).isEmpty()
+    assert found.count() == left.join(members, "k").count()
