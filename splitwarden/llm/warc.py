@@ -32,6 +32,7 @@ from splitwarden.operators.scale import materialise
 MIN_REVISIT = 100
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+TASK_BYTES = 256 << 20  # archive bytes read by one task of a large job
 _LEVEL = 6
 _EPOCH = "1970-01-01T00:00:00Z"  # no time of day, so that a retried task writes equal bytes
 # Fixed values of the WARC format.
@@ -213,9 +214,14 @@ def read_records(index: DataFrame, folder: str, fields: list[str] | None = None)
     """The records of the given index rows, all fields or some of them."""
     fields = fields or _RECORD.names
     types = {"page_id": "bigint", "payload_bytes": "bigint", "refers_to": "bigint", "payload": "binary"}
+    total = index.agg(F.sum("length")).first()[0] or 0
+    ranges = -(-total // RANGE_BYTES)
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    # The number of tasks follows the bytes to be read, not the small rows that name them.
+    tasks = max(1, min(ranges, 4 * cores), -(-total // TASK_BYTES))
     dealt = (
         index.select("file", "offset", "length", F.floor(F.col("offset") / RANGE_BYTES).alias("range"))
-        .repartition("file", "range")
+        .repartition(tasks, "file", "range")
         .sortWithinPartitions("file", "offset")
     )
     return dealt.select("file", "offset", "length").mapInArrow(
