@@ -97,7 +97,12 @@ def fit_temperature(preds: DataFrame, k: int) -> float:
         if abs(math.log(following / inverse)) < TOLERANCE:
             return 1.0 / following
         inverse = following
-    return 1.0 / inverse
+    raise RuntimeError(f"the temperature did not settle in {MAX_STEPS} steps")
+
+
+def at_bound(temperature: float) -> bool:
+    """Whether a fitted temperature stands at the end of the allowed range."""
+    return abs(abs(math.log(temperature)) - LOG_RANGE) < 1e-4
 
 
 def calibrate(preds: DataFrame, temperature: float | Column) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import functions as F
 
@@ -42,13 +41,23 @@ def query(name: str, sql: str | None = None):
 # --- sources -------------------------------------------------------------------------------
 
 
-@query("scan_labeled_files")
+@query(
+    "scan_labeled_files",
+    "SELECT 'lang=' || lang AS class_name, count(DISTINCT lang) AS files, true AS filled "
+    "FROM documents GROUP BY lang",
+)
 def scan(spark, sf):
-    root, name = os.path.split(sf.rstrip("/"))
-    files = FI.scan_labeled_files(
-        spark, root, TB.class_dictionary(spark, [name]), (".parquet",)
+    """Documents written to one folder per language, found again by the scan."""
+    documents = X.table(spark, sf, "documents")
+    root = scratch_path(spark, "labeled-files")
+    # A file of one language holds its rows; the number of files is part of the result.
+    documents.select("lang", "text").repartition("lang").write.partitionBy("lang").parquet(root)
+    listed = documents.select("lang").distinct().orderBy("lang").collect()
+    classes = TB.class_dictionary(spark, [f"lang={r['lang']}" for r in listed])
+    files = FI.scan_labeled_files(spark, root, classes, (".parquet",))
+    return files.groupBy("class_name").agg(
+        F.count("*").alias("files"), F.bool_and(F.col("length") > 0).alias("filled")
     )
-    return files.select("class_name", "relative_path", "length")
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from splitwarden.functions import keys as KEYS
@@ -296,11 +298,24 @@ def nll_grid(spark, sf):
     return round_cols(sums.select(F.explode(pairs).alias("p")).select("p.*"))
 
 
-@query("fit_temperature")
+@query(
+    "fit_temperature",
+    f"WITH {X.PREDS_SQL} SELECT count(*) AS n, true AS inside, true AS least FROM preds WHERE split = 'validation'",
+)
 def fit(spark, sf):
+    """The fitted temperature beats its neighbours on either side."""
     preds = X.predictions(spark, sf).filter("split = 'validation'")
     fitted = C.fit_temperature(preds, K)
-    return preds.agg(F.count("*").alias("n")).withColumn("temperature", F.lit(round(fitted, 6)))
+    logs = preds.select("y_true", P.log_probs(F.col("probs")).alias("z"))
+    points = (fitted, fitted * 0.999, fitted * 1.001)
+    sums = logs.agg(
+        F.count("*").alias("n"),
+        *[F.avg(C.scaled_nll("z", "y_true", K, 1.0 / t)).alias(f"v{i}") for i, t in enumerate(points)],
+    )
+    inside = abs(math.log(fitted)) <= C.LOG_RANGE + 1e-9
+    return sums.select(
+        "n", F.lit(inside).alias("inside"), (F.col("v0") <= F.least("v1", "v2") + 1e-9).alias("least")
+    )
 
 
 GAP_PAIRS = [("train", "validation"), ("train", "test"), ("validation", "test")]

@@ -314,14 +314,14 @@ def item_analysis(spark, sf):
 
 @query(
     "knowledge_json",
-    """WITH c AS (SELECT conv_id, role, list(text ORDER BY turn) AS general FROM conversations WHERE length(trim(text)) > 0 GROUP BY ALL)
+    """WITH c AS (SELECT conv_id, role, list(text ORDER BY turn) AS general FROM conversations GROUP BY ALL)
 SELECT 'conv_' || CAST(conv_id AS VARCHAR) AS class_name, role AS lang, role || ' ' || CAST(conv_id AS VARCHAR) AS name,
   CAST(1 AS INTEGER) AS paragraphs, CAST(len(general) AS BIGINT) AS items,
-  sha256(array_to_string(general, '|')) AS item_digest, 'wet note' AS wet_note FROM c""",
+  sha256(array_to_string(general, '|')) AS item_digest, 'wet note' AS wet_note, 'dry note' AS dry_note FROM c""",
 )
 def knowledge(spark, sf):
     """Conversations packed into the nested advice JSON and flattened again."""
-    c = X.table(spark, sf, "conversations").filter("length(trim(text)) > 0")
+    c = X.table(spark, sf, "conversations")
     per_role = c.groupBy("conv_id", "role").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]).alias("general")
     )
@@ -357,11 +357,14 @@ def knowledge(spark, sf):
             256,
         ).alias("item_digest"),
     )
-    wet = k.notes.filter("season = 'wet'").select("class_name", "lang", F.col("text").alias("wet_note"))
+    noted = k.notes.groupBy("class_name", "lang").agg(
+        F.max(F.when(F.col("season") == "wet", F.col("text"))).alias("wet_note"),
+        F.max(F.when(F.col("season") == "dry", F.col("text"))).alias("dry_note"),
+    )
     return (
         k.meta.select("class_name", "lang", "name", F.size("description").alias("paragraphs"))
         .join(items, ["class_name", "lang"])
-        .join(wet, ["class_name", "lang"])
+        .join(noted, ["class_name", "lang"])
     )
 
 
@@ -459,6 +462,33 @@ def sinks(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query(
+    "prediction_table",
+    """SELECT vec_id, 'c' || CAST(label % 10 AS VARCHAR) AS actual_class, round(list_max(p), 6) AS confidence,
+  'c' || CAST(list_position(p, list_max(p)) - 1 AS VARCHAR) AS predicted_class,
+  label % 10 = list_position(p, list_max(p)) - 1 AS correct, round(p[1], 6) AS probability_c0, round(p[10], 6) AS probability_c9
+FROM (SELECT vec_id, label, [CAST(abs(x) AS DOUBLE) / list_sum([CAST(abs(y) AS DOUBLE) FOR y IN embedding[1:10]])
+  FOR x IN embedding[1:10]] AS p FROM embeddings)""",
+)
+def written_table(spark, sf):
+    """Wide table written as CSV and read back."""
+    sizes = F.transform(F.slice("embedding", 1, 10), lambda x: F.abs(x.cast("double")))
+    scored = X.table(spark, sf, "embeddings").select(
+        "vec_id",
+        (F.col("label") % 10).cast("int").alias("y_true"),
+        F.transform(sizes, lambda x: x / F.aggregate(sizes, F.lit(0.0), lambda a, y: a + y)).alias("probs"),
+    )
+    path = scratch_path(spark, "prediction-table")
+    wide = SK.prediction_table(scored, [f"c{i}" for i in range(10)], ["vec_id"])
+    SK.write_table(wide, path, "csv")
+    back = spark.read.schema(wide.schema).csv(path, header=True)
+    return round_cols(
+        back.select(
+            "vec_id", "actual_class", "predicted_class", "correct", "confidence", "probability_c0", "probability_c9"
+        )
+    )
+
+
 # --- streams -------------------------------------------------------------------------------
 
 
@@ -532,11 +562,21 @@ def features(spark, sf):
     )
 
 
-@query("head_scores")
+@query(
+    "head_scores",
+    "SELECT CAST(label AS INTEGER) AS y_true, count(*) AS sample_count, true AS distributions "
+    "FROM embeddings WHERE vec_id % 5 = 0 GROUP BY label",
+)
 def head(spark, sf):
+    """A head fitted on four fifths of the rows scores the rest."""
     rows = features(spark, sf)
-    model = LE.fit_head(rows, 64, 10)
-    return round_cols(M.metric_bundle(LE.score(rows, model), 10, with_auc=False), 3)
+    model = LE.fit_head(rows.filter("vec_id % 5 <> 0"), 64, 10, hidden=16, rounds=10)
+    scored = LE.score(rows.filter("vec_id % 5 = 0"), model)
+    total = F.aggregate("probs", F.lit(0.0), lambda a, x: a + x)
+    return scored.groupBy("y_true").agg(
+        F.count("*").alias("sample_count"),
+        F.bool_and((F.size("probs") == 10) & (F.abs(total - 1) < 1e-9)).alias("distributions"),
+    )
 
 
 def out_of_fold(spark, sf):
@@ -554,6 +594,14 @@ def oof(spark, sf):
     return FO.oof_coverage(features(spark, sf), out_of_fold(spark, sf), "vec_id")
 
 
-@query("cross_validation_metrics")
+@query(
+    "cross_validation_metrics",
+    """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT CAST(f AS INTEGER) AS fold, CAST(sum(n // 5 + CASE WHEN (f + 9 - label) % 5 < n % 5 THEN 1 ELSE 0 END) AS BIGINT)
+  AS sample_count, true AS in_range FROM c, range(1, 6) t(f) GROUP BY f""",
+)
 def oof_metrics(spark, sf):
-    return round_cols(M.metric_bundle(out_of_fold(spark, sf), 10, ["fold"]), 3)
+    """Scores per fold; how well the head learns is not known to SQL, how many rows it gets is."""
+    scores = M.metric_bundle(out_of_fold(spark, sf), 10, ["fold"])
+    inside = F.col("accuracy").between(0, 1) & F.col("roc_auc_ovr_macro").between(0, 1)
+    return scores.select("fold", "sample_count", inside.alias("in_range"))

@@ -99,5 +99,22 @@ def prediction_records(df: DataFrame, class_names: Sequence[str]) -> DataFrame:
     )
 
 
+def prediction_table(df: DataFrame, class_names: Sequence[str], extras: Sequence[str] = ()) -> DataFrame:
+    """The wide prediction table: one probability column per class, then the extra columns.
+
+    Needs ``y_true`` and ``probs``; a truth outside the classes gives a NULL name.
+    """
+    names = F.array(*[F.lit(n) for n in class_names])
+    predicted = P.predicted_index(F.col("probs"))
+    return df.select(
+        F.get(names, F.col("y_true")).alias("actual_class"),
+        F.get(names, predicted).alias("predicted_class"),
+        (F.col("y_true") == predicted).alias("correct"),
+        F.array_max("probs").alias("confidence"),
+        *[F.get("probs", i).alias(f"probability_{n}") for i, n in enumerate(class_names)],
+        *extras,
+    )
+
+
 def append_prediction_records(df: DataFrame, class_names: Sequence[str], path: str) -> None:
     prediction_records(df, class_names).write.mode("append").json(path)
