@@ -151,6 +151,24 @@ class Overlap:
         tokens = self.element[order][wanted].view(np.int64)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens))
 
+    def parities(self) -> pa.Array:
+        """256 parity bits of the shingles of each b, as four numbers.
+
+        A shingle that only one of two texts has flips one bit, so the number of different
+        bits never exceeds the number of shingles that are not shared.
+        """
+        spot = self.element >> np.uint64(56)
+        bit = np.uint64(1) << (spot & np.uint64(63))
+        filled = np.flatnonzero(self.size)
+        first = (np.cumsum(self.size) - self.size)[filled]
+        out = np.zeros((len(self.size), 4), np.uint64)
+        for word in range(4):
+            own = np.where(spot >> np.uint64(6) == word, bit, np.uint64(0))
+            if len(filled):
+                out[filled, word] = np.bitwise_xor.reduceat(own, first)
+        offsets = np.arange(0, 4 * len(self.size) + 1, 4)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.ravel().view(np.int64)))
+
 
 def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -197,8 +215,9 @@ def _verify(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBa
                         pa.array(found.jaccard),
                         pa.array(found.size, pa.int64()),
                         found.prefixes(shared.value),
+                        found.parities(),
                     ],
-                    names=["a", "b", "similarity", "size", "prefix"],
+                    names=["a", "b", "similarity", "size", "prefix", "parity"],
                 )
 
     return run
@@ -211,7 +230,8 @@ def _compared(pairs: DataFrame, contents: DataFrame, shared) -> DataFrame:
     texts = contents.join(ends.hint("merge"), "content", "left_semi")
     joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
     return joined.mapInArrow(
-        _verify(shared), "a bigint, b bigint, similarity double, size bigint, prefix array<bigint>"
+        _verify(shared),
+        "a bigint, b bigint, similarity double, size bigint, prefix array<bigint>, parity array<bigint>",
     )
 
 
@@ -249,42 +269,49 @@ def content_classes(contents: DataFrame) -> DataFrame:
 
 
 def _unsettled(measured: DataFrame, stars: DataFrame) -> DataFrame:
-    """Pairs of one hub in different classes that may be linked, by prefix filtering.
-
-    Shingles are ordered by (about how many texts hold them, hash). If two texts have similarity t, at most (1 - t) / (1 + t) of the shorter and 1 - t of the longer text's
-    shingles are not shared, so their first shared shingle lies in both prefixes, and the
-    shingles before it bound the overlap. What many texts took from one original stands last
-    in this order, so texts that only share a common passage or original do not meet.
+    """Pairs of members in different classes that may be linked, by prefix filtering.
+
+    Shingles are ordered by (about how many texts hold them, hash). If two texts have similarity t,
+    at most (1 - t) / (1 + t) of the shorter and 1 - t of the longer text's shingles are not
+    shared, so their first shared shingle lies in both prefixes, and the shingles before it bound
+    the overlap. What many texts took from one original stands last in this order, so texts that
+    only share a common passage or original rarely meet. Of those that do, a pair is made only
+    where the parities allow so few shingles to differ.
     """
     classes = stars.select(F.col("src").alias("content"), F.col("dst").alias("class"))
     far = (
-        measured.select(F.col("a").alias("hub"), F.col("b").alias("content"), "size", "prefix")
+        measured.select(F.col("a").alias("hub"), F.col("b").alias("content"), "size", "prefix", "parity")
         .join(classes, "content", "left")
         .withColumn("class", F.coalesce("class", "content"))
         .join(classes.toDF("hub", "hub_class"), "hub", "left")
         .withColumn("outside", F.col("class") != F.coalesce("hub_class", "hub"))
     )
-    # Only a member outside the hub's class can give a link that is not known yet.
+    # Only where a member is outside its hub's class can a link be unknown.
     open_hubs = far.filter("outside").select("hub").distinct()
-    tokens = far.join(open_hubs, "hub", "left_semi").select(
-        "hub", "content", "class", "size", "outside", F.posexplode("prefix").alias("place", "token")
+    members = far.join(open_hubs, "hub", "left_semi").dropDuplicates(["content"])
+    tokens = members.select(
+        "content",
+        "class",
+        "size",
+        *[F.get("parity", i).alias(f"p{i}") for i in range(4)],
+        F.posexplode("prefix").alias("place", "token"),
     )
     share = (1 - SIMILARITY) / (1 + SIMILARITY)
     short = tokens.filter(F.col("place") <= F.col("size") * share + 1e-9)
     s, long = short.alias("s"), tokens.alias("l")
-    needed = (F.col("s.size") + F.col("l.size")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-6
+    both = F.col("s.size") + F.col("l.size")
     left = F.least(F.col("s.size") - F.col("s.place"), F.col("l.size") - F.col("l.place"))
+    differ = sum(F.bit_count(F.col(f"s.p{i}").bitwiseXOR(F.col(f"l.p{i}"))) for i in range(4))
     met = s.join(
         long,
-        (F.col("s.hub") == F.col("l.hub"))
-        & (F.col("s.token") == F.col("l.token"))
+        (F.col("s.token") == F.col("l.token"))
         & (
             (F.col("s.size") < F.col("l.size"))
             | ((F.col("s.size") == F.col("l.size")) & (F.col("s.content") < F.col("l.content")))
         )
         & (F.col("s.class") != F.col("l.class"))
-        & (F.col("s.outside") | F.col("l.outside"))
-        & (left >= needed),
+        & (left >= both * (SIMILARITY / (1 + SIMILARITY)) - 1e-6)
+        & (differ <= both * share + 1e-6),
     )
     return met.select(
         F.least("s.content", "l.content").alias("a"), F.greatest("s.content", "l.content").alias("b")
