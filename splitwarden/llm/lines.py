@@ -34,7 +34,7 @@ from splitwarden.operators.scale import materialise, release
 
 THRESHOLD = 2
 MIN_CHARS = 20
-_EDGES = "^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$"
+_SPACES = " \t\n\x0b\x0c\r"
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -190,7 +190,7 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Dat
         F.col(doc_id).cast("bigint").alias("doc_id"),
         F.xxhash64(body).alias("text_key"),
         F.posexplode(F.split(body, "\n")).alias("line_no", "text"),
-    ).withColumn("text", F.regexp_replace("text", _EDGES, ""))
+    ).withColumn("text", F.btrim(F.col("text"), F.lit(_SPACES)))
     return split.filter(F.char_length("text") >= min_chars).select(
         "doc_id",
         "text_key",

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 from helpers import corpus, prose, table
@@ -16,12 +17,17 @@ from splitwarden.llm.warc import _ranges, read_records, write_archives
 from splitwarden.operators.scale import scratch_path
 
 
-def whole(text):
+@lru_cache
+def library():
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(tokenizer_path())
-    library.encode_special_tokens = True
-    return library.encode(text or "", add_special_tokens=False).ids + [END_ID]
+    found = Tokenizer.from_file(tokenizer_path())
+    found.encode_special_tokens = True
+    return found
+
+
+def whole(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [END_ID]
 
 
 def test_closest_fill_is_the_best_subset_sum():

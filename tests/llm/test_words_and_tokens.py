@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,17 @@ def odd_texts(n=1500):
     ]
 
 
-def whole(text):
+@lru_cache
+def library():
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(tokenizer_path())
-    library.encode_special_tokens = True
-    return library.encode(text or "", add_special_tokens=False).ids + [END_ID]
+    found = Tokenizer.from_file(tokenizer_path())
+    found.encode_special_tokens = True
+    return found
+
+
+def whole(text):
+    return library().encode(text or "", add_special_tokens=False).ids + [END_ID]
 
 
 def test_words_equal_the_pattern():
