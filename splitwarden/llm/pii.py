@@ -56,10 +56,16 @@ ENDINGS = {
 }
 
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
+# A quoted secret runs to its closing quote; without one, or without quotes, it ends at white space.
+_SECRET = (
+    r"""(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)(?:\\?["'])?[ \t]*[=:][ \t]*"""
+    r"""(?:\\?(?P<quote>["'])(?P<quoted>(?:(?!\\?(?P=quote))[^\r\n]){6,})\\?(?P=quote)(?!\w)"""
+    r"""|(?:\\?["'])?(?P<value>[^\s,;"']{6,}))"""
+)
 _TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 PATTERNS = [
     ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")),
-    ("secret", re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key)[ \t]*[=:][ \t]*(?P<value>[^\s,;\"']{6,})")),
+    ("secret", re.compile(_SECRET)),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
@@ -108,7 +114,9 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
             if kind == "name":
                 found += [(s, e, rank, k, c) for k, c, s, e in _name_parts(match)]
                 continue
-            group = "value" if kind == "secret" else 0
+            group = 0
+            if kind == "secret":
+                group = "quoted" if match["quoted"] else "value"
             value = match[group]
             canonical = value.lower() if kind == "email" else value
             if kind in ("phone", "card", "ssn"):

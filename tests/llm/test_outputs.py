@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
@@ -121,6 +122,20 @@ def test_detection():
     assert detect("version 1.2.3.4.5 and 12:30, 2024-01-02") == []
 
 
+def test_secrets_in_quotes(spark):
+    secret = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+    forms = [f'token = "{secret}"', f"TOKEN='{secret}'", f'{{"token": "{secret}"}}', f'{{\\"api_key\\":\\"{secret}\\"}}', f'pwd = "{secret} cut']
+    for form in forms:
+        assert [(k, e) for k, e, *_ in detect(form)] == [("secret", secret)], form
+    assert [e for _, e, *_ in detect("password: \"don't tell anyone\", then")] == ["don't tell anyone"]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    quoted = re.compile(r'(?i)token = "([0-9a-f]{40})"')
+    before = {s for r in docs.collect() for s in quoted.findall(r.text or "")}
+    after = [r.text or "" for r in replace_pii(docs, b"key").collect()]
+    assert before and not any(s in t for s in before for t in after)
+    assert len({s for t in after for s in quoted.findall(t)}) == len(before)
+
+
 def test_surrogates_keep_type_shape_and_identity(spark):
     rows = [(1, PERSONAL), (2, PERSONAL.replace("4111 1111 1111 1111", "4111111111111111")), (3, None), (4, ""), (None, "mail JOHN.SMITH@mail.example.com"), (1, PERSONAL), (5, "nothing here")]
     rows += [(100 + i, f"user{i % 10}@a.b from 10.0.0.{i} Mr Ab{chr(97 + i % 26)} Cd{chr(97 + i // 26)}") for i in range(200)]
