@@ -10,7 +10,9 @@
    gender and case.
 3. Collisions are checked over the whole corpus: a surrogate that equals an entity of its kind,
    or that another entity has too, is drawn again (the least entity keeps a shared one) until
-   all are distinct. Distinct entities so stay distinct.
+   all are distinct. Distinct entities so stay distinct. Every ``SAME_FORM`` attempts the form
+   gets wider (a character more, the next address range), so a full form never blocks the end.
+   A value without letters and digits, such as a masked password, is no secret.
 4. Surrogates are joined back to the occurrences, and each document is rewritten once.
 
 Cases: a null text stays null and has no entities; empty texts stay empty; a null doc_id is
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from splitwarden.operators.scale import materialise
+from splitwarden.operators.scale import materialise, release
 
 # Titles that announce a name, by gender.
 MALE_TITLES = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"]
@@ -55,6 +57,8 @@ ENDINGS = {
     ("greek", "male"): "ς", ("greek", "female"): "α", ("greek", "any"): "ς",
 }
 
+SAME_FORM = 4  # attempts before the form of a surrogate gets wider
+
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
 # A quoted secret runs to its closing quote; without one, or without quotes, it ends at white space.
 _SECRET = (
@@ -118,6 +122,8 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
             if kind == "secret":
                 group = "quoted" if match["quoted"] else "value"
             value = match[group]
+            if kind == "secret" and not any(c.isalnum() for c in value):
+                continue
             canonical = value.lower() if kind == "email" else value
             if kind in ("phone", "card", "ssn"):
                 canonical = "".join(c for c in value if c.isdigit())
@@ -165,44 +171,57 @@ class _Draw:
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The canonical form of the replacement of an entity."""
     draw = _Draw(key, kind, entity, attempt)
+    wider = attempt // SAME_FORM
     name = kind.split(":")
     if name[0] in ("given", "surname"):
         names = GIVEN_NAMES.get((name[1], name[2]), [])
         if names and attempt == 0:
             return names[draw.below(len(names))].lower()
         pool = SYLLABLES[name[1]]
-        count = 2 + attempt // 4 + draw.below(2)
+        count = 2 + wider + draw.below(2)
         return "".join(pool[draw.below(len(pool))] for _ in range(count)) + ENDINGS[name[1], name[2]]
     if kind == "email":
         local, _, domain = entity.partition("@")
         body, _, ending = domain.rpartition(".")
-        longer = "".join("abcdefghij"[draw.below(10)] for _ in range(attempt // 4))
+        longer = "".join("abcdefghij"[draw.below(10)] for _ in range(wider))
         return f"{draw.like(local)}{longer}@{draw.like(body)}.{ending}"
     if kind == "ip":
         parts = entity.split(".")
-        kept = 1 if parts[0] == "10" else 2 if entity.startswith(("192.168.", "172.16.")) else 0
+        # Network parts that stay, from the entity's own range to wider ones.
+        ranges = [["10"], []] if parts[0] == "10" else [[]]
+        if entity.startswith(("192.168.", "172.16.")):
+            ranges = [parts[:2], ["10"], []]
+        if wider > len(ranges):  # beyond the four-part addresses
+            return ":".join(["fd00", *[f"{draw.below(1 << 16):04x}" for _ in range(7)]])
+        kept = ranges[min(wider, len(ranges) - 1)]
         first = [n for n in range(1, 224) if n not in (10, 127, 172, 192)]
         fresh = [str(first[draw.below(len(first))])] + [str(draw.below(256)) for _ in range(3)]
-        return ".".join(parts[:kept] + fresh[kept:])
+        return ".".join(kept + fresh[len(kept) :])
     if kind == "card":
-        body = entity[0] + draw.like("1" * (len(entity) - 2))
+        body = entity[0] + draw.like("1" * (len(entity) - 2 + wider))
         valid = _luhn(entity) == 0
         check = (10 - _luhn(body + "0")) % 10
         return body + str(check if valid else (check + 1 + draw.below(9)) % 10)
     if kind == "phone":
         keep = 1 if len(entity) > 10 else 0
-        return entity[:keep] + draw.like(entity[keep:])
+        return entity[:keep] + draw.like(entity[keep:] + "0" * wider)
     if kind == "iban":
-        return entity[:2] + draw.like(entity[2:])
+        return entity[:2] + draw.like(entity[2:] + "0" * wider)
+    if kind == "ssn":
+        return draw.like(entity + "0" * wider)
     hexadecimal = all(c in "0123456789abcdef" for c in entity)
-    return draw.like(entity, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
+    numeric = not any(c.isalpha() for c in entity)
+    return draw.like(
+        entity + ("0" if numeric else "a") * wider, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"
+    )
 
 
 def render(kind: str, raw: str, value: str) -> str:
     """A canonical replacement in the spelling of the occurrence it replaces."""
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(value)
-        return "".join(next(signs) if c.isalnum() else c for c in raw)
+        # A wider form is longer than what it replaces; its rest follows.
+        return "".join([*(next(signs) if c.isalnum() else c for c in raw), *signs])
     if kind.startswith(("given", "surname")):
         if raw.isupper() and len(raw) > 1:
             return value.upper()
@@ -254,6 +273,7 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
         winners = claims.union(blocks).groupBy("kind", "form").agg(
             F.min("claim").alias("claim"), F.min("entity").alias("entity")
         ).filter("claim = 1").select("kind", "entity", F.col("form").alias("won"))
+        before = state
         state = materialise(
             state.join(winners, ["kind", "entity"], "left").select(
                 "kind",
@@ -263,6 +283,7 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
             ),
             "surrogates",
         )
+        release(before)
         if state.filter("surrogate IS NULL").isEmpty():
             return state.select("kind", "entity", "surrogate")
 

@@ -12,7 +12,7 @@ from helpers import corpus, prose, table
 
 import corpus_pipeline
 from splitwarden.llm.packing import closest_fill, fill_windows, pack_documents
-from splitwarden.llm.pii import detect, render, replace_pii, surrogate
+from splitwarden.llm.pii import assign_surrogates, detect, render, replace_pii, surrogate
 from splitwarden.llm.tokens import END_ID, tokenizer_path
 from splitwarden.llm.warc import _ranges, read_records, write_archives
 from splitwarden.operators.scale import scratch_path
@@ -167,6 +167,25 @@ def test_surrogates_keep_type_shape_and_identity(spark):
     assert again == text
 
 
+def test_full_forms_get_wider(spark):
+    for masked in ("password: ********", "pwd = ------", 'token = "......"'):
+        assert detect(masked) == []
+    for kind, entity in (("secret", "a*****"), ("secret", "1-----"), ("ssn", "123456789"), ("card", "4111111111111"), ("phone", "12"), ("iban", "GB001234567812345678")):
+        assert len({surrogate(b"k", kind, entity, n) for n in range(12)}) > 3
+        assert len(surrogate(b"k", kind, entity, 11)) > len(entity), kind
+    assert render("phone", "+1 -- 2", "12345") == "+1 -- 2345"
+    for address in ("192.168.1.1", "172.16.0.4", "10.0.0.1", "8.8.8.8"):
+        assert len({surrogate(b"k", "ip", address, n) for n in range(16, 40)}) == 24
+    # Every address of a prefix, and every value of a short form, is taken.
+    full = [("ip", f"192.168.{i >> 8}.{i & 255}") for i in range(1 << 16)]
+    full += [("secret", f"*****{c}") for c in "abcdefghijklmnopqrstuvwxyz0123456789"]
+    found = assign_surrogates(spark.createDataFrame(full, "kind string, entity string"), b"k").collect()
+    assert len(found) == len(full) == len({(r.kind, r.surrogate) for r in found})
+    assert not {(r.kind, r.surrogate) for r in found} & set(full)
+    docs = table(spark, [(1, "password: ******** and 192.168.0.1")])
+    assert replace_pii(docs, b"k").first().text.startswith("password: ******** and 192.168.")
+
+
 def test_surrogate_forms():
     from splitwarden.llm.pii import _luhn
 
