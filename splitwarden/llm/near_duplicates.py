@@ -1,15 +1,15 @@
-"""Near-duplicate documents by ProbMinHash over weighted word shingles.
+"""Near-duplicate documents by ProbMinHash over word shingles.
 
-Signature. A text's shingles (``SHINGLE`` consecutive words; a shorter text is one shingle)
-weigh 1 + ln(count). Every shingle sends a Poisson process of arrivals whose rate is its
-weight; each arrival falls into a register drawn at random, and a register keeps the first
-arrival. The next arrival of a shingle comes after its last, so a shingle stops as soon as its
-arrival is later than the latest register of the text (ProbMinHash, Ertl 2020). Two texts
-agree in a register with the probability Jaccard similarity of their weighted shingles; with
-equal weights that is the Jaccard similarity of the sets.
+Signature. Every distinct shingle of a text (``SHINGLE`` consecutive words; a shorter text is one
+shingle) sends a Poisson process of arrivals whose rate is its weight; each arrival falls into a
+register drawn at random, and a register keeps the first arrival. The next arrival of a shingle
+comes after its last, so a shingle stops as soon as its arrival is later than the latest register
+of the text (ProbMinHash, Ertl 2020). Two texts agree in a register with the probability Jaccard
+similarity of their weighted shingles. All weights are equal here, however often a text repeats a
+shingle: that similarity is then the Jaccard similarity of the sets, which is what is verified.
 
-Banding. ``BANDS`` bands of ``ROWS`` registers: a pair at similarity 0.8 shares no band with
-probability (1 - 0.8^6)^32 = 6e-5.
+Banding. ``BANDS`` bands of ``ROWS`` registers: a pair at similarity 0.8 of the sets shares no
+band with probability (1 - 0.8^6)^32 = 6e-5, whatever it repeats.
 
 Verification. Jaccard similarity of the shingle sets, computed in full, at least 0.8. All
 members of a bucket are compared with its hub (least content) and the links closed to classes.
@@ -102,10 +102,10 @@ def band_keys(registers: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            row, element, count = shingles(words_of(part.column("text")))
+            row, element, _ = shingles(words_of(part.column("text")))
             present = np.unique(row)
             dense = np.searchsorted(present, row)
-            registers = signatures(len(present), dense, element, 1 + np.log(count))
+            registers = signatures(len(present), dense, element, np.ones(len(row)))
             keys = band_keys(registers)
             yield pa.RecordBatch.from_arrays(
                 [

@@ -80,6 +80,18 @@ def test_registers_agree_as_often_as_the_similarity_says():
         assert band_keys(registers).shape == (2, 32)
 
 
+def test_repeats_do_not_hide_a_near_duplicate(spark):
+    rows = []
+    for i in range(150):  # the same shingles, one half or the other repeated 100 times
+        a, b = prose(2000 + i, 12), prose(5000 + i, 12)
+        one = " ".join([a] * 100 + [b] * 3 + [a])
+        other = " ".join([a] * 3 + [b] * 100 + [a])
+        rows += [(2 * i, one), (2 * i + 1, other)]
+        assert jaccard(words_of(pa.array([one])), words_of(pa.array([other])))[0] == 1
+    found = near_duplicates(table(spark, rows).repartition(4)).collect()
+    assert {(r.doc_id, r.class_id) for r in found} == {(d, d // 2 * 2) for d, _ in rows}
+
+
 def test_edit_distance_and_probes():
     rnd = random.Random(5)
     for _ in range(6000):
