@@ -5,9 +5,10 @@ is less than those of the ``REACH`` words before it and not more than those of t
 words after it), so a passage gives the same units wherever it stands inside a line. Units are
 normalised to lower-case words and hashed to 96 bits; digests are grouped over the whole
 corpus, the earliest unit (least doc_id, then least offset) stays, and the rest are repeats.
-Repeated units that follow each other and are kept by one document are joined, and a run of at
-least ``MIN_WORDS`` words is reported for removal; shorter repeats, such as a notice of one
-sentence, or two notices that stand together by chance, are left alone.
+Repeated units that follow each other are joined where the pair of them occurs earlier too, in
+whatever document, or one document keeps both; a run of at least ``MIN_WORDS`` words is reported
+for removal. Shorter repeats, such as a notice of one sentence, or two notices of different
+documents that stand together by chance, are left alone.
 
 Cases: null and empty texts have no units; a null doc_id ranks last; rows with the same doc_id
 and text are one document, so they do not repeat each other and their spans are reported once
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from splitwarden.llm.text import as_bytes, mix, slices, words_of
+from splitwarden.operators.scale import materialise
 
 REACH = 3
 MIN_WORDS = 16
@@ -106,29 +108,50 @@ def repeated_passages(
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
     groups = units.groupBy("hash_a", "hash_b").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
     # Only digests found twice matter; the rest end here.
-    groups = groups.filter("n > 1").select(
-        "hash_a",
-        "hash_b",
-        F.col("first.doc_id").alias("kept_doc_id"),
-        F.col("first.start").alias("kept_start"),
-    )
-    repeats = units.join(groups, ["hash_a", "hash_b"]).filter(
-        ~(F.col("doc_id").eqNullSafe(F.col("kept_doc_id")) & (F.col("start") == F.col("kept_start")))
-    )
+    groups = groups.filter("n > 1").select("hash_a", "hash_b", "first")
     document = ["doc_id", "text_key"]
     # A document's units, never more than its own words, meet in one task.
-    in_order = Window.partitionBy(*document, "kept_doc_id").orderBy("unit")
-    runs = repeats.dropDuplicates([*document, "unit"]).withColumn(
-        "run", F.col("unit") - F.row_number().over(in_order)
+    in_order = Window.partitionBy(*document).orderBy("unit")
+    follows = F.lead("unit").over(in_order) == F.col("unit") + 1
+    digests = ["hash_a", "hash_b", F.lead("hash_a").over(in_order), F.lead("hash_b").over(in_order)]
+    found = (
+        units.join(groups, ["hash_a", "hash_b"])
+        .dropDuplicates([*document, "unit"])
+        .withColumn("pair_a", F.when(follows, F.xxhash64(*digests)))
+        .withColumn("pair_b", F.when(follows, F.hash(*digests)))
+        .drop("hash_a", "hash_b")
+    )
+    found = materialise(found, "repeated-units")
+    # A pair can only occur twice where both its units do.
+    paired = found.filter("pair_a IS NOT NULL")
+    pairs = paired.groupBy("pair_a", "pair_b").agg(F.min(rank).alias("pair_first"), F.count("*").alias("n"))
+    earlier = paired.join(pairs.filter("n > 1").drop("n"), ["pair_a", "pair_b"], "left").withColumn(
+        "again", F.coalesce(rank != F.col("pair_first"), F.lit(False))
+    )
+    columns = [*document, "unit", "start", "stop", "words", "first"]
+    marked = earlier.select(*columns, "again").unionByName(
+        found.filter("pair_a IS NULL").select(*columns, F.lit(False).alias("again"))
+    )
+    same_keeper = F.lag("first.doc_id").over(in_order).eqNullSafe(F.col("first.doc_id"))
+    joins = (F.lag("unit").over(in_order) == F.col("unit") - 1) & (F.lag("again").over(in_order) | same_keeper)
+    runs = (
+        marked.filter(rank != F.col("first"))
+        .withColumn("begins", F.coalesce(~joins, F.lit(True)).cast("bigint"))
+        .withColumn("run", F.sum("begins").over(in_order))
     )
-    joined = runs.groupBy(*document, "kept_doc_id", "run").agg(
+    joined = runs.groupBy(*document, "run").agg(
         F.min("start").alias("start"),
         F.max("stop").alias("stop"),
         F.sum("words").alias("n_words"),
-        F.min("kept_start").alias("kept_start"),
+        F.min("first").alias("kept"),
     )
     return joined.filter(F.col("n_words") >= min_words).select(
-        *document, "start", "stop", "n_words", "kept_doc_id", "kept_start"
+        *document,
+        "start",
+        "stop",
+        "n_words",
+        F.col("kept.doc_id").alias("kept_doc_id"),
+        F.col("kept.start").alias("kept_start"),
     )
 
 

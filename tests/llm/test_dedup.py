@@ -211,3 +211,21 @@ def test_a_passage_is_found_wherever_it_stands(spark, where):
         rows += [(2 * i, passage), (2 * i + 1, f"{prose(i, where)} {passage} {prose(50 + i, 9)}")]
     flagged = {r.doc_id for r in repeated_passages(table(spark, rows)).collect()}
     assert len(flagged & {2 * i + 1 for i in range(40)}) >= 39 and not flagged & {2 * i for i in range(40)}
+
+
+def test_a_passage_stays_whole_when_edited_copies_stand_earlier(spark):
+    rows = []
+    for i in range(20):
+        passage = prose(6000 + i, 96).split()
+        edited = [f"edit{i}x{k}" if k % 12 == 5 else w for k, w in enumerate(passage)]
+        rows += [(10 * i, " ".join(edited)), (10 * i + 1, " ".join(passage))]
+        rows += [(10 * i + 2, f"{prose(7000 + i, 30)} {' '.join(passage)} {prose(8000 + i, 30)}")]
+    found = defaultdict(list)
+    for r in repeated_passages(table(spark, rows)).collect():
+        found[r.doc_id].append(r.n_words)
+    # One run each, whole but for the units cut at its two ends.
+    assert all(len(found[10 * i + 2]) == 1 and found[10 * i + 2][0] >= 70 for i in range(20)), found
+    # Two short notices of different documents that stand together once are no passage.
+    a, b = prose(9000, 10), prose(9001, 10)
+    notices = [(1, f"{a}\n{prose(9002, 30)}"), (2, f"{prose(9003, 30)}\n{b}"), (3, f"{a}\n{b}")]
+    assert repeated_passages(table(spark, notices)).count() == 0
