@@ -1,9 +1,10 @@
 """Personal data replaced by keyed surrogates of the same type and shape.
 
 1. Tasks detect entities: e-mail and IP addresses, phone, card, account and social security
-   numbers, secrets behind a keyword, and names behind a title. An entity is known by its kind and
-   canonical form (digits of a number, lower-case address, single name word), so all its
-   spellings, in all documents, get one surrogate.
+   numbers, secrets behind a keyword, and names behind a title in any case. The words of these
+   names are then looked up in the whole document, so capitalised mentions without a title are
+   the same entity. An entity is known by its kind and canonical form (digits of a number,
+   lower-case address, single name word), so all its spellings, in all documents, get one surrogate.
 2. A surrogate comes from HMAC-SHA256 of a key, the kind, the canonical form and an attempt.
    It keeps the shape: digits stay digits and letters letters, the country code, network
    digit, check digit, address class and domain ending are kept, and a name keeps its script,
@@ -26,6 +27,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,6 +38,7 @@ from splitwarden.operators.scale import materialise, release
 # Titles that announce a name, by gender.
 MALE_TITLES = ["Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Господин", "Κύριος"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "Госпожа", "Κυρία"]
+ANY_TITLES = ["Dr", "Prof", "Professor", "Doctor", "Доктор", "Профессор"]
 # First choice of given names by script and gender.
 GIVEN_NAMES = {
     ("latin", "male"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Julian", "Marco", "Oscar", "Paul", "Robert", "Simon", "Thomas", "Victor"],
@@ -66,7 +69,13 @@ _SECRET = (
     r"""(?:\\?(?P<quote>["'])(?P<quoted>(?:(?!\\?(?P=quote))[^\r\n]){6,})\\?(?P=quote)(?!\w)"""
     r"""|(?:\\?["'])?(?P<value>[^\s,;"']{6,}))"""
 )
-_TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
+_TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + ANY_TITLES, key=len, reverse=True))
+_ANY_TITLE = "|".join(sorted(ANY_TITLES, key=len, reverse=True))
+_GENDER = {t.lower(): g for g, ts in (("male", MALE_TITLES), ("female", FEMALE_TITLES)) for t in ts}
+_NEXT_NAME = {t.lower() for t in MALE_TITLES + FEMALE_TITLES + ANY_TITLES} - {"don"}  # Don is a name too
+# Titles without gender may follow a title, and initials may precede the words of a name; a line
+# end may stand anywhere between them.
+_GAP = r"(?:[^\S\r\n]+|[^\S\r\n]*\r?\n[^\S\r\n]*)"
 PATTERNS = [
     ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")),
     ("secret", re.compile(_SECRET)),
@@ -75,7 +84,7 @@ PATTERNS = [
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("phone", re.compile(r"(?<!\w)(?:\+[0-9][0-9 ()./-]{6,20}[0-9]|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)")),
     ("card", re.compile(r"(?<![\w-])[3-6](?:[ -]?[0-9]){12,18}(?![\w-])")),
-    ("name", re.compile(rf"\b(?P<title>{_TITLE})\.?[ ](?P<value>{_WORD}(?:[ ]{_WORD}){{0,2}})")),
+    ("name", re.compile(rf"\b(?P<title>(?i:{_TITLE}))\b\.?(?:\s+(?i:{_ANY_TITLE})\b\.?)*\s+(?P<value>(?:[^\W\d_]\.\s*)*{_WORD}(?:{_GAP}(?:[^\W\d_]\.\s*)*{_WORD}){{0,2}})")),
 ]
 _ENTITY = pa.schema([("kind", pa.string()), ("entity", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
@@ -94,30 +103,76 @@ def _luhn(digits: str) -> int:
     return total % 10
 
 
-def _name_parts(match: re.Match) -> Iterator[tuple[str, str, int, int]]:
-    gender = "male" if match["title"] in MALE_TITLES else "female"
-    words = []
+def _name_parts(match: re.Match, lowered: Callable[[], set[str]]) -> Iterator[tuple[str, str, int, int]]:
+    gender = _GENDER.get(match["title"].lower(), "any")
+    words, end = [], 0
     for word in re.finditer(_WORD, match["value"]):
         if not word[0][0].isupper():  # the name ends at the first word in lower case
             break
+        if len(word[0]) == 1 and match["value"][word.end() : word.end() + 1] == ".":
+            continue
+        if words and word[0].lower() in _NEXT_NAME:
+            break
+        gap = match["value"][end : word.start()]
+        if words and "\n" in gap and word[0].lower() in lowered():
+            break  # an ordinary word at the start of the next line
+        end = word.end()
         words.append(word)
     base = match.start("value")
     for i, word in enumerate(words):
+        stop = word.end() - (len(word[0]) > 2 and word[0][-2:] in ("'s", "’s", "'S", "’S")) * 2
+        spelled = match["value"][word.start() : stop]
         given = i + 1 < len(words)
-        kind = f"{'given' if given else 'surname'}:{_script(word[0])}:{gender if given else 'any'}"
-        yield kind, word[0].lower(), base + word.start(), base + word.end()
+        kind = f"{'given' if given else 'surname'}:{_script(spelled)}:{gender if given else 'any'}"
+        yield kind, spelled.lower(), base + word.start(), base + stop
+
+
+def _mentions(text: str, named: list[tuple[str, str, int, int]]) -> list[tuple[str, str, int, int]]:
+    """The titled names of a text and all other capitalised mentions of their words.
+
+    A word has one kind in a text where it can: a given name whose gender a title tells has that
+    gender throughout, and a mention without a title is what the first titled one is.
+    """
+    gendered: dict[str, str] = {}
+    for kind, canonical, *_ in named:
+        if kind.startswith("given") and not kind.endswith(":any"):
+            gendered.setdefault(canonical, kind)
+    named = [(gendered.get(c, k) if k.startswith("given") and k.endswith(":any") else k, c, s, e) for k, c, s, e in named]
+    first: dict[str, str] = {}
+    forms: dict[str, set[tuple[int, str]]] = {}  # by first run of letters: length, canonical form
+    for kind, canonical, start, stop in named:
+        if stop - start > 1:  # a letter alone names nobody elsewhere
+            first.setdefault(canonical, kind)
+            run = re.match(r"[^\W\d_]+", text[start:stop])[0].lower()
+            forms.setdefault(run, set()).update({(stop - start, canonical), (len(canonical), canonical)})
+    found, taken = list(named), {start for *_, start, _ in named}
+    for run in re.finditer(r"[^\W\d_]+", text) if first else ():
+        start = run.start()
+        if run[0].lower() not in forms or not run[0][0].isupper() or start in taken:
+            continue
+        for length, canonical in sorted(forms[run[0].lower()], reverse=True):
+            stop = start + length
+            if text[start:stop].lower() == canonical and not text[stop : stop + 1].isalpha():
+                found.append((first[canonical], canonical, start, stop))
+                break
+    return found
 
 
 def detect(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, canonical form, start, stop) of the entities of a text; they do not overlap."""
     found: list[tuple[int, int, int, str, str]] = []
+    named: list[tuple[str, str, int, int]] = []
+    lowered = lru_cache(lambda: {w for w in re.findall(_WORD, text) if w.islower()})
     for rank, (kind, pattern) in enumerate(PATTERNS):
         if kind == "email" and "@" not in text:
             continue
-        for match in pattern.finditer(text):
-            if kind == "name":
-                found += [(s, e, rank, k, c) for k, c, s, e in _name_parts(match)]
-                continue
+        at = 0
+        while kind == "name" and (match := pattern.search(text, at)):
+            # What was read but is no part of this name may begin the next.
+            parts = list(_name_parts(match, lowered))
+            named += parts
+            at = parts[-1][3] if parts else match.start("value")
+        for match in pattern.finditer(text) if kind != "name" else ():
             group = 0
             if kind == "secret":
                 group = "quoted" if match["quoted"] else "value"
@@ -130,6 +185,7 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
             elif kind == "iban":
                 canonical = value.replace(" ", "")
             found.append((match.start(group), match.end(group), rank, kind, canonical))
+    found += [(s, e, len(PATTERNS), k, c) for k, c, s, e in _mentions(text, named)] if named else []
     kept: list[tuple[str, str, int, int]] = []
     done = 0
     for start, stop, _, kind, canonical in sorted(found, key=lambda f: (f[0], f[2], -f[1])):

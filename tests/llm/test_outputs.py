@@ -167,6 +167,24 @@ def test_surrogates_keep_type_shape_and_identity(spark):
     assert again == text
 
 
+def test_names_without_a_title_are_the_same_entity(spark):
+    text = "Smith wrote. Mr John Smith came. Smith's car; SMITH said John-like things, but a smith at Smithfield did not."
+    out = replace_pii(table(spark, [(1, text), (2, "Smith alone")]), b"key").collect()
+    new = {r.doc_id: r for r in out}
+    assert new[2].text == "Smith alone" and "a smith at Smithfield" in new[1].text
+    left = new[1].text.replace("Smithfield", "")
+    assert "Smith" not in left and "SMITH" not in left and "John" not in left
+    assert len({c["surrogate"] for c in new[1].pii_changes if c["kind"].startswith("surname")}) == 1
+    assert len(new[1].pii_changes) == 6
+    for form in ("MR SMITH", "mr Smith", "Dr. Smith", "Prof Smith", "Mr.\nSmith", "Mr \t Smith", "Prof. Dr. Smith", "Mrs J. Smith"):
+        assert [(k.split(":")[0], e) for k, e, *_ in detect(f"so {form}. Then Smith")] == [("surname", "smith")] * 2, form
+    assert [e for _, e, *_ in detect("Mr John\nSmith")] == ["john", "smith"]
+    assert [e for _, e, *_ in detect("the man, Mr Smith\nThe end")] == ["smith"]
+    assert [e for _, e, *_ in detect("Mr and Mrs Smith, I miss the Mr Jones, Mr Don Smith Mrs O'Neil-Ray; O'NEIL-RAY")] == ["smith", "jones", "don", "smith", "o'neil-ray", "o'neil-ray"]
+    kinds = [k for k, *_ in detect("Dr John Smith is Mr John Smith")]
+    assert kinds == ["given:latin:male", "surname:latin:any"] * 2
+
+
 def test_full_forms_get_wider(spark):
     for masked in ("password: ********", "pwd = ------", 'token = "......"'):
         assert detect(masked) == []
