@@ -196,7 +196,8 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Dat
         "text_key",
         "line_no",
         F.xxhash64("text").alias("digest_a"),
-        F.xxhash64("text", F.lit(1)).alias("digest_b"),
+        # Each hash seeds the next, so the seed comes first: else this is a function of digest_a.
+        F.xxhash64(F.lit(1), "text").alias("digest_b"),
         "text",
     )
 

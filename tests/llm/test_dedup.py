@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import corpus, prose, table, words
+from pyspark.sql import functions as F
 
 from splitwarden.llm.lines import drop_repeated_lines, edit_distance, line_report, probes, segments
 from splitwarden.llm.near_duplicates import band_keys, drop_near_duplicates, jaccard, near_duplicates, shingles, signatures
@@ -169,6 +170,15 @@ def test_line_dedup(spark):
     assert line_report(table(spark, [])).count() == 0 and drop_repeated_lines(table(spark, [])).count() == 0
 
 
+def test_the_halves_of_a_line_digest_are_independent(spark):
+    from splitwarden.llm.lines import _occurrences
+
+    rows = _occurrences(table(spark, line_corpus()), "doc_id", "text", 20)
+    # A 64-bit hash of the first half alone would tell lines apart no better than that half.
+    dependent = F.col("digest_b") == F.xxhash64("text", F.lit(1))
+    assert rows.count() > 0 and rows.filter(dependent).count() == 0
+
+
 def test_a_document_without_lines_left_is_dropped(spark):
     line = "a line that is long enough to count"
     docs = table(spark, [(1, line), (2, line + "!"), (3, None), (4, "")])
