@@ -107,12 +107,16 @@ def repeated_passages(
     units = text_units(docs, doc_id, text)
     rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
     groups = units.groupBy("hash_a", "hash_b").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-    # Only digests found twice matter; the rest end here.
+    # Only digests found twice matter, alone or in a pair; the rest end here.
     groups = groups.filter("n > 1").select("hash_a", "hash_b", "first")
     document = ["doc_id", "text_key"]
     # A document's units, never more than its own words, meet in one task.
     in_order = Window.partitionBy(*document).orderBy("unit")
-    follows = F.lead("unit").over(in_order) == F.col("unit") + 1
+    # Units kept by one document are joined anyway, and a digest has one keeper wherever it stands:
+    # only pairs of different keepers are looked up.
+    follows = (F.lead("unit").over(in_order) == F.col("unit") + 1) & ~F.lead("first.doc_id").over(
+        in_order
+    ).eqNullSafe(F.col("first.doc_id"))
     digests = ["hash_a", "hash_b", F.lead("hash_a").over(in_order), F.lead("hash_b").over(in_order)]
     found = (
         units.join(groups, ["hash_a", "hash_b"])
@@ -122,7 +126,6 @@ def repeated_passages(
         .drop("hash_a", "hash_b")
     )
     found = materialise(found, "repeated-units")
-    # A pair can only occur twice where both its units do.
     paired = found.filter("pair_a IS NOT NULL")
     pairs = paired.groupBy("pair_a", "pair_b").agg(F.min(rank).alias("pair_first"), F.count("*").alias("n"))
     earlier = paired.join(pairs.filter("n > 1").drop("n"), ["pair_a", "pair_b"], "left").withColumn(
