@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from splitwarden.llm.text import slices
 from splitwarden.llm.tokens import encoder
-from splitwarden.operators.scale import number_rows
+from splitwarden.operators.scale import materialise, number_rows
 
 CAPACITY = 1024
 _PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
@@ -149,4 +149,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    return pack(token_pieces(docs, doc_id, text, capacity), capacity)
+    # Stored first: numbering samples its input, which would tokenise every text twice.
+    return pack(materialise(token_pieces(docs, doc_id, text, capacity), "pieces"), capacity)

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 4 << 20  # texts handled at once by one task; a longer text is a slice alone
-_BLOCK = 1 << 20  # bytes hashed at once
 
 _bytes = np.arange(256)
 _upper = (_bytes >= 65) & (_bytes <= 90)
@@ -35,20 +35,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = mix(np.arange(256, dtype=np.uint64))[LOWER]
-_RAW_VALUES = mix(np.arange(256, 512, dtype=np.uint64)), mix(np.arange(512, 768, dtype=np.uint64))
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0], _powers[1]
+_LONG = 1024  # bytes; longer ranges are few, the library hashes them one by one
+_ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,21 +64,30 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
 
 
-def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the bytes of every range; ranges are in order."""
-    out = np.empty((2, len(start)), np.uint64)
-    low = 0
-    while low < len(start):
-        high = max(int(np.searchsorted(end, start[low] + _BLOCK, "right")), low + 1)
-        begin, stop = int(start[low]), int(end[high - 1])
-        power, inverse = _power_tables(stop - begin + 1)
-        s, e = start[low:high] - begin, end[low:high] - begin
-        for i, values in enumerate(_RAW_VALUES):
-            sums = np.zeros(stop - begin + 1, np.uint64)
-            np.cumsum(values[data[begin:stop]] * power[: stop - begin], out=sums[1:])
-            out[i, low:high] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        low = high
-    return out[0], out[1]
+def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of the bytes of every range, eight bytes of all ranges at a time.
+
+    Every step is a bijection of the state, so ranges of one length up to eight bytes never share
+    a hash; hashes of different seeds are independent.
+    """
+    size = end - start
+    state = mix(np.full(len(start), seed, np.uint64) + size.astype(np.uint64))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    left = np.where(size > _LONG, 0, size)
+    active = np.flatnonzero(left > 0)
+    at = start[active]
+    while len(active):
+        rest = left[active]
+        short = np.uint64(8) * (8 - np.minimum(rest, 8)).astype(np.uint64)
+        state[active] = mix((state[active] * np.uint64(0xD1342543DE82EF95)) ^ (lanes[at] & (_ONES >> short)))
+        left[active] = rest - 8
+        more = rest > 8
+        active, at = active[more], at[more] + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        state[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    return state
 
 
 @dataclass
@@ -135,18 +132,7 @@ def words_of(column: pa.Array) -> Words:
     after[cuts - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     row = np.searchsorted(offsets[1:], start, "right")
-    key = np.empty(len(start), np.uint64)
-    low = 0
-    while low < len(start):
-        high = int(np.searchsorted(end, start[low] + _BLOCK, "right"))
-        high = max(high, low + 1)
-        begin, stop = int(start[low]), int(end[high - 1])
-        power, inverse = _power_tables(stop - begin + 1)
-        sums = np.zeros(stop - begin + 1, np.uint64)
-        np.cumsum(_VALUES[data[begin:stop]] * power[: stop - begin], out=sums[1:])
-        s, e = start[low:high] - begin, end[low:high] - begin
-        key[low:high] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
-        low = high
+    key = range_hash(LOWER[data], start, end)
     return Words(data, len(column), row, start, end, key)
 
 

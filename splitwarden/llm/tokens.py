@@ -14,8 +14,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-from splitwarden.llm.text import as_bytes, mix, prefix_hashes
+from splitwarden.llm.text import as_bytes, range_hash
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -41,15 +42,15 @@ def encoder(name: str = TOKENIZER) -> Encoder:
 
 
 class Encoder:
-    """Encodes Arrow text columns and remembers the ids of pieces by two 64-bit hashes."""
+    """Encodes Arrow text columns and remembers the ids of pieces by two independent 64-bit hashes."""
 
     def __init__(self, name: str = TOKENIZER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(tokenizer_path(name))
-        # The strings of special tokens in a text are ordinary text.
-        self.library.encode_special_tokens = True
+        # The library takes these strings out of a text before it cuts it into pieces.
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # Each character of a byte-level token stands for one byte.
         vocabulary = self.library.get_vocab()
         self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -92,13 +93,23 @@ class Encoder:
         return slot, (self.first[slot] == first) & (self.second[slot] == second)
 
     def _plain(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Every row by the library as a whole, for slices in which two pieces share a hash."""
+        """Every row by the library as a whole: rows with an added token, slices in which two
+        pieces share a hash."""
         for text in column.to_pylist():
             ids = self.library.encode(text or "", add_special_tokens=False).ids
             yield np.array([*ids, END_ID], np.uint32)
 
     def encode(self, column: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each row, with ``END_ID`` at the end."""
+        whole = np.zeros(len(column), bool)
+        for token in self.added:
+            whole |= pc.match_substring(column, token).fill_null(False).to_numpy(zero_copy_only=False)
+        turns = np.flatnonzero(np.diff(whole, prepend=~whole[:1], append=~whole[-1:]))
+        for low, high in zip(turns[:-1].tolist(), turns[1:].tolist()):
+            rows = column.slice(low, high - low)
+            yield from self._plain(rows) if whole[low] else self._pieces(rows)
+
+    def _pieces(self, column: pa.Array) -> Iterator[np.ndarray]:
         data, offsets = as_bytes(column)
         if not len(data):
             for _ in range(len(column)):
@@ -109,7 +120,7 @@ class Encoder:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         start = np.flatnonzero(cut)
         end = np.append(start[1:], len(data))
-        first, second = prefix_hashes(data, start, end)
+        first, second = range_hash(data, start, end, 1), range_hash(data, start, end, 2)
         _, representative, group = np.unique(first, return_index=True, return_inverse=True)
         if not np.array_equal(second, second[representative][group]):
             yield from self._plain(column)

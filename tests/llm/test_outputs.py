@@ -22,9 +22,7 @@ from splitwarden.operators.scale import scratch_path
 def library():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def whole(text):

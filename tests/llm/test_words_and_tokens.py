@@ -24,9 +24,7 @@ def odd_texts(n=1500):
 def library():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def whole(text):
@@ -65,6 +63,22 @@ def test_ids_equal_the_library_on_whole_texts():
         assert [x.tolist() for x in encoder.encode(pa.array(texts))] == [whole(t) for t in texts]
 
 
+def test_special_tokens_follow_the_library():
+    texts = ["a <|endoftext|> b", "a  <|endoftext|>  b", "<|endoftext|>", "x<|endoftext|>y z", "plain  text", None]
+    assert [x.tolist() for x in Encoder().encode(pa.array(texts))] == [whole(t) for t in texts]
+    assert whole(texts[0])[:-1] == [64, 220, 50256, 275]
+
+
+def test_pieces_that_share_a_polynomial_are_told_apart():
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    word, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    texts = [f"{word} {other}", f"x {other} {word} {word[:900]} {other[:900]}", f"{word[:1024]} {other[:1024]}"]
+    assert [x.tolist() for x in Encoder().encode(pa.array(texts))] == [whole(t) for t in texts]
+    found = words_of(pa.array(texts))
+    keys = {found.joined(i, 1): k for i, k in enumerate(found.key.tolist())}
+    assert len(set(keys.values())) == len(keys)
+
+
 def test_files_give_every_document_back(tmp_path):
     rnd = np.random.default_rng(1)
     documents = [(i if i % 7 else None, rnd.integers(0, 50_257, n).astype(np.uint32)) for i, n in
