@@ -13,6 +13,7 @@ from splitwarden.llm.packing import pack_documents
 from splitwarden.llm.pii import replace_pii
 from splitwarden.llm.quality import quality_report
 from splitwarden.llm.segments import repeated_passages
+from splitwarden.llm.simhash import as_hex, simhash_classes
 from splitwarden.llm.tokenfile import read_token_files, write_token_files
 from splitwarden.llm.warc import read_records, write_archives
 from splitwarden.operators.scale import scratch_path
@@ -79,6 +80,11 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_classes(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_token_files": op9_token_files,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op12_simhash": op12_simhash,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
