@@ -15,6 +15,7 @@ from splitwarden.llm.quality import quality_report
 from splitwarden.llm.segments import repeated_passages
 from splitwarden.llm.simhash import as_hex, simhash_classes
 from splitwarden.llm.tokenfile import read_token_files, write_token_files
+from splitwarden.llm.trie import conversation_trie
 from splitwarden.llm.warc import read_records, write_archives
 from splitwarden.operators.scale import scratch_path
 
@@ -85,6 +86,10 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_near_duplicates": op2_near_duplicates,
@@ -97,6 +102,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_pii_surrogates": op10_pii_surrogates,
     "op12_simhash": op12_simhash,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
