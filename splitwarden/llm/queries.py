@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splitwarden.llm.decontaminate import decontamination_report
+from splitwarden.llm.lexical import lexical_search
 from splitwarden.llm.license import license_scan
 from splitwarden.llm.lines import line_report
 from splitwarden.llm.near_duplicates import near_duplicates
@@ -81,6 +82,10 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_classes(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -101,6 +106,7 @@ QUERIES = {
     "op8_repeated_passages": op8_repeated_passages,
     "op9_token_files": op9_token_files,
     "op10_pii_surrogates": op10_pii_surrogates,
+    "op11_lexical_search": op11_lexical_search,
     "op12_simhash": op12_simhash,
     "op13_conversation_trie": op13_conversation_trie,
 }
@@ -180,4 +186,61 @@ SELECT page_id, payload_bytes, payload_digest,
     THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)""",
+    "op11_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_words("text")} AS ws FROM documents),
+size AS (SELECT count(*) FILTER (len(ws) > 0) AS n, sum(len(ws))::BIGINT AS total FROM d),
+tf AS (
+  SELECT doc_id, w, count(*) AS tf, any_value(n) AS n
+  FROM (SELECT doc_id, len(ws) AS n, unnest(ws) AS w FROM d) GROUP BY doc_id, w
+), df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+q AS (
+  SELECT item_id, w, count(*) AS repeats
+  FROM (SELECT item_id, unnest({_words("text")}) AS w FROM benchmark) GROUP BY item_id, w
+), scored AS (
+  SELECT item_id, doc_id, sum(repeats * floor(1000 * ln((2 * size.n + 2) / (2 * df + 1)))::BIGINT
+      * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * tf.n * size.n) // size.total))))::BIGINT AS score
+  FROM q JOIN df USING (w) JOIN tf USING (w), size GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank,
+  doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20""",
+    "op13_conversation_trie": r"""
+WITH RECURSIVE cells AS (
+  SELECT i AS b, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL
+  SELECT b, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM cells WHERE k < 8
+), crc_table AS (SELECT b, v FROM cells WHERE k = 8),
+ids AS (SELECT DISTINCT conv_id, conv_id::VARCHAR AS name FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (
+  SELECT conv_id, name, 4294967295::BIGINT AS v, 0 AS place FROM ids
+  UNION ALL
+  SELECT conv_id, name, xor(crc.v >> 8, crc_table.v), place + 1
+  FROM crc JOIN crc_table ON b = (xor(crc.v, ascii(name[place + 1])) & 255) WHERE place < length(name)
+), borrow AS (SELECT conv_id, (xor(v, 4294967295) % 4)::INTEGER AS h FROM crc WHERE place = length(name)),
+own AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST) AS turns
+  FROM conversations GROUP BY conv_id
+), rebuilt AS (
+  SELECT own.conv_id, list_concat(coalesce(donor.turns[:h], []), own.turns[h + 1:]) AS turns
+  FROM own JOIN borrow USING (conv_id) LEFT JOIN own AS donor ON donor.conv_id = own.conv_id - own.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, d, sha256((turns[:d])::VARCHAR) AS name,
+    CASE WHEN d > 0 THEN sha256((turns[:d - 1])::VARCHAR) END AS above, d = len(turns) AS ends,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(turns[d].t, '[^ 	-
+]+')) ELSE 0 END AS words
+  FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, name, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, name
+), kids AS (SELECT d - 1 AS d, above AS name, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+full_nodes AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (d, name)),
+subtrees AS (
+  SELECT p.d, p.name, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM full_nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.d <= n.d GROUP BY p.d, p.name
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, a.conv_id AS parent_conv_id, n.n_convs, n.n_children,
+  s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s USING (d, name) LEFT JOIN full_nodes a ON a.d = n.d - 1 AND a.name = n.above""",
 }
