@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from splitwarden.llm.lines import drop_repeated_lines, edit_distance, line_report, probes, segments
 from splitwarden.llm.near_duplicates import band_keys, drop_near_duplicates, jaccard, near_duplicates, shingles, signatures
-from splitwarden.llm.segments import remove_passages, repeated_passages
+from splitwarden.llm.segments import remove_passages, repeated_passages, text_units
 from splitwarden.llm.text import words_of
 
 
@@ -239,3 +239,80 @@ def test_a_passage_stays_whole_when_edited_copies_stand_earlier(spark):
     a, b = prose(9000, 10), prose(9001, 10)
     notices = [(1, f"{a}\n{prose(9002, 30)}"), (2, f"{prose(9003, 30)}\n{b}"), (3, f"{a}\n{b}")]
     assert repeated_passages(table(spark, notices)).count() == 0
+
+
+def plain_passages(units, min_words=16):
+    """The stated rule over a list of units, one after the other."""
+    rank = lambda u: (u.doc_id is None, u.doc_id or 0, u.start)
+    digest = lambda u: (u.hash_a, u.hash_b)
+    keeper, times = {}, defaultdict(int)
+    for u in units:
+        key = (*rank(u), u.text_key, u.unit)
+        times[digest(u)] += 1
+        if digest(u) not in keeper or key < keeper[digest(u)]:
+            keeper[digest(u)] = key
+    documents = defaultdict(dict)
+    for u in units:
+        documents[u.doc_id, u.text_key][u.unit] = u
+    stands = defaultdict(set)
+    for found in documents.values():
+        for n, u in found.items():
+            if n + 1 in found:
+                stands[digest(u), digest(found[n + 1])].add(rank(u))
+    out = []
+    for (doc, _), found in documents.items():
+        repeats = [found[n] for n in sorted(found) if rank(found[n]) != keeper[digest(found[n])][:3]]
+        run = []
+        for u in [*repeats, None]:
+            if run and u is not None and u.unit == run[-1].unit + 1:
+                a, b = keeper[digest(run[-1])], keeper[digest(u)]
+                if (a[1], a[0], a[3], a[4] + 1) == (b[1], b[0], b[3], b[4]) or min(stands[digest(run[-1]), digest(u)]) < rank(run[-1]):
+                    run.append(u)
+                    continue
+            if run and sum(x.words for x in run) >= min_words:
+                first = keeper[digest(run[0])]
+                out.append((doc, run[0].start, run[-1].stop, sum(x.words for x in run), None if first[0] else first[1], first[2]))
+            run = [u]
+    return sorted(out, key=str)
+
+
+def passage_corpus(seed):
+    rnd = random.Random(seed)
+    passages = [prose(3000 + seed * 50 + i, 6 + rnd.randrange(40)) for i in range(14)]
+    rows = corpus(seed)[:50] + [(None, passages[0]), (None, passages[0] + " " + passages[1]), (77, passages[2]), (77, passages[2] + "\n" + passages[3])]
+    for i in range(120):
+        parts = [rnd.choice(passages) if rnd.random() < 0.6 else prose(rnd.randrange(10**6), rnd.randrange(1, 30)) for _ in range(rnd.randrange(1, 6))]
+        rows.append((1000 + i, rnd.choice([" ", "\n"]).join(parts)))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_follow_the_rule(spark, seed):
+    docs = table(spark, passage_corpus(seed)).repartition(5)
+    units = text_units(docs).distinct().collect()
+    found = repeated_passages(docs).select("doc_id", "start", "stop", "n_words", "kept_doc_id", "kept_start").collect()
+    assert sorted(map(tuple, found), key=str) == plain_passages(units)
+    assert len(found) > 60
+    # The filter leaves out units that occur once, and no others.
+    fewer = text_units(docs, repeats_only=True).select("hash_a", "hash_b").collect()
+    times = defaultdict(int)
+    for u in text_units(docs).collect():
+        times[u.hash_a, u.hash_b] += 1
+    assert sum(1 for u in fewer if times[u.hash_a, u.hash_b] > 1) == sum(n for n in times.values() if n > 1)
+    assert len(fewer) < sum(times.values())
+
+
+def test_only_what_stands_together_is_joined(spark):
+    p, q, between = prose(9100, 10), prose(9101, 10), prose(9102, 60)
+    rows = [(1, f"{p}\n{between}\n{q}"), (2, f"{p}\n{q}")]
+    assert repeated_passages(table(spark, rows)).count() == 0
+    # Once the two stand together somewhere, the next time is a repeat.
+    found = repeated_passages(table(spark, rows + [(3, f"{p}\n{q}")])).collect()
+    assert [(r.doc_id, r.n_words) for r in found] == [(3, 20)]
+
+
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    docs = table(spark, passage_corpus(3)).repartition(3)
+    expected = sorted(map(tuple, repeated_passages(docs).collect()), key=str)
+    monkeypatch.setattr("splitwarden.llm.segments.FILTER_BITS", 4)
+    assert sorted(map(tuple, repeated_passages(docs).collect()), key=str) == expected
