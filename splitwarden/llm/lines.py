@@ -317,17 +317,19 @@ def line_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
 def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with their columns, repeated lines taken out of ``text``."""
     removed = removed_lines(docs, doc_id, text, **options).distinct()
-    gone = removed.groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("_gone"))
-    gone = gone.toDF("_line_id", "_line_key", "_gone")
-    keyed = docs.withColumn("_body_key", F.xxhash64(docs[text].cast("string")))
-    joined = keyed.join(
+    gone = removed.groupBy("doc_id", "text_key").agg(F.collect_list("line_no").alias("gone"))
+    gone = gone.toDF("gone_id", "gone_key", "gone")
+    # The columns get numbers, so no name of the input can clash.
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*place.values()).withColumn("row_key", F.xxhash64(F.col(place[text]).cast("string")))
+    joined = rows.join(
         gone,
-        docs[doc_id].cast("bigint").eqNullSafe(F.col("_line_id")) & (F.col("_body_key") == F.col("_line_key")),
+        F.col(place[doc_id]).cast("bigint").eqNullSafe(F.col("gone_id")) & (F.col("row_key") == F.col("gone_key")),
         "left",
     )
-    kept = F.filter(F.split(docs[text].cast("string"), "\n"), lambda _, i: ~F.array_contains("_gone", i))
-    body = F.when(F.col("_gone").isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))
-    shaped = joined.withColumn("_body", body).filter(
-        F.col("_gone").isNull() | F.col("_body").rlike("[^\\x20\\x09-\\x0D]")
+    kept = F.filter(F.split(F.col(place[text]).cast("string"), "\n"), lambda _, i: ~F.array_contains("gone", i))
+    body = F.when(F.col("gone").isNull(), F.col(place[text])).otherwise(F.array_join(kept, "\n"))
+    shaped = joined.withColumn("body", body).filter(
+        F.col("gone").isNull() | F.col("body").rlike("[^\\x20\\x09-\\x0D]")
     )
-    return shaped.select(*[(F.col("_body") if c == text else docs[c]).alias(c) for c in docs.columns])
+    return shaped.select(*[F.col("body" if c == text else place[c]).alias(c) for c in docs.columns])

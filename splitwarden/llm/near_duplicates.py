@@ -359,15 +359,18 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     classes = near_duplicates(docs, doc_id, text).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
     chosen = materialise(
         classes.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")), "chosen"
-    ).toDF("_kept_id", "_kept_digest", "_copies")
-    repeated = chosen.filter("_copies > 1 OR _kept_id IS NULL").isEmpty() is False
-    keyed = docs.withColumn("_digest", F.sha2(F.coalesce(docs[text].cast("string"), F.lit("")), 256))
-    kept = keyed.join(
+    ).toDF("kept_id", "kept_digest", "copies")
+    repeated = chosen.filter("copies > 1 OR kept_id IS NULL").isEmpty() is False
+    # The columns get numbers, so no name of the input can clash.
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*place.values()).withColumn(
+        "row_digest", F.sha2(F.coalesce(F.col(place[text]).cast("string"), F.lit("")), 256)
+    )
+    kept = rows.join(
         chosen,
-        docs[doc_id].eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest")),
+        F.col(place[doc_id]).eqNullSafe(F.col("kept_id")) & (F.col("row_digest") == F.col("kept_digest")),
         "left_semi",
     )
     if repeated:
-        once = ["_digest", "_id"]
-        kept = kept.withColumn("_id", docs[doc_id]).dropDuplicates(once)
-    return kept.select(*docs.columns)
+        kept = kept.dropDuplicates(["row_digest", place[doc_id]])
+    return kept.select(*[F.col(place[c]).alias(c) for c in docs.columns])

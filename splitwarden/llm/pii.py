@@ -381,17 +381,19 @@ def replace_pii(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     changes = named.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("_changes")
     )
-    changes = changes.toDF("_pii_id", "_pii_key", "_changes")
+    changes = changes.toDF("pii_id", "pii_key", "_changes")
     columns = [c for c in docs.columns if c != "pii_changes"]
-    shaped = docs.withColumn("_key", F.xxhash64(docs[text].cast("string"))).join(
-        changes,
-        docs[doc_id].cast("bigint").eqNullSafe(F.col("_pii_id")) & (F.col("_key") == F.col("_pii_key")),
-        "left",
-    ).select(
-        *[docs[c].alias(f"_k{i}") for i, c in enumerate(columns)],
-        docs[text].cast("string").alias("_text"),
-        "_changes",
+    # The columns get numbers, so no name of the input can clash.
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)],
+        F.xxhash64(body).alias("row_key"),
+        F.col(doc_id).cast("bigint").alias("row_id"),
+        body.alias("_text"),
     )
+    joined = rows.join(
+        changes, F.col("row_id").eqNullSafe(F.col("pii_id")) & (F.col("row_key") == F.col("pii_key")), "left"
+    )
+    shaped = joined.select(*[f"_k{i}" for i in range(len(columns))], "_text", "_changes")
     done = shaped.mapInArrow(_rewrite, shaped.schema)
     empty = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string,surrogate:string>>")
     return done.select(

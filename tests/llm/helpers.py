@@ -8,7 +8,14 @@ WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 # Columns whose names an operator might use for itself.
-CLASHING = "doc_id bigint, text string, lang string, n_words int, kept string, content int, _text int, _k0 int, _c0 int, start int, class_id string, digest int, line int"
+_INTERNAL = (
+    "content _text _k0 _c0 start digest line _digest _kept_id kept_id row_digest copies _gone gone gone_id _body body "
+    "_body_key _line_id row_key _cuts cuts _span_text span_id span_key _key _changes _pii_id pii_id row_id _id "
+    "fp component n least hash_a unit first _n _spans _items item term score block ids"
+).split()
+CLASHING = "doc_id bigint, text string, lang string, n_words int, kept string, class_id string, " + ", ".join(
+    f"{c} int" for c in _INTERNAL
+)
 
 
 def words(text):
@@ -17,7 +24,7 @@ def words(text):
 
 def table(spark, rows):
     """documents (doc_id, text) with further columns under clashing names."""
-    full = [(d, t, "en", 7, "x", None, 1, 2, 3, 4, None, 5, 6) for d, t in rows]
+    full = [(d, t, "en", 7, "x", None, *range(len(_INTERNAL))) for d, t in rows]
     return spark.createDataFrame(full, CLASHING)
 
 
