@@ -17,6 +17,10 @@ piece is cut, the sum of its lower half is grafted to all rows of its upper half
 halves melt, the grafts add up. A row gets every node below it exactly once, in the round in which
 the two are parted, so log2(depth) rounds give the totals of all subtrees, however deep they are.
 
+A piece shorter than half of the round's length has nothing to melt with yet, so it waits for the
+round of its own length: a turn takes part in as many rounds as its own conversation asks for, not
+in those of the deepest one. Rounds are stored by length, and a round reads only what is due.
+
 Rows are narrow (names and counts, no text), aggregates combine before the shuffle, and a piece of
 round k has at most 2**k rows, so a join by pieces has no hot key; longer pieces than one task
 should get are salted. Turns are numbered by a range sort, so one conversation may hold a third of
@@ -33,19 +37,20 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitwarden.operators.scale import TARGET_ROWS, attach, materialise, number_rows, release
+from splitwarden.operators.scale import TARGET_ROWS, attach, materialise, number_rows, release, scratch_path
 
 DONOR_STEP = 20  # conversations c - c % DONOR_STEP lend their first turns
 MOST_BORROWED = 4  # a conversation borrows crc32(c) % MOST_BORROWED turns
 PART_IDS = 10_000  # ids of one part of a node's list of ending members
 _PIECE = ["end_a", "end_b"]  # the prefix at a piece's end names the piece
-_ROW = [*_PIECE, "pos", "top_a", "top_b", "hash_a", "hash_b"]
+_ROW = [*_PIECE, "size", "pos", "top_a", "top_b", "hash_a", "hash_b"]
 _NODE = ["depth", "a", "b"]
 
 
@@ -105,12 +110,13 @@ def _hashes() -> list[Column]:
 
 
 def cut_pieces(rows: DataFrame, k: int, least: list[str], totals: list[str], graft: dict[str, str] | None = None) -> DataFrame:
-    """Cut pieces of 2**k turns into halves; equal upper halves become one.
+    """Cut pieces of up to 2**k turns into halves; equal upper halves become one.
 
     ``least`` and ``totals`` are columns that melt by minimum and sum; ``graft`` adds the sum of
     a column over a piece's lower half to another column of its upper half.
     """
     graft = graft or {}
+    half = 1 << (k - 1)
     lower = F.shiftright("pos", k - 1) % 2 == 1
     block = F.shiftright("pos", k).alias("block")
     rows = rows.select("*", block)
@@ -118,11 +124,11 @@ def cut_pieces(rows: DataFrame, k: int, least: list[str], totals: list[str], gra
     pieces = rows.groupBy(*key).agg(
         F.bit_xor(F.when(lower, 0).otherwise(F.col("hash_a"))).alias("half_a"),
         F.bit_xor(F.when(lower, 0).otherwise(F.col("hash_b"))).alias("half_b"),
-        F.count("*").alias("size"),
+        F.count("*").alias("owned"),
         *[F.sum(F.when(lower, F.col(c)).otherwise(0)).alias(f"below_{c}") for c in graft],
     )
     # A piece has at most 2**k rows; only longer ones than a task should get are salted.
-    cut = attach(rows, pieces, key, "size") if 1 << k > TARGET_ROWS else rows.join(pieces, key)
+    cut = attach(rows, pieces, key, "owned") if 1 << k > TARGET_ROWS else rows.join(pieces, key)
     cut_a, cut_b = F.col("top_a").bitwiseXOR(F.col("half_a")), F.col("top_b").bitwiseXOR(F.col("half_b"))
     grafted = {
         into: F.when(lower, F.col(into)).otherwise(F.col(into) + F.col(f"below_{c}")) for c, into in graft.items()
@@ -130,6 +136,7 @@ def cut_pieces(rows: DataFrame, k: int, least: list[str], totals: list[str], gra
     halves = cut.select(
         F.when(lower, F.col("end_a")).otherwise(cut_a).alias("end_a"),
         F.when(lower, F.col("end_b")).otherwise(cut_b).alias("end_b"),
+        F.when(lower, F.col("size") - half).otherwise(F.least("size", F.lit(half))).alias("size"),
         "pos",
         F.when(lower, cut_a).otherwise(F.col("top_a")).alias("top_a"),
         F.when(lower, cut_b).otherwise(F.col("top_b")).alias("top_b"),
@@ -147,15 +154,33 @@ def _melt(rows: DataFrame, least: list[str], totals: list[str]) -> DataFrame:
     )
 
 
-def _recurse(rows: DataFrame, rounds: int, *columns, keep: bool = False) -> DataFrame:
-    """All rounds of cutting; every round is stored, so none is done twice."""
-    current = rows
+def _by_length(rows: DataFrame, label: str) -> DataFrame:
+    """Store rows in one folder per length class: ``due`` = number of bits of the piece's length."""
+    spark = rows.sparkSession
+    path = scratch_path(spark, label)
+    due = F.length(F.bin("size")).cast("int")
+    rows = rows.withColumn("due", due)
+    rows.write.partitionBy("due").parquet(path)
+    stored = spark.read.schema(rows.schema).parquet(path)
+    stored.scratch_path = path
+    return stored
+
+
+def _recurse(rows: DataFrame, rounds: int, *columns) -> DataFrame:
+    """All rounds of cutting, each stored once.
+
+    Round k takes the pieces of 2**(k-1) to 2**k turns: those of the round before and those that
+    have waited, of earlier rounds.
+    """
+    stored = [rows]
     for k in range(rounds, 0, -1):
-        following = materialise(cut_pieces(current, k, *columns), f"pieces-{k - 1}")
-        if not (keep and current is rows):
-            release(current)
-        current = following
-    return current
+        half = 1 << (k - 1)
+        waiting = [t.filter((F.col("due") == k) & (F.col("size") < 2 * half)) for t in stored[:-1]]
+        recent = stored[-1].filter((F.col("due") >= k) & (F.col("size") >= half))
+        active = reduce(DataFrame.unionByName, [*waiting, recent]).drop("due")
+        stored.append(_by_length(cut_pieces(active, k, *columns), f"pieces-{k - 1}"))
+    release(*stored[1:-1])
+    return stored[-1].drop("due")
 
 
 def _parts(most: int):
@@ -233,13 +258,13 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     digests = ending_members(materialise(ends, "ends"))
 
     # Down: from distinct sequences to nodes.
-    sequences = attach(rows, names, "conv_id", "size", keep_size=False).select(
-        *_PIECE, "pos", zero.alias("top_a"), zero.alias("top_b"), "hash_a", "hash_b",
+    sequences = attach(rows, names, "conv_id", "size").select(
+        *_PIECE, "size", "pos", zero.alias("top_a"), zero.alias("top_b"), "hash_a", "hash_b",
         "conv_id", "words", F.lit(1).cast("bigint").alias("n_convs"),
     )
     # Equal turns have equally many words, so any minimum is theirs.
-    sequences = materialise(_melt(sequences, ["conv_id", "words"], ["n_convs"]), "sequences")
-    found = _recurse(sequences, rounds, ["conv_id", "words"], ["n_convs"], keep=True)
+    sequences = _by_length(_melt(sequences, ["conv_id", "words"], ["n_convs"]), "sequences")
+    found = _recurse(sequences, rounds, ["conv_id", "words"], ["n_convs"])
     nodes = found.select(
         (F.col("pos") + 1).alias("depth"), F.col("end_a").alias("a"), F.col("end_b").alias("b"),
         "top_a", "top_b", "conv_id", "n_convs", ((F.col("n_convs") - 1) * F.col("words")).alias("saved"),
@@ -259,7 +284,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         zero.alias("leaf_below"),
         zero.alias("saved_below"),
     )
-    start = materialise(start, "totals")
+    start = _by_length(start, "totals")
     totals = _recurse(start, rounds, [], numbers, {"leaf": "leaf_below", "saved": "saved_below"}).select(
         (F.col("pos") + 1).alias("depth"),
         F.col("end_a").alias("a"),
