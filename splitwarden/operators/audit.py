@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from splitwarden.functions import keys as K
@@ -121,17 +121,21 @@ def group_counts(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def decision_counts(pairs: DataFrame) -> DataFrame:
-    """Counters over the reviewed pairs, one row."""
+    """Counters of record pairs over the reviewed list of cell pairs, one row."""
     decision = K.normalise_decision(F.col("decision"))
+    cross = F.col("cross_class_candidate")
+
+    def total(condition: Column, name: str) -> Column:
+        counted = F.sum(F.when(condition, F.col("n_pairs")))
+        return F.coalesce(counted, F.lit(0)).cast("decimal(38,0)").alias(name)
+
     return pairs.agg(
-        F.count("*").alias("potential_near_duplicate_pairs"),
-        F.count_if(decision == "yes").alias("confirmed_near_duplicate_pairs"),
-        F.count_if(decision == "no").alias("rejected_near_duplicate_pairs"),
-        F.count_if(decision == "").alias("unresolved_near_duplicate_pairs"),
-        F.count_if("cross_class_candidate").alias("cross_class_near_duplicate_candidates"),
-        F.count_if((decision == "yes") & F.col("cross_class_candidate")).alias(
-            "confirmed_cross_class_near_pairs"
-        ),
+        total(F.lit(True), "potential_near_duplicate_pairs"),
+        total(decision == "yes", "confirmed_near_duplicate_pairs"),
+        total(decision == "no", "rejected_near_duplicate_pairs"),
+        total(decision == "", "unresolved_near_duplicate_pairs"),
+        total(cross, "cross_class_near_duplicate_candidates"),
+        total((decision == "yes") & cross, "confirmed_cross_class_near_pairs"),
     )
 
 
@@ -176,11 +180,11 @@ def per_class_counts(manifest: DataFrame, classes: DataFrame) -> DataFrame:
             F.array(
                 F.struct(
                     F.concat(F.lit("class_file_counts."), "class_name").alias("counter"),
-                    F.coalesce("image_count", F.lit(0)).alias("value"),
+                    F.coalesce("image_count", F.lit(0)).cast("decimal(38,0)").alias("value"),
                 ),
                 F.struct(
                     F.concat(F.lit("class_group_counts."), "class_name").alias("counter"),
-                    F.coalesce("group_count", F.lit(0)).alias("value"),
+                    F.coalesce("group_count", F.lit(0)).cast("decimal(38,0)").alias("value"),
                 ),
             )
         ).alias("c")
@@ -194,15 +198,15 @@ def audit_summary(
     manifest: DataFrame,
     classes: DataFrame,
 ) -> DataFrame:
-    """All audit counters as (counter, value).
+    """All audit counters as (counter, value); counts of pairs may pass 64 bits.
 
     ``exact`` is the one-row result of ``exact_summary`` and ``decisions`` that of
     ``decision_counts`` or ``auto_decision_counts``.
     """
 
     def upright(row: DataFrame) -> DataFrame:
-        longs = row.select(*[F.col(c).cast("bigint").alias(c) for c in row.columns])
-        return longs.select(
+        wide = row.select(*[F.col(c).cast("decimal(38,0)").alias(c) for c in row.columns])
+        return wide.select(
             F.explode(
                 F.array(
                     *[

@@ -29,7 +29,7 @@ def text_cells(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def text_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, dhash) for every document, including those without tokens."""
+    """(key, dhash) for every document; null for those without tokens, which resemble nothing."""
     cells = text_cells(docs, key, text)
     # A document has at most 72 cells, so the map of its counts stays small.
     counts = cells.groupBy(key).agg(
@@ -41,6 +41,4 @@ def text_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text") -
         F.expr(f"transform({every}, c -> coalesce(try_element_at(counts, c), 0L))").alias("grid"),
     )
     hashed = grid.select(key, G.dhash("grid", ROWS, COLS).alias("dhash"))
-    return docs.select(key).join(hashed, key, "left").select(
-        key, F.coalesce("dhash", F.lit(0).cast("bigint")).alias("dhash")
-    )
+    return docs.select(key).join(hashed, key, "left").select(key, "dhash")

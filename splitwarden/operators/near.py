@@ -8,8 +8,14 @@ agreeing blocks. The argument repeats at each level, so the search stays exact w
 buckets shrink. A pair is reported only in the first bucket on which its hashes agree,
 which makes a final ``distinct`` unnecessary.
 
-The search runs over distinct hashes. Copies of one content never meet each other: pairs
-are made between contents and only the report of record pairs expands them.
+At the last level a bucket that is still too full is cut into portions; every pair of portions
+(i <= j) is a join key of its own, so one bucket is many bounded tasks.
+
+The search runs over distinct hashes, and the review list over cells, a cell being all records
+of one content in one class. A row of the list stands for all record pairs of two cells, whose
+first records represent them; a membership table leads from every record to its cell. Rows grow
+with the contents, never with the square of their copies, and decisions hold for whole cells.
+Records without a hash are compared with nothing.
 """
 
 from __future__ import annotations
@@ -81,6 +87,33 @@ def _first_agreement(diff: Column, siblings: list[list[int]], table: Column) ->
     return ~F.exists(F.get(earlier, table), lambda m: diff.bitwiseAND(m) == 0)
 
 
+def _bucket_pairs(keyed: DataFrame, key: list[str], limit: int | None) -> DataFrame:
+    """All pairs (h1, h2, key) of the hashes of each bucket.
+
+    With a limit, a bucket with more members is cut into portions of about ``limit``; a task gets
+    one pair of portions, and two hashes of different portions meet only where both are.
+    """
+    if limit is not None:
+        full = keyed.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > limit)
+        full = materialise(full.select(*key, F.ceil(F.col("n") / limit).cast("int").alias("parts")), "full")
+        if not full.isEmpty():
+            parts = F.coalesce("parts", F.lit(1))
+            portion = F.pmod(F.xxhash64("dhash"), parts).cast("int")
+            both = F.struct(F.least("portion", "other").alias("i"), F.greatest("portion", "other").alias("j"))
+            keyed = (
+                keyed.join(bounded_broadcast(full), key, "left")
+                .select("dhash", *key, portion.alias("portion"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+                .select("dhash", *key, "portion", both.alias("ij"))
+            )
+            left = keyed.withColumnsRenamed({"dhash": "h1", "portion": "portion_1"})
+            right = keyed.withColumnsRenamed({"dhash": "h2", "portion": "portion_2"})
+            alone = (F.col("ij.i") == F.col("ij.j")) | (F.col("portion_1") != F.col("portion_2"))
+            return left.join(right, [*key, "ij"]).filter(alone).select("h1", "h2", *key)
+    left = keyed.select(F.col("dhash").alias("h1"), *key)
+    right = keyed.select(F.col("dhash").alias("h2"), *key)
+    return left.join(right, key)
+
+
 def near_hash_pairs(
     hashes: DataFrame,
     threshold: int,
@@ -95,7 +128,7 @@ def near_hash_pairs(
     """
     if threshold < 0:
         raise ValueError("threshold cannot be negative")
-    distinct = materialise(hashes.select("dhash").distinct(), "hashes")
+    distinct = materialise(hashes.filter("dhash IS NOT NULL").select("dhash").distinct(), "hashes")
     while max_levels > 1 and (threshold + 1) ** max_levels > MAX_MASKS:
         max_levels -= 1
     tree = mask_tree(threshold, max_levels, bits)
@@ -138,10 +171,8 @@ def near_hash_pairs(
                 members = flagged.filter("full").select(
                     "dhash", F.col("t").alias("m"), *path, F.col("t").alias(here)
                 )
-        left = keyed.select(F.col("dhash").alias("h1"), "t", "key", *path)
-        right = keyed.select(F.col("dhash").alias("h2"), "t", "key", *path)
         diff = F.col("h1").bitwiseXOR(F.col("h2"))
-        close = left.join(right, ["t", "key", *path]).filter(
+        close = _bucket_pairs(keyed, ["t", "key", *path], bucket_limit if last else None).filter(
             (F.col("h1") < F.col("h2")) & (F.bit_count(diff) <= threshold)
         )
         for name, above in [*ancestors, ("t", siblings)]:
@@ -153,66 +184,80 @@ def near_hash_pairs(
     return reduce(DataFrame.unionByName, found)
 
 
-def contents_of(records: DataFrame) -> DataFrame:
-    """Distinct (hash, content)."""
-    return records.select("dhash", "sha256").distinct()
+_CELL = ["sha256", "class_name"]
 
 
-def near_content_pairs(
-    records: DataFrame, threshold: int, hash_pairs: DataFrame | None = None, bits: int = HASH_BITS
-) -> DataFrame:
-    """Pairs of different contents (sha_a, sha_b, distance), each once."""
-    contents = materialise(contents_of(records), "contents")
-    if hash_pairs is None:
-        hash_pairs = near_hash_pairs(contents, threshold, bits=bits)
-    crowded = contents.groupBy("dhash").count().filter("count > 1").select("dhash")
-    same = crowded.select(
-        F.col("dhash").alias("h1"), F.col("dhash").alias("h2"), F.lit(0).alias("distance")
-    )
-    side_a = contents.select(F.col("dhash").alias("h1"), F.col("sha256").alias("sha_a"))
-    side_b = contents.select(F.col("dhash").alias("h2"), F.col("sha256").alias("sha_b"))
-    wanted = materialise(hash_pairs.unionByName(same), "hash-pairs")
-    both = expand(expand(wanted, side_a, "h1"), side_b, "h2")
-    return both.filter((F.col("h1") != F.col("h2")) | (F.col("sha_a") < F.col("sha_b"))).select(
-        "sha_a", "sha_b", "distance"
+def content_cells(records: DataFrame) -> DataFrame:
+    """One row per content and class: number of records and the first of them."""
+    return records.filter("dhash IS NOT NULL").groupBy("dhash", *_CELL).agg(
+        F.count("*").alias("n"),
+        F.min(F.struct("row_no", "relative_path", "path")).alias("first"),
     )
 
 
 def near_duplicates(
     records: DataFrame, threshold: int, hash_pairs: DataFrame | None = None, bits: int = HASH_BITS
 ) -> DataFrame:
-    """Record pairs i < j (scan order) with different content within ``threshold`` bits.
+    """The review list: pairs of cells with different content within ``threshold`` bits.
 
-    This is the review list, so it holds every pair; counting, gating and automatic
-    grouping use the compact forms below instead.
+    Each row names the first records of its cells, in scan order, and ``n_pairs``, the number of
+    record pairs it stands for.
     """
-    pairs = near_content_pairs(records, threshold, hash_pairs, bits)
-    fields = ["row_no", "relative_path", "class_name", "path"]
-    side_a = records.select(
-        F.col("sha256").alias("sha_a"), F.struct(*fields).alias("a")
-    )
-    side_b = records.select(
-        F.col("sha256").alias("sha_b"), F.struct(*fields).alias("b")
+    cells = materialise(content_cells(records), "cells")
+    if hash_pairs is None:
+        hash_pairs = near_hash_pairs(cells, threshold, bits=bits)
+    crowded = cells.groupBy("dhash").agg(F.count("*").alias("cells")).filter("cells > 1").select("dhash")
+    same = crowded.select(F.col("dhash").alias("h1"), F.col("dhash").alias("h2"), F.lit(0).alias("distance"))
+    wanted = materialise(hash_pairs.unionByName(same), "hash-pairs")
+    cell = F.struct("first.row_no", "first.relative_path", "first.path", *_CELL, "n")
+    side_a = cells.select(F.col("dhash").alias("h1"), cell.alias("a"))
+    side_b = cells.select(F.col("dhash").alias("h2"), cell.alias("b"))
+    met = expand(expand(wanted, side_a, "h1"), side_b, "h2").filter(
+        (F.col("a.sha256") != F.col("b.sha256"))
+        & ((F.col("h1") != F.col("h2")) | (F.col("a.row_no") < F.col("b.row_no")))
     )
-    rows = expand(expand(pairs, side_a, "sha_a"), side_b, "sha_b")
     first, second = F.least("a", "b"), F.greatest("a", "b")  # row_no leads the struct
-    return (
-        rows.select(first.alias("a"), second.alias("b"), "distance")
-        .select(
-            F.col("a.row_no").alias("row_1"),
-            F.col("a.relative_path").alias("relative_path_1"),
-            F.col("a.class_name").alias("class_1"),
-            F.col("a.path").alias("path_1"),
-            F.col("b.row_no").alias("row_2"),
-            F.col("b.relative_path").alias("relative_path_2"),
-            F.col("b.class_name").alias("class_2"),
-            F.col("b.path").alias("path_2"),
-            F.col("distance").alias("dhash_distance"),
-            (F.col("a.class_name") != F.col("b.class_name")).alias("cross_class_candidate"),
+    met = met.select(first.alias("a"), second.alias("b"), "distance")
+    sides = [
+        F.col(f"{side}.{field}").alias(f"{name}_{i}")
+        for i, side in ((1, "a"), (2, "b"))
+        for field, name in (
+            ("row_no", "row"), ("relative_path", "relative_path"), ("class_name", "class"),
+            ("path", "path"), ("sha256", "sha256"), ("n", "n"),
         )
+    ]
+    return met.select(
+        *sides,
+        F.col("distance").alias("dhash_distance"),
+        (F.col("a.class_name") != F.col("b.class_name")).alias("cross_class_candidate"),
+        _product(F.col("a.n"), F.col("b.n")).alias("n_pairs"),
     )
 
 
+def _product(a: Column, b: Column) -> Column:
+    """A product of counts; it may pass 64 bits."""
+    return (a.cast("decimal(19,0)") * b.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def near_members(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Every record of a listed cell with the record that represents it and its number of links.
+
+    ``n_links`` counts the records that the record forms near pairs with.
+    """
+    ends = pairs.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("sha256_1").alias("sha256"), F.col("class_1").alias("class_name"),
+                         F.col("relative_path_1").alias("representative"), F.col("n_1").alias("copies"), F.col("n_2").alias("others")),
+                F.struct(F.col("sha256_2").alias("sha256"), F.col("class_2").alias("class_name"),
+                         F.col("relative_path_2").alias("representative"), F.col("n_2").alias("copies"), F.col("n_1").alias("others")),
+            )
+        ).alias("end")
+    ).select("end.*")
+    facts = ends.groupBy(*_CELL, "representative", "copies").agg(F.sum("others").alias("n_links"))
+    return attach(records.select("row_no", "relative_path", *_CELL), facts, _CELL, "copies")
+
+
 def number_pairs(pairs: DataFrame) -> DataFrame:
     """``pair_id`` by distance, then first path, then second path."""
 
@@ -222,20 +267,32 @@ def number_pairs(pairs: DataFrame) -> DataFrame:
     return numbered.select(K.near_id(F.col("_pair")).alias("pair_id"), *pairs.columns)
 
 
-def apply_review(pairs: DataFrame, review: DataFrame) -> DataFrame:
-    """Carry earlier decisions and notes onto the pairs, by order-free path key."""
-    earlier = review.select(
-        K.pair_key(F.col("relative_path_1"), F.col("relative_path_2")).alias("_key"),
-        K.normalise_decision(F.col("decision")).alias("decision"),
-        F.coalesce("notes", F.lit("")).alias("notes"),
-    )
-    keyed = pairs.withColumn(
-        "_key", K.pair_key(F.col("relative_path_1"), F.col("relative_path_2"))
+def apply_review(pairs: DataFrame, review: DataFrame, records: DataFrame) -> DataFrame:
+    """Carry earlier decisions and notes onto the review list.
+
+    A decision on any two records holds for their cells; where decisions on one pair of cells
+    differ, yes goes before no and no before none, and among equal ones the least note stays.
+    """
+    side = records.select("relative_path", F.struct(*_CELL).alias("cell"))
+    found = (
+        review.join(side.toDF("relative_path_1", "cell_1"), "relative_path_1")
+        .join(side.toDF("relative_path_2", "cell_2"), "relative_path_2")
+        .select(
+            F.least("cell_1", "cell_2").alias("low"),
+            F.greatest("cell_1", "cell_2").alias("high"),
+            K.normalise_decision(F.col("decision")).alias("decision"),
+            F.coalesce("notes", F.lit("")).alias("notes"),
+        )
     )
-    return keyed.join(earlier, "_key", "left").select(
+    weight = F.when(F.col("decision") == "yes", 0).when(F.col("decision") == "no", 1).otherwise(2)
+    earlier = found.groupBy("low", "high").agg(F.min(F.struct(weight.alias("rank"), "notes", "decision")).alias("kept"))
+    cell_1 = F.struct(F.col("sha256_1").alias("sha256"), F.col("class_1").alias("class_name"))
+    cell_2 = F.struct(F.col("sha256_2").alias("sha256"), F.col("class_2").alias("class_name"))
+    keyed = pairs.withColumns({"low": F.least(cell_1, cell_2), "high": F.greatest(cell_1, cell_2)})
+    return keyed.join(earlier, ["low", "high"], "left").select(
         *pairs.columns,
-        F.coalesce("decision", F.lit("")).alias("decision"),
-        F.coalesce("notes", F.lit("")).alias("notes"),
+        F.coalesce("kept.decision", F.lit("")).alias("decision"),
+        F.coalesce("kept.notes", F.lit("")).alias("notes"),
     )
 
 
@@ -251,11 +308,28 @@ def auto_group(pairs: DataFrame, threshold: int) -> DataFrame:
     )
 
 
-def confirmed_edges(pairs: DataFrame) -> DataFrame:
-    """Links (src > dst) of confirmed pairs within one class."""
-    return pairs.filter("decision = 'yes' AND NOT cross_class_candidate").select(
-        F.col("row_2").alias("src"), F.col("row_1").alias("dst")
-    )
+def confirmed_edges(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Links (src > dst) of confirmed pairs within one class.
+
+    One link joins the first records of two cells, and a star joins each cell to its first
+    record: the same groups as all record pairs would give.
+    """
+    accepted = materialise(pairs.filter("decision = 'yes' AND NOT cross_class_candidate"), "accepted")
+    bridges = accepted.select(F.col("row_2").alias("src"), F.col("row_1").alias("dst"))
+    cells = accepted.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.col(f"sha256_{i}").alias("sha256"), F.col(f"class_{i}").alias("class_name"),
+                             F.col(f"row_{i}").alias("dst"), F.col(f"n_{i}").alias("n"))
+                    for i in (1, 2)
+                ]
+            )
+        ).alias("cell")
+    ).select("cell.*").filter("n > 1").distinct()
+    rows = records.select(*_CELL, F.col("row_no").alias("src"))
+    stars = attach(rows, cells, _CELL, "n").filter("src <> dst").select("src", "dst")
+    return bridges.unionByName(stars)
 
 
 def confirmed_by_path(review: DataFrame, records: DataFrame) -> DataFrame:
@@ -280,22 +354,25 @@ def near_pair_totals(
     same-class pairs.
     """
     cells = materialise(
-        records.groupBy("dhash", "class_index", "sha256").agg(F.count("*").alias("n")), "cells"
+        records.filter("dhash IS NOT NULL")
+        .groupBy("dhash", "class_index", "sha256")
+        .agg(F.count("*").alias("n")),
+        "cells",
     )
     if hash_pairs is None:
         hash_pairs = near_hash_pairs(cells, threshold, bits=bits)
     hash_pairs = materialise(hash_pairs, "hash-pairs")
-    n = F.col("n")
+    square = _product(F.col("n"), F.col("n"))
     per_class = cells.groupBy("dhash", "class_index").agg(
-        F.sum("n").alias("n"), F.sum(n * n).alias("same_content")
+        F.sum("n").alias("n"), F.sum(square).cast("decimal(38,0)").alias("same_content")
     )
     per_class = materialise(per_class, "per-class")
     per_content = cells.groupBy("dhash", "sha256").agg(F.sum("n").alias("n"))
     inside = per_content.groupBy("dhash").agg(
-        ((F.sum("n") * F.sum("n") - F.sum(n * n)) / 2).cast("bigint").alias("pairs")
+        ((_product(F.sum("n"), F.sum("n")) - F.sum(square)) / 2).cast("decimal(38,0)").alias("pairs")
     )
     inside_same = per_class.groupBy("dhash").agg(
-        F.sum((n * n - F.col("same_content")) / 2).cast("bigint").alias("same_class")
+        F.sum((square - F.col("same_content")) / 2).cast("decimal(38,0)").alias("same_class")
     )
     within = inside.join(inside_same, "dhash").agg(
         F.lit(0).alias("dhash_distance"),
@@ -307,13 +384,13 @@ def near_pair_totals(
     two = per_hash.select(F.col("dhash").alias("h2"), F.col("n").alias("n2"))
     between_all = (
         hash_pairs.join(one, "h1").join(two, "h2").groupBy("distance")
-        .agg(F.sum(F.col("n1") * F.col("n2")).alias("pairs"))
+        .agg(F.sum(_product(F.col("n1"), F.col("n2"))).alias("pairs"))
     )
     one = per_class.select(F.col("dhash").alias("h1"), "class_index", F.col("n").alias("n1"))
     two = per_class.select(F.col("dhash").alias("h2"), "class_index", F.col("n").alias("n2"))
     between_same = (
         hash_pairs.join(one, "h1").join(two, ["h2", "class_index"]).groupBy("distance")
-        .agg(F.sum(F.col("n1") * F.col("n2")).alias("same_class"))
+        .agg(F.sum(_product(F.col("n1"), F.col("n2"))).alias("same_class"))
     )
     between = between_all.join(between_same, "distance", "left").select(
         F.col("distance").alias("dhash_distance"),
@@ -322,8 +399,8 @@ def near_pair_totals(
     )
     return within.unionByName(between).filter("pairs > 0").select(
         "dhash_distance",
-        "pairs",
-        (F.col("pairs") - F.col("same_class")).alias("cross_class_pairs"),
+        F.col("pairs").cast("decimal(38,0)").alias("pairs"),
+        (F.col("pairs") - F.col("same_class")).cast("decimal(38,0)").alias("cross_class_pairs"),
     )
 
 
@@ -339,7 +416,7 @@ def auto_edges(
     rejects a pair; with rejections use ``confirmed_edges`` on the reviewed pairs.
     """
     nodes = materialise(
-        records.groupBy("class_index", "dhash").agg(
+        records.filter("dhash IS NOT NULL").groupBy("class_index", "dhash").agg(
             F.count("*").alias("n"),
             F.min("row_no").alias("hub"),
             F.min("sha256").alias("_low"),

@@ -33,8 +33,8 @@ def run_audit(
     """Audit numbered records.
 
     Without a review and with ``auto``, near duplicates are grouped and counted from the
-    distinct hashes alone and no pair of records is ever listed. With a review the pairs
-    are listed, because decisions are made on pairs.
+    distinct hashes alone and no pair is listed. With a review, pairs of contents are listed,
+    because decisions are made on them.
     """
     records = materialise(records, "records")
     readable = records.filter("readable")
@@ -48,13 +48,13 @@ def run_audit(
     else:
         pairs = materialise(NE.near_duplicates(readable, threshold, bits=bits), "pairs")
         if review is not None:
-            pairs = NE.apply_review(pairs, review)
+            pairs = NE.apply_review(pairs, review, readable)
         else:
             pairs = pairs.selectExpr("*", "'' AS decision", "'' AS notes")
         if auto:
             pairs = NE.auto_group(pairs, threshold)
         pairs = materialise(pairs, "reviewed")
-        near_links = NE.confirmed_edges(pairs)
+        near_links = NE.confirmed_edges(pairs, readable)
         counts = A.decision_counts(pairs)
     manifest = materialise(A.group_manifest(readable, exact_links, near_links), "manifest")
     summary = A.audit_summary(

@@ -175,7 +175,7 @@ def exact_summary(spark, sf):
     f"""WITH {X.PAIRS_SQL} SELECT
   printf('NEAR_%05d', row_number() OVER (ORDER BY dhash_distance, relative_path_1, relative_path_2)) AS pair_id,
   relative_path_1, class_1, relative_path_2, class_2, CAST(dhash_distance AS INTEGER) AS dhash_distance,
-  cross_class_candidate FROM pairs""",
+  cross_class_candidate, n_pairs FROM pairs WHERE listed""",
 )
 def near(spark, sf):
     numbered = NE.number_pairs(NE.near_duplicates(X.records(spark, sf), T))
@@ -187,9 +187,24 @@ def near(spark, sf):
         "class_2",
         "dhash_distance",
         "cross_class_candidate",
+        "n_pairs",
     )
 
 
+@query(
+    "near_duplicate_members",
+    f"""WITH {X.PAIRS_SQL}, linked AS (
+  SELECT row_1 AS row_no, count(*) AS n FROM (SELECT row_1 FROM pairs UNION ALL SELECT row_2 FROM pairs) GROUP BY 1)
+SELECT rec.relative_path, r.relative_path AS representative, cell.n AS copies, CAST(linked.n AS BIGINT) AS n_links
+FROM rec JOIN linked USING (row_no) JOIN cell ON cell.sha256 = rec.sha256 AND cell.class_name = rec.class_name
+JOIN rec r ON r.row_no = cell.row_no""",
+)
+def near_members(spark, sf):
+    """From every record with a near duplicate to the record that stands for it in the list."""
+    members = NE.near_members(X.records(spark, sf), X.near_pairs(spark, sf))
+    return members.select("relative_path", "representative", "copies", "n_links")
+
+
 @query(
     "near_hash_pairs",
     f"""WITH {EMBEDDING_BITS_SQL}, d AS (SELECT DISTINCT h FROM eh)
@@ -209,7 +224,8 @@ def near_hashes(spark, sf):
 @query(
     "near_pair_totals",
     f"""WITH {X.PAIRS_SQL} SELECT CAST(dhash_distance AS INTEGER) AS dhash_distance,
-  count(*) AS pairs, count(*) FILTER (cross_class_candidate) AS cross_class_pairs
+  CAST(count(*) AS DECIMAL(38, 0)) AS pairs,
+  CAST(count(*) FILTER (cross_class_candidate) AS DECIMAL(38, 0)) AS cross_class_pairs
 FROM pairs GROUP BY 1""",
 )
 def near_totals(spark, sf):
@@ -219,7 +235,8 @@ def near_totals(spark, sf):
 @query(
     "review_read",
     f"""WITH {X.PAIRS_SQL} SELECT least(relative_path_1, relative_path_2) AS relative_path_1,
-  greatest(relative_path_1, relative_path_2) AS relative_path_2, decision, '' AS notes FROM reviewed""",
+  greatest(relative_path_1, relative_path_2) AS relative_path_2, decision, '' AS notes
+FROM reviewed WHERE listed""",
 )
 def review_read(spark, sf):
     return TB.read_review(X.review_rows(spark, sf))
@@ -227,11 +244,12 @@ def review_read(spark, sf):
 
 @query(
     "apply_review",
-    f"WITH {X.PAIRS_SQL} SELECT relative_path_1, relative_path_2, decision, '' AS notes FROM reviewed",
+    f"""WITH {X.PAIRS_SQL} SELECT relative_path_1, relative_path_2, decision, '' AS notes, n_pairs
+FROM reviewed WHERE listed""",
 )
 def apply_review(spark, sf):
     return X.reviewed_pairs(spark, sf).select(
-        "relative_path_1", "relative_path_2", "decision", "notes"
+        "relative_path_1", "relative_path_2", "decision", "notes", "n_pairs"
     )
 
 
@@ -242,7 +260,7 @@ AUTO = "CASE WHEN decision = '' AND NOT cross_class_candidate THEN"
     "auto_group",
     f"""WITH {X.PAIRS_SQL} SELECT relative_path_1, relative_path_2,
   {AUTO} 'yes' ELSE decision END AS decision,
-  {AUTO} '{NE.AUTO_NOTE.format(threshold=T)}' ELSE '' END AS notes FROM reviewed""",
+  {AUTO} '{NE.AUTO_NOTE.format(threshold=T)}' ELSE '' END AS notes FROM reviewed WHERE listed""",
 )
 def auto_group(spark, sf):
     return NE.auto_group(X.reviewed_pairs(spark, sf), T).select(
@@ -254,7 +272,7 @@ def auto_group(spark, sf):
     "confirmed_edges",
     f"""WITH {X.PAIRS_SQL} SELECT least(relative_path_1, relative_path_2) AS relative_path_1,
   greatest(relative_path_1, relative_path_2) AS relative_path_2, cross_class_candidate
-FROM reviewed WHERE decision = 'yes'""",
+FROM reviewed WHERE decision = 'yes' AND listed""",
 )
 def confirmed(spark, sf):
     review = TB.read_review(X.review_rows(spark, sf))
@@ -282,7 +300,7 @@ def chain(links: str) -> str:
 )
 def components(spark, sf):
     recs = X.records(spark, sf)
-    links = EX.exact_edges(recs).union(NE.confirmed_edges(X.reviewed_pairs(spark, sf)))
+    links = EX.exact_edges(recs).union(NE.confirmed_edges(X.reviewed_pairs(spark, sf), recs))
     return CC.duplicate_components(recs.select("row_no"), links)
 
 
@@ -320,7 +338,7 @@ def manifest(spark, sf):
     def build():
         recs = X.records(spark, sf)
         return A.group_manifest(
-            recs, EX.exact_edges(recs), NE.confirmed_edges(X.reviewed_pairs(spark, sf))
+            recs, EX.exact_edges(recs), NE.confirmed_edges(X.reviewed_pairs(spark, sf), recs)
         )
 
     return X.remembered(spark, sf, "manifest", build)
@@ -380,7 +398,7 @@ def summary(spark, sf):
     "audit_summary",
     f"""WITH RECURSIVE {chain(NEAR_LINKS_SQL)}, {MANIFEST_SQL}, {XG_SQL},
 rv AS (SELECT * FROM reviewed), {SUMMARY_SQL}
-SELECT counter, CAST(value AS BIGINT) AS value FROM sm""",
+SELECT counter, CAST(value AS DECIMAL(38, 0)) AS value FROM sm""",
 )
 def audit_summary(spark, sf):
     return summary(spark, sf)
@@ -391,7 +409,7 @@ def audit_summary(spark, sf):
     f"""WITH RECURSIVE {chain(NEAR_LINKS_SQL)}, {MANIFEST_SQL}, {XG_SQL},
 rv AS (SELECT * FROM reviewed), {SUMMARY_SQL},
 why(counter, reason) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in A.BLOCKERS.items())})
-SELECT counter, CAST(value AS BIGINT) AS value, reason FROM sm JOIN why USING (counter) WHERE value > 0""",
+SELECT counter, CAST(value AS DECIMAL(38, 0)) AS value, reason FROM sm JOIN why USING (counter) WHERE value > 0""",
 )
 def audit_gate(spark, sf):
     return A.audit_gate(summary(spark, sf))
@@ -401,7 +419,7 @@ def audit_gate(spark, sf):
     "auto_audit_summary",
     f"""WITH RECURSIVE {chain(AUTO_LINKS_SQL)}, {MANIFEST_SQL}, {XG_SQL},
 rv AS (SELECT *, CASE WHEN cross_class_candidate THEN '' ELSE 'yes' END AS decision FROM pairs),
-{SUMMARY_SQL} SELECT counter, CAST(value AS BIGINT) AS value FROM sm""",
+{SUMMARY_SQL} SELECT counter, CAST(value AS DECIMAL(38, 0)) AS value FROM sm""",
 )
 def auto_audit(spark, sf):
     return run_audit(X.records(spark, sf), X.classes(spark), T).summary

@@ -290,7 +290,8 @@ bits AS (
   WHERE a.cell % 9 < 8),
 fp AS (
   SELECT doc_id,
-    CAST(sum(CASE WHEN lit THEN CAST(pow(2, 63 - bit) AS UBIGINT) ELSE 0 END) AS UBIGINT) AS h
+    CASE WHEN doc_id IN (SELECT doc_id FROM toks) THEN
+      CAST(sum(CASE WHEN lit THEN CAST(pow(2, 63 - bit) AS UBIGINT) ELSE 0 END) AS UBIGINT) END AS h
   FROM bits GROUP BY doc_id)
 """
 
@@ -309,16 +310,24 @@ rec AS (
 
 THRESHOLD = 4
 
+# All record pairs; ``listed`` marks the one that stands for its two contents and classes, and
+# all of them share its decision.
 PAIRS_SQL = (
     RECORDS_SQL
     + f""",
+cell AS (
+  SELECT sha256, class_name, min(row_no) AS row_no, arg_min(doc_id, row_no) AS doc_id, count(*) AS n
+  FROM rec GROUP BY ALL),
 pairs AS (
-  SELECT a.row_no AS row_1, b.row_no AS row_2, a.doc_id AS doc_1, b.doc_id AS doc_2,
+  SELECT a.row_no AS row_1, b.row_no AS row_2, ca.doc_id AS doc_1, cb.doc_id AS doc_2,
+    a.row_no = ca.row_no AND b.row_no = cb.row_no AS listed, CAST(ca.n * cb.n AS DECIMAL(38, 0)) AS n_pairs,
     a.relative_path AS relative_path_1, b.relative_path AS relative_path_2,
     a.class_name AS class_1, b.class_name AS class_2,
     bit_count(xor(a.h, b.h)) AS dhash_distance,
     a.class_name <> b.class_name AS cross_class_candidate
   FROM rec a JOIN rec b ON a.row_no < b.row_no AND a.sha256 <> b.sha256
+  JOIN cell ca ON ca.sha256 = a.sha256 AND ca.class_name = a.class_name
+  JOIN cell cb ON cb.sha256 = b.sha256 AND cb.class_name = b.class_name
   WHERE bit_count(xor(a.h, b.h)) <= {THRESHOLD}),
 reviewed AS (
   SELECT *, CASE (doc_1 + doc_2) % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '' END AS decision
@@ -354,7 +363,7 @@ def near_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A reviewer's table over the near pairs, with untidy spellings and paths swapped."""
+    """A reviewer's table over the review list, with untidy spellings and paths swapped."""
     ids = records(spark, sf).select("row_no", "doc_id")
     pairs = (
         near_pairs(spark, sf)
@@ -375,7 +384,8 @@ def reviewed_pairs(spark: SparkSession, sf: str) -> DataFrame:
     from splitwarden.operators.near import apply_review
     from splitwarden.sources.tables import read_review
 
-    return apply_review(near_pairs(spark, sf), read_review(review_rows(spark, sf)))
+    review = read_review(review_rows(spark, sf))
+    return apply_review(near_pairs(spark, sf), review, records(spark, sf))
 
 
 # --- single-class groups from orders -------------------------------------------------------

@@ -105,10 +105,21 @@ def test_pairs_totals_and_groups_equal_brute_force(spark, monkeypatch, seed, flo
     df = make_records(spark, random_rows(seed)).cache()
     recs = sorted((r.asDict() for r in df.collect()), key=lambda r: r["row_no"])
     want = reference_pairs(recs, 4)
-    got = NE.near_duplicates(df, 4).select(
-        "row_1", "row_2", "dhash_distance", "cross_class_candidate"
-    )
-    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    listed = NE.near_duplicates(df, 4).cache()
+    cells = {}
+    for r in recs:
+        cells.setdefault((r["sha256"], r["class_name"]), []).append(r["row_no"])
+    got = []
+    for r in listed.collect():
+        one, two = cells[r["sha256_1"], r["class_1"]], cells[r["sha256_2"], r["class_2"]]
+        assert (r["row_1"], r["row_2"]) == (one[0], two[0]) and r["n_pairs"] == len(one) * len(two)
+        pairs = [(min(x, y), max(x, y)) for x in one for y in two]
+        got += [(*p, r["dhash_distance"], r["cross_class_candidate"]) for p in pairs]
+    assert sorted(got) == sorted(want)
+    links = {}
+    for x, y, *_ in want:
+        links[x], links[y] = links.get(x, 0) + 1, links.get(y, 0) + 1
+    assert {r["row_no"]: r["n_links"] for r in NE.near_members(df, listed).collect()} == links
     totals = {r[0]: (r[1], r[2]) for r in NE.near_pair_totals(df, 4).collect()}
     for d in range(5):
         here = [p for p in want if p[2] == d]
@@ -120,6 +131,59 @@ def test_pairs_totals_and_groups_equal_brute_force(spark, monkeypatch, seed, flo
     assert {r["row_no"]: r["component"] for r in found} == label
 
 
+def test_one_full_bucket_is_many_tasks(spark, monkeypatch):
+    """All hashes agree on the first blocks, so every level keeps them together."""
+    rnd = random.Random(6)
+    values = sorted({rnd.getrandbits(12) << 20 for _ in range(600)})
+    hashes = spark.createDataFrame([(v,) for v in values], "dhash bigint")
+    want = sorted(
+        (a, b, (a ^ b).bit_count()) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 2
+    )
+    for limit, levels in ((50, 1), (7, 2), (10**6, 1)):
+        found = NE.near_hash_pairs(hashes, 2, bucket_limit=limit, max_levels=levels)
+        assert sorted(map(tuple, found.collect())) == want
+    keyed = hashes.selectExpr("dhash", "0 AS t")
+    parts = NE._bucket_pairs(keyed, ["t"], 50)
+    assert parts.count() == len(values) ** 2
+
+
+def test_decisions_hold_for_all_copies(spark):
+    # Contents 0 and 1 are near; each has copies, one decision names two of the copies.
+    df = make_records(spark, [(0, "a", "s", 1), (0, "b", "s", 1), (0, "c", "t", 3), (0, "d", "t", 3), (0, "e", "u", (1 << 40) - 1)])
+    schema = "relative_path_1 string, relative_path_2 string, decision string, notes string"
+    pairs = NE.near_duplicates(df, 4)
+    for rows, expected in (
+        ([("c0/d", "c0/b", "yes", "seen")], ("yes", "seen")),
+        ([("c0/d", "c0/b", "no", ""), ("c0/a", "c0/c", "Y", "again")], ("yes", "again")),
+        ([("c0/d", "c0/b", "n", "x"), ("c0/a", "c0/zz", "yes", "")], ("no", "x")),
+        ([], ("", "")),
+    ):
+        review = spark.createDataFrame(rows, schema)
+        found = NE.apply_review(pairs, review, df)
+        assert [(r["decision"], r["notes"]) for r in found.collect()] == [expected]
+        label = CC.duplicate_components(df.select("row_no"), NE.confirmed_edges(found, df)).collect()
+        groups = {r["component"] for r in label if r["row_no"] != 5}
+        assert len(groups) == (1 if expected[0] == "yes" else 4)
+
+
+def test_the_list_grows_with_contents_not_with_copies(spark):
+    rows = [(0, f"{i:04d}", f"s{i % 3}", [1, 3, 7][i % 3]) for i in range(900)]
+    df = make_records(spark, rows)
+    listed = NE.near_duplicates(df, 4).collect()
+    assert len(listed) == 3 and sum(r["n_pairs"] for r in listed) == 3 * 300 * 300
+
+
+def test_records_without_a_hash_resemble_nothing(spark):
+    df = make_records(spark, [(0, "a", "s", 1), (0, "b", "t", 1)]).withColumn("dhash", F.lit(None).cast("bigint"))
+    assert NE.near_duplicates(df, 4).count() == 0 and NE.near_pair_totals(df, 4).count() == 0
+    assert NE.auto_edges(df, 4).count() == 0
+
+
+def test_counts_of_pairs_may_pass_64_bits(spark):
+    counted = spark.sql("SELECT 4000000000 AS a, 4000000000 AS b")
+    assert counted.select(NE._product(F.col("a"), F.col("b")).alias("n")).first()["n"] == 16 * 10**18
+
+
 def test_long_chain_settles(spark):
     n = 200
     edges = spark.createDataFrame([(i + 1, i) for i in range(1, n)], "src bigint, dst bigint")
