@@ -7,12 +7,13 @@ Manifest rows carry ``class_name``, ``class_index``, ``group_id`` and a row id s
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from splitwarden.operators.quotas import split_quotas
+from splitwarden.operators.quotas import solve_quotas
 from splitwarden.operators.scale import attach, bounded_broadcast, materialise, number_rows
 
 # Default shares and seed.
@@ -78,24 +79,70 @@ def ranked_groups(groups: DataFrame, seed: int) -> DataFrame:
     ).drop("_order")
 
 
+_QUOTAS = (
+    "class_index int, test bigint, validation bigint, error bigint, proven boolean, "
+    "quotas array<struct<group_size:bigint,to_test:bigint,to_validation:bigint>>"
+)
+
+
+def _solve_classes(ratios: Sequence[float]):
+    """One row per class: targets, error, proof and the groups of each size for both parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for class_index, sizes in zip(batch.column("class_index").to_pylist(), batch.column("sizes").to_pylist()):
+                histogram = {s["group_size"]: s["count"] for s in sizes}
+                total = sum(size * count for size, count in histogram.items())
+                test, validation = round(total * ratios[2]), round(total * ratios[1])
+                quota, proven = solve_quotas(histogram, test, validation)
+                reached = [sum(size * q[i] for size, q in quota.items()) for i in (0, 1)]
+                error = abs(reached[0] - test) + abs(reached[1] - validation)
+                dealt = [{"group_size": s, "to_test": a, "to_validation": b} for s, (a, b) in quota.items()]
+                rows.append((class_index, test, validation, error, proven, dealt))
+            struct = pa.struct([("group_size", pa.int64()), ("to_test", pa.int64()), ("to_validation", pa.int64())])
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(struct)]
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
+            names = ["class_index", "test", "validation", "error", "proven", "quotas"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def _solved(groups: DataFrame, ratios: Sequence[float]) -> tuple[DataFrame, DataFrame]:
+    """(quotas per class and size, plan per class). Classes are solved in tasks of their own.
+
+    A class has at most about sqrt(2 * rows) different sizes, so its histogram fits one row.
+    """
+    sizes = groups.groupBy("class_index", "group_size").count()
+    histograms = sizes.groupBy("class_index").agg(
+        F.sort_array(F.collect_list(F.struct("group_size", "count"))).alias("sizes")
+    )
+    # Rebalancing by AQE must not put all classes into one task.
+    spread_out = histograms.repartition(max(1, groups.sparkSession.sparkContext.defaultParallelism), "class_index")
+    plan = materialise(spread_out.mapInArrow(_solve_classes(ratios), _QUOTAS), "quotas")
+    quotas = plan.select("class_index", F.explode("quotas").alias("q")).select("class_index", "q.*")
+    return quotas, plan.drop("quotas")
+
+
+def split_plan(manifest: DataFrame, ratios: Sequence[float] | None = None) -> DataFrame:
+    """Per class: targets, the sum of both errors, and whether no other deal comes closer."""
+    ratios = tuple(ratios or default_ratios())
+    check_ratios(ratios)
+    base = manifest.drop("group_size") if "group_size" in manifest.columns else manifest
+    return _solved(group_sizes(base), ratios)[1]
+
+
 def group_split(
     manifest: DataFrame, ratios: Sequence[float] | None = None, seed: int = SEED
 ) -> DataFrame:
-    """Add ``group_size`` and ``split``; every group lands in one part, targets are exact when reachable."""
+    """Add ``group_size`` and ``split``; every group lands in one part, as close to the targets as
+    whole groups allow. ``split_plan`` tells the errors and whether they are proven."""
     ratios = tuple(ratios or default_ratios())
     check_ratios(ratios)
-    spark = manifest.sparkSession
     base = manifest.drop("group_size") if "group_size" in manifest.columns else manifest
     groups = materialise(group_sizes(base), "groups")
-    quotas = []
-    for class_index, histogram in size_histogram(groups).items():
-        total = sum(size * count for size, count in histogram.items())
-        test, validation = round(total * ratios[2]), round(total * ratios[1])
-        for size, (to_test, to_val) in split_quotas(histogram, test, validation).items():
-            quotas.append((class_index, size, to_test, to_val))
-    quota_table = spark.createDataFrame(
-        quotas, "class_index int, group_size bigint, to_test bigint, to_validation bigint"
-    )
+    quota_table, _ = _solved(groups, ratios)
     placed = (
         ranked_groups(groups, seed)
         .join(bounded_broadcast(quota_table), ["class_index", "group_size"], "left")

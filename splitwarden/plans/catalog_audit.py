@@ -491,6 +491,15 @@ def group_split(spark, sf):
     return SP.split_summary(SP.group_split(X.order_groups(spark, sf))).drop("group_count")
 
 
+@query(
+    "split_plan",
+    f"""WITH {X.ORDER_GROUPS_SQL}, {TARGETS_SQL} SELECT CAST(class_index AS INTEGER) AS class_index, test, validation,
+  CAST(0 AS BIGINT) AS error, true AS proven FROM tg""",
+)
+def split_plan(spark, sf):
+    return SP.split_plan(X.order_groups(spark, sf))
+
+
 @query(
     "group_split_documents",
     f"""WITH RECURSIVE {chain(NEAR_LINKS_SQL)}, {MANIFEST_SQL},

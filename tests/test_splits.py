@@ -43,7 +43,7 @@ def test_quotas_are_as_good_as_search():
             want = reachable_error(sizes, test, val)
         except ValueError:
             continue
-        quota = Q.split_quotas(histogram, test, val)
+        quota, _ = Q.solve_quotas(histogram, test, val)
         t = sum(s * a for s, (a, _) in quota.items())
         v = sum(s * b for s, (_, b) in quota.items())
         assert all(a + b <= histogram[s] for s, (a, b) in quota.items())
@@ -56,7 +56,7 @@ def test_quotas_of_a_huge_class_are_exact():
     histogram = {1: 900_000_000, 2: 3_000_000, 7: 100_000, 300_000_000: 1}
     total = sum(s * n for s, n in histogram.items())
     test, val = round(total * 0.2), round(total * 0.1)
-    quota = Q.split_quotas(histogram, test, val)
+    quota, _ = Q.solve_quotas(histogram, test, val)
     assert sum(s * a for s, (a, _) in quota.items()) == test
     assert sum(s * b for s, (_, b) in quota.items()) == val
 
@@ -69,7 +69,7 @@ def test_quotas_of_large_skewed_classes():
     ):
         total = sum(s * n for s, n in histogram.items())
         test, val = round(total * 0.2), round(total * 0.1)
-        quota = Q.split_quotas(histogram, test, val)
+        quota, _ = Q.solve_quotas(histogram, test, val)
         assert all(a + b <= histogram[s] for s, (a, b) in quota.items())
         t = sum(s * a for s, (a, _) in quota.items())
         v = sum(s * b for s, (_, b) in quota.items())
@@ -212,6 +212,33 @@ def test_quotas_of_many_sizes_are_exact():
     assert proven and score_of(quota, round(total * 0.2), round(total * 0.1))[0] == 0
 
 
+def test_quotas_of_two_large_sizes_are_proven():
+    histogram = {1000: 50, 999: 43}
+    test, val = round(92_957 * 0.2), round(92_957 * 0.1)
+    quota, proven = Q.solve_quotas(histogram, test, val)
+    want = min(
+        abs(1000 * a + 999 * c - test) + abs(1000 * b + 999 * d - val)
+        for a in range(51) for b in range(51 - a) for c in range(44) for d in range(44 - c) if a + c and b + d
+    )
+    assert proven and want == 686 == score_of(quota, test, val)[0]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_remainders_are_settled_from_the_middle(seed):
+    rnd = random.Random(seed)
+    for histogram in (
+        {rnd.randrange(1, 10**5): rnd.randrange(300, 1000) for _ in range(12)},
+        {s: 3 for s in range(100 + seed, 160)},
+    ):
+        total = sum(size * n for size, n in histogram.items())
+        test, val = round(total * 0.2), round(total * 0.1)
+        start = time.perf_counter()
+        quota, proven = Q.solve_quotas(histogram, test, val)
+        assert proven and score_of(quota, test, val)[0] == 0
+        assert all(0 <= a and 0 <= b and a + b <= histogram[s] for s, (a, b) in quota.items())
+        assert time.perf_counter() - start < 5
+
+
 def test_hot_keys_are_split_by_target_size(spark, monkeypatch):
     monkeypatch.setattr(scale, "TARGET_ROWS", 200)
     # One key with 30 % of the rows, a thousand just below 0.1 %.
