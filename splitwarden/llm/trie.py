@@ -19,11 +19,11 @@ the two are parted, so log2(depth) rounds give the totals of all subtrees, howev
 
 A piece shorter than half of the round's length has nothing to melt with yet, so it waits for the
 round of its own length: a turn takes part in as many rounds as its own conversation asks for, not
-in those of the deepest one. Rounds are stored by length, and a round reads only what is due.
+in those of the deepest one.
 
 Rows are narrow (names and counts, no text), aggregates combine before the shuffle, and a piece of
-round k has at most 2**k rows, so a join by pieces has no hot key; longer pieces than one task
-should get are salted. Turns are numbered by a range sort, so one conversation may hold a third of
+round k has at most 2**k rows, so sums over pieces have no hot key; pieces longer than one task
+should get are summed by partial aggregates and joined with salts. Turns are numbered by a range sort, so one conversation may hold a third of
 all turns. A node's list of ending members is made in parts by a range sort as well, and only the
 finished parts, some thousand ids each, are hashed one after the other.
 
@@ -41,10 +41,10 @@ from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from splitwarden.operators.scale import TARGET_ROWS, attach, materialise, number_rows, release, scratch_path
+from splitwarden.operators.scale import TARGET_ROWS, attach, materialise, number_rows, release
 
 DONOR_STEP = 20  # conversations c - c % DONOR_STEP lend their first turns
 MOST_BORROWED = 4  # a conversation borrows crc32(c) % MOST_BORROWED turns
@@ -121,14 +121,19 @@ def cut_pieces(rows: DataFrame, k: int, least: list[str], totals: list[str], gra
     block = F.shiftright("pos", k).alias("block")
     rows = rows.select("*", block)
     key = [*_PIECE, "block"]
-    pieces = rows.groupBy(*key).agg(
-        F.bit_xor(F.when(lower, 0).otherwise(F.col("hash_a"))).alias("half_a"),
-        F.bit_xor(F.when(lower, 0).otherwise(F.col("hash_b"))).alias("half_b"),
-        F.count("*").alias("owned"),
-        *[F.sum(F.when(lower, F.col(c)).otherwise(0)).alias(f"below_{c}") for c in graft],
-    )
-    # A piece has at most 2**k rows; only longer ones than a task should get are salted.
-    cut = attach(rows, pieces, key, "owned") if 1 << k > TARGET_ROWS else rows.join(pieces, key)
+    sums = {
+        "half_a": F.bit_xor(F.when(lower, 0).otherwise(F.col("hash_a"))),
+        "half_b": F.bit_xor(F.when(lower, 0).otherwise(F.col("hash_b"))),
+        **{f"below_{c}": F.sum(F.when(lower, F.col(c)).otherwise(0)) for c in graft},
+    }
+    if half < TARGET_ROWS:
+        # A piece has at most 2**k rows, so a window over a piece is bounded.
+        piece = Window.partitionBy(*key)
+        cut = rows.withColumns({name: total.over(piece) for name, total in sums.items()})
+    else:
+        owned = F.count("*").alias("owned")
+        pieces = rows.groupBy(*key).agg(owned, *[total.alias(name) for name, total in sums.items()])
+        cut = attach(rows, pieces, key, "owned")
     cut_a, cut_b = F.col("top_a").bitwiseXOR(F.col("half_a")), F.col("top_b").bitwiseXOR(F.col("half_b"))
     grafted = {
         into: F.when(lower, F.col(into)).otherwise(F.col(into) + F.col(f"below_{c}")) for c, into in graft.items()
@@ -154,18 +159,6 @@ def _melt(rows: DataFrame, least: list[str], totals: list[str]) -> DataFrame:
     )
 
 
-def _by_length(rows: DataFrame, label: str) -> DataFrame:
-    """Store rows in one folder per length class: ``due`` = number of bits of the piece's length."""
-    spark = rows.sparkSession
-    path = scratch_path(spark, label)
-    due = F.length(F.bin("size")).cast("int")
-    rows = rows.withColumn("due", due)
-    rows.write.partitionBy("due").parquet(path)
-    stored = spark.read.schema(rows.schema).parquet(path)
-    stored.scratch_path = path
-    return stored
-
-
 def _recurse(rows: DataFrame, rounds: int, *columns) -> DataFrame:
     """All rounds of cutting, each stored once.
 
@@ -175,12 +168,11 @@ def _recurse(rows: DataFrame, rounds: int, *columns) -> DataFrame:
     stored = [rows]
     for k in range(rounds, 0, -1):
         half = 1 << (k - 1)
-        waiting = [t.filter((F.col("due") == k) & (F.col("size") < 2 * half)) for t in stored[:-1]]
-        recent = stored[-1].filter((F.col("due") >= k) & (F.col("size") >= half))
-        active = reduce(DataFrame.unionByName, [*waiting, recent]).drop("due")
-        stored.append(_by_length(cut_pieces(active, k, *columns), f"pieces-{k - 1}"))
+        waiting = [t.filter((F.col("size") >= half) & (F.col("size") < 2 * half)) for t in stored[:-1]]
+        active = reduce(DataFrame.unionByName, [*waiting, stored[-1].filter(F.col("size") >= half)])
+        stored.append(materialise(cut_pieces(active, k, *columns), f"pieces-{k - 1}"))
     release(*stored[1:-1])
-    return stored[-1].drop("due")
+    return stored[-1]
 
 
 def _parts(most: int):
@@ -263,7 +255,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         "conv_id", "words", F.lit(1).cast("bigint").alias("n_convs"),
     )
     # Equal turns have equally many words, so any minimum is theirs.
-    sequences = _by_length(_melt(sequences, ["conv_id", "words"], ["n_convs"]), "sequences")
+    sequences = materialise(_melt(sequences, ["conv_id", "words"], ["n_convs"]), "sequences")
     found = _recurse(sequences, rounds, ["conv_id", "words"], ["n_convs"])
     nodes = found.select(
         (F.col("pos") + 1).alias("depth"), F.col("end_a").alias("a"), F.col("end_b").alias("b"),
@@ -284,7 +276,7 @@ def prefix_trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         zero.alias("leaf_below"),
         zero.alias("saved_below"),
     )
-    start = _by_length(start, "totals")
+    start = materialise(start, "totals")
     totals = _recurse(start, rounds, [], numbers, {"leaf": "leaf_below", "saved": "saved_below"}).select(
         (F.col("pos") + 1).alias("depth"),
         F.col("end_a").alias("a"),

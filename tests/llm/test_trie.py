@@ -93,6 +93,12 @@ def test_deep_and_copied_conversations(spark):
     check(spark, long + copies)
 
 
+def test_long_pieces_are_joined_with_salts(spark, monkeypatch):
+    monkeypatch.setattr("splitwarden.llm.trie.TARGET_ROWS", 8)
+    monkeypatch.setattr("splitwarden.operators.scale.TARGET_ROWS", 8)
+    check(spark, [(c, t, "u", f"turn {t}") for c in (100, 101, 102) for t in range(20 + c % 3)])
+
+
 def test_one_turn_and_no_rows(spark):
     check(spark, [(7, 0, "u", "a b c")])
     assert conversation_trie(conversations(spark, [])).count() == 0
