@@ -531,10 +531,10 @@ def enrich(spark, sf):
 )
 def latest(spark, sf):
     rows = event_stream(spark, sf).select(
-        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "event_type", "value"
+        F.col("user_id").alias("session"), F.col("event_id").alias("seq"), "event_type", "value", "ts"
     )
     return RQ.run_latest(
-        rows, "session", "seq", ["event_type", "value"], scratch_path(spark, "latest")
+        rows, "session", "seq", ["event_type", "value"], scratch_path(spark, "latest"), "ts"
     )
 
 
