@@ -66,8 +66,20 @@ def group_kfold(df: DataFrame, k: int = N_FOLDS, seed: int = SEED) -> DataFrame:
     return attach(df.drop("group_size", "fold"), placed, "group_id", "group_size", keep_size=False)
 
 
+def fold_roles(folds: DataFrame, k: int = N_FOLDS) -> DataFrame:
+    """Every row once, with bit masks of the folds it trains in and is held out in.
+
+    Bit f - 1 stands for fold f, so there may be up to 63 folds. All counts come from the masks;
+    only a sink that wants one row per fold and row unfolds them (``fold_assignments``).
+    """
+    if not 1 <= k <= 63:
+        raise ValueError("between 1 and 63 folds")
+    held = F.shiftleft(F.lit(1).cast("bigint"), F.col("fold") - 1)
+    return folds.withColumns({"held_in": held, "trains_in": F.lit((1 << k) - 1).bitwiseXOR(held)})
+
+
 def fold_assignments(folds: DataFrame, k: int = N_FOLDS, seed: int = SEED) -> DataFrame:
-    """One row per (fold, row) with its role, seed and fold seed."""
+    """One row per (fold, row) with its role, seed and fold seed: the table for a sink."""
     held = F.col("fold")
     return (
         folds.withColumn("_f", F.explode(F.sequence(F.lit(1), F.lit(k))))
@@ -83,23 +95,47 @@ def fold_assignments(folds: DataFrame, k: int = N_FOLDS, seed: int = SEED) -> Da
     )
 
 
-def fold_integrity(assignments: DataFrame) -> DataFrame:
-    """Rows and groups per role and groups in both roles, per fold."""
-    is_train = F.col("role") == "train"
-    per_group = assignments.groupBy("fold", "group_id").agg(
-        F.count_if(is_train).alias("train"), F.count_if(~is_train).alias("validation")
+def _per_fold(counted: DataFrame, k: int) -> DataFrame:
+    """One row per fold of a small table of masks, with whether each role has the fold's bit."""
+    bit = F.shiftleft(F.lit(1).cast("bigint"), F.col("fold") - 1)
+    return counted.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumns(
+        {
+            "train": F.col("trains_in").bitwiseAND(bit) != 0,
+            "validation": F.col("held_in").bitwiseAND(bit) != 0,
+        }
+    )
+
+
+def fold_integrity(roles: DataFrame, k: int = N_FOLDS) -> DataFrame:
+    """Rows and groups per role and groups in both roles, per fold.
+
+    Rows are shuffled once, by group; a group's masks are the union of those of its rows, and
+    different masks are few.
+    """
+    per_group = roles.groupBy("group_id").agg(F.bit_or("trains_in").alias("trains_in"), F.bit_or("held_in").alias("held_in"))
+    masks = ["trains_in", "held_in"]
+    groups = _per_fold(per_group.groupBy(*masks).agg(F.count("*").alias("n")), k)
+    rows = _per_fold(roles.groupBy(*masks).agg(F.count("*").alias("n")), k)
+
+    def total(condition: str, name: str):
+        return F.coalesce(F.sum(F.when(F.expr(condition), F.col("n"))), F.lit(0)).alias(name)
+
+    counted = rows.groupBy("fold").agg(
+        total("train", "train_image_count"), total("validation", "validation_image_count")
     )
-    return per_group.groupBy("fold").agg(
-        F.sum("train").alias("train_image_count"),
-        F.sum("validation").alias("validation_image_count"),
-        F.count_if(F.expr("train > 0")).alias("train_group_count"),
-        F.count_if(F.expr("validation > 0")).alias("validation_group_count"),
-        F.count_if(F.expr("train > 0 AND validation > 0")).alias("overlap_group_count"),
+    grouped = groups.groupBy("fold").agg(
+        total("train", "train_group_count"),
+        total("validation", "validation_group_count"),
+        total("train AND validation", "overlap_group_count"),
     )
+    return counted.join(grouped, "fold")
 
 
-def fold_class_counts(assignments: DataFrame) -> DataFrame:
-    return assignments.groupBy("fold", "role", "class_index").agg(F.count("*").alias("n"))
+def fold_class_counts(roles: DataFrame, k: int = N_FOLDS) -> DataFrame:
+    counted = _per_fold(roles.groupBy("class_index", "trains_in", "held_in").agg(F.count("*").alias("n")), k)
+    part = F.explode(F.array(*[F.when(F.col(r), F.lit(r)) for r in ("train", "validation")]))
+    listed = counted.select("fold", part.alias("role"), "class_index", "n").filter("role IS NOT NULL")
+    return listed.groupBy("fold", "role", "class_index").agg(F.sum("n").alias("n"))
 
 
 def oof_coverage(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:

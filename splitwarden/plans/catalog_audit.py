@@ -702,7 +702,7 @@ def integrity(spark, sf):
     rows = X.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("group_id"), (F.col("o_orderkey") % 5 + 1).cast("int").alias("fold")
     )
-    return FO.fold_integrity(FO.fold_assignments(rows))
+    return FO.fold_integrity(FO.fold_roles(rows))
 
 
 @query(
@@ -710,7 +710,7 @@ def integrity(spark, sf):
     "SELECT CAST(f.range AS INTEGER) AS fold, CAST(0 AS BIGINT) AS overlap_group_count FROM range(1, 6) f",
 )
 def kfold_overlap(spark, sf):
-    done = FO.fold_integrity(FO.fold_assignments(folds(spark, sf)))
+    done = FO.fold_integrity(FO.fold_roles(folds(spark, sf)))
     return done.select("fold", "overlap_group_count")
 
 
@@ -724,7 +724,7 @@ def fold_counts(spark, sf):
     rows = X.order_groups(spark, sf).withColumn(
         "fold", (F.col("row_id") % 5 + 1).cast("int")
     )
-    return FO.fold_class_counts(FO.fold_assignments(rows))
+    return FO.fold_class_counts(FO.fold_roles(rows))
 
 
 @query(

@@ -123,7 +123,7 @@ def test_kfold_never_splits_a_group(spark):
     assert done.count() == df.count()
     per_group = done.groupBy("group_id").agg(F.count_distinct("fold").alias("n"))
     assert per_group.filter("n > 1").isEmpty()
-    audit = FO.fold_integrity(FO.fold_assignments(done)).collect()
+    audit = FO.fold_integrity(FO.fold_roles(done)).collect()
     assert len(audit) == 5 and all(r["overlap_group_count"] == 0 for r in audit)
     assert FO.fold_preconditions(df, 5).isEmpty()
     assert FO.fold_preconditions(df, 61).count() == 2
