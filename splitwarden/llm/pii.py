@@ -1,24 +1,28 @@
 """Personal data replaced by keyed surrogates of the same type and shape.
 
 1. Tasks detect entities: e-mail and IP addresses, phone, card, account and social security
-   numbers, secrets behind a keyword, and names behind a title in any case. The words of these
-   names are then looked up in the whole document, so capitalised mentions without a title are
-   the same entity. An entity is known by its kind and canonical form (digits of a number,
-   lower-case address, single name word), so all its spellings, in all documents, get one surrogate.
+   numbers, secrets behind a keyword or of a known form, and names behind a title in any case. The
+   words of these names are then looked up in the whole document, so capitalised mentions without a
+   title are the same entity. An entity is known by its kind and canonical form (digits of a number,
+   lower-case address, single name word), so all its spellings, behind any title and in all
+   documents, get one surrogate; the gender of a given name is what most of its titles say.
+   A pattern is tried only where a cheap mark of it stands in the text.
 2. A surrogate comes from HMAC-SHA256 of a key, the kind, the canonical form and an attempt.
    It keeps the shape: digits stay digits and letters letters, the country code, network
-   digit, check digit, address class and domain ending are kept, and a name keeps its script,
-   gender and case.
-3. Collisions are checked over the whole corpus: a surrogate that equals an entity of its kind,
-   or that another entity has too, is drawn again (the least entity keeps a shared one) until
-   all are distinct. Distinct entities so stay distinct. Every ``SAME_FORM`` attempts the form
-   gets wider (a character more, the next address range), so a full form never blocks the end.
-   A value without letters and digits, such as a masked password, is no secret.
+   digit, check digits that were right, address class and domain ending are kept, and a name
+   keeps its script, gender (of surnames: that of their form) and case.
+3. Collisions are checked over the whole corpus: a surrogate that equals an entity of its kind
+   (names: of any name kind), or that another entity has too, is drawn again (the least entity keeps
+   a shared one) until all are distinct. Distinct entities so stay distinct. Every ``SAME_FORM``
+   attempts the form gets wider (a character more, the next address range), so a full form never
+   blocks the end. A value without letters and digits, such as a masked password, is no secret.
 4. Surrogates are joined back to the occurrences, and each document is rewritten once.
 
+Names that never stand behind a title are not found: that would need a model of names.
+
 Cases: a null text stays null and has no entities; empty texts stay empty; a null doc_id is
 kept; rows with the same doc_id and text get the same text; very long texts are scanned in
-full; no entity at all leaves every text as it was; other columns are left alone.
+full, one at a time; no entity at all leaves every text as it was; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -30,9 +34,10 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from splitwarden.llm.text import slices
 from splitwarden.operators.scale import materialise, release
 
 # Titles that announce a name, by gender.
@@ -60,6 +65,12 @@ ENDINGS = {
     ("greek", "male"): "ς", ("greek", "female"): "α", ("greek", "any"): "ς",
 }
 
+# Country calling codes of one and two digits; all others have three.
+SHORT_CODES = set(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 "
+    "81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
 SAME_FORM = 4  # attempts before the form of a surrogate gets wider
 
 _WORD = r"[^\W\d_]+(?:['’-][^\W\d_]+)*"
@@ -79,13 +90,18 @@ _GAP = r"(?:[^\S\r\n]+|[^\S\r\n]*\r?\n[^\S\r\n]*)"
 PATTERNS = [
     ("email", re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)+")),
     ("secret", re.compile(_SECRET)),
+    ("key", re.compile(r"\b(?:A(?:KI|SI)A[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36})\b")),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("ip", re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![\w]|\.[0-9])")),
     ("ssn", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("phone", re.compile(r"(?<!\w)(?:\+[0-9][0-9 ()./-]{6,20}[0-9]|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?!\w)")),
+    ("phone", re.compile(r"(?<!\w)(?:\+[0-9][0-9 ()./-]{6,20}[0-9]|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[-/ ][0-9]{5,8})(?!\w)")),
     ("card", re.compile(r"(?<![\w-])[3-6](?:[ -]?[0-9]){12,18}(?![\w-])")),
     ("name", re.compile(rf"\b(?P<title>(?i:{_TITLE}))\b\.?(?:\s+(?i:{_ANY_TITLE})\b\.?)*\s+(?P<value>(?:[^\W\d_]\.\s*)*{_WORD}(?:{_GAP}(?:[^\W\d_]\.\s*)*{_WORD}){{0,2}})")),
 ]
+_DIGIT = re.compile("[0-9]")
+_KEYWORDS = ("password", "passwd", "pwd", "secret", "token", "api")
+_TITLES_LOWER = sorted({t.lower() for t in MALE_TITLES + FEMALE_TITLES + ANY_TITLES})
+_NUMERIC = {"iban", "ip", "ssn", "phone", "card"}
 _ENTITY = pa.schema([("kind", pa.string()), ("entity", pa.string()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -158,13 +174,34 @@ def _mentions(text: str, named: list[tuple[str, str, int, int]]) -> list[tuple[s
     return found
 
 
+def _marked(text: str) -> set[str]:
+    """The kinds whose mark stands in the text; a pattern of another kind cannot match."""
+    low = text.lower()
+    kinds = {"email"} if "@" in text else set()
+    if _DIGIT.search(text):
+        kinds |= _NUMERIC
+    if any(k in low for k in _KEYWORDS):
+        kinds.add("secret")
+    if any(k in text for k in ("AKIA", "ASIA", "gh")):
+        kinds.add("key")
+    for title in _TITLES_LOWER:
+        at = low.find(title)
+        while at >= 0:
+            before, after = low[at - 1 : at], low[at + len(title) : at + len(title) + 1]
+            if not (before.isalnum() or before == "_" or after.isalnum() or after == "_"):
+                return kinds | {"name"}
+            at = low.find(title, at + 1)
+    return kinds
+
+
 def detect(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, canonical form, start, stop) of the entities of a text; they do not overlap."""
+    marked = _marked(text)
     found: list[tuple[int, int, int, str, str]] = []
     named: list[tuple[str, str, int, int]] = []
     lowered = lru_cache(lambda: {w for w in re.findall(_WORD, text) if w.islower()})
     for rank, (kind, pattern) in enumerate(PATTERNS):
-        if kind == "email" and "@" not in text:
+        if kind not in marked:
             continue
         at = 0
         while kind == "name" and (match := pattern.search(text, at)):
@@ -181,10 +218,10 @@ def detect(text: str) -> list[tuple[str, str, int, int]]:
                 continue
             canonical = value.lower() if kind == "email" else value
             if kind in ("phone", "card", "ssn"):
-                canonical = "".join(c for c in value if c.isdigit())
+                canonical = "+" * value.startswith("+") + "".join(c for c in value if c.isdigit())
             elif kind == "iban":
                 canonical = value.replace(" ", "")
-            found.append((match.start(group), match.end(group), rank, kind, canonical))
+            found.append((match.start(group), match.end(group), rank, "secret" if kind == "key" else kind, canonical))
     found += [(s, e, len(PATTERNS), k, c) for k, c, s, e in _mentions(text, named)] if named else []
     kept: list[tuple[str, str, int, int]] = []
     done = 0
@@ -224,6 +261,17 @@ class _Draw:
         return "".join(out)
 
 
+def _code_length(digits: str) -> int:
+    """Digits of the country code of an international number."""
+    return next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)
+
+
+def _iban_rest(account: str) -> int:
+    """The account number modulo 97 with its letters as numbers; 1 where the check digits are right."""
+    moved = account[4:] + account[:4]
+    return int("".join(str(int(c, 36)) for c in moved)) % 97
+
+
 def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
     """The canonical form of the replacement of an entity."""
     draw = _Draw(key, kind, entity, attempt)
@@ -235,7 +283,12 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
             return names[draw.below(len(names))].lower()
         pool = SYLLABLES[name[1]]
         count = 2 + wider + draw.below(2)
-        return "".join(pool[draw.below(len(pool))] for _ in range(count)) + ENDINGS[name[1], name[2]]
+        gender = name[2]
+        if name[0] == "surname" and name[1] == "cyrillic":
+            gender = "female" if entity.endswith(("а", "я")) else "male"
+        elif name[0] == "surname" and name[1] == "greek":
+            gender = "male" if entity.endswith("ς") else "female"
+        return "".join(pool[draw.below(len(pool))] for _ in range(count)) + ENDINGS[name[1], gender]
     if kind == "email":
         local, _, domain = entity.partition("@")
         body, _, ending = domain.rpartition(".")
@@ -260,9 +313,15 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
         return body + str(check if valid else (check + 1 + draw.below(9)) % 10)
     if kind == "phone":
         keep = 1 if len(entity) > 10 else 0
+        if entity.startswith("+"):
+            keep = 1 + _code_length(entity[1:])
         return entity[:keep] + draw.like(entity[keep:] + "0" * wider)
     if kind == "iban":
-        return entity[:2] + draw.like(entity[2:] + "0" * wider)
+        body = draw.like(entity[4:] + "0" * wider)
+        right = 98 - _iban_rest(f"{entity[:2]}00{body}")
+        # Other remainders than the right one are drawn where the check digits were wrong.
+        check = right if _iban_rest(entity) == 1 else 2 + (right - 2 + 1 + draw.below(96)) % 97
+        return f"{entity[:2]}{check:02d}{body}"
     if kind == "ssn":
         return draw.like(entity + "0" * wider)
     hexadecimal = all(c in "0123456789abcdef" for c in entity)
@@ -275,7 +334,7 @@ def surrogate(key: bytes, kind: str, entity: str, attempt: int) -> str:
 def render(kind: str, raw: str, value: str) -> str:
     """A canonical replacement in the spelling of the occurrence it replaces."""
     if kind in ("phone", "card", "ssn", "iban"):
-        signs = iter(value)
+        signs = iter(value.removeprefix("+"))
         # A wider form is longer than what it replaces; its rest follows.
         return "".join([*(next(signs) if c.isalnum() else c for c in raw), *signs])
     if kind.startswith(("given", "surname")):
@@ -287,55 +346,83 @@ def render(kind: str, raw: str, value: str) -> str:
 
 def _detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, places = [], []
-        for i, text in enumerate(batch.column("text").to_pylist()):
-            for entity in detect(text) if text else ():
-                rows.append(entity)
-                places.append(i)
-        columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTITY)] if rows else [
-            pa.array([], f.type) for f in _ENTITY
-        ]
-        taken = pa.array(places, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(taken), batch.column("text_key").take(taken), *columns],
-            names=["doc_id", "text_key", *_ENTITY.names],
-        )
+        for part in slices(batch, "text"):
+            rows, places = [], []
+            for i, text in enumerate(part.column("text")):
+                text = text.as_py()
+                for entity in detect(text) if text else ():
+                    rows.append(entity)
+                    places.append(i)
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), _ENTITY)] if rows else [
+                pa.array([], f.type) for f in _ENTITY
+            ]
+            taken = pa.array(places, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(taken), part.column("text_key").take(taken), *columns],
+                names=["doc_id", "text_key", *_ENTITY.names],
+            )
 
 
 def _surrogates(key: bytes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, entities, attempts = (c.to_pylist() for c in batch.columns)
+            kinds, entities, attempts = (c.to_pylist() for c in batch.columns[:3])
             drawn = [surrogate(key, k, e, a) for k, e, a in zip(kinds, entities, attempts)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(drawn, pa.string())], names=[*batch.schema.names, "drawn"])
 
     return run
 
 
+def _family(kind: Column) -> Column:
+    """A kind without the gender of names."""
+    return F.when(kind.rlike("^(given|surname):"), F.substring_index(kind, ":", 2)).otherwise(kind)
+
+
 def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, entity, surrogate) with all surrogates of a kind distinct and none an entity."""
-    entities = materialise(entities.select("kind", "entity").distinct(), "entities")
+    """(kind, entity, surrogate): all surrogates of a kind distinct and none an entity.
+
+    Names of any kind are one space of forms. ``kind`` comes out without the gender of names,
+    which is that of most mentions.
+    """
+    gender = F.substring_index("kind", ":", -1)
+    entities = entities.groupBy(_family(F.col("kind")).alias("kind"), "entity").agg(
+        F.count_if(gender == "male").alias("male"), F.count_if(gender == "female").alias("female")
+    )
+    is_name = F.col("kind").rlike("^(given|surname):")
+    said = F.when(F.col("male") > F.col("female"), "male").when(F.col("male") < F.col("female"), "female").otherwise("any")
+    entities = materialise(
+        entities.select(
+            "kind",
+            "entity",
+            F.when(is_name, "name").otherwise(F.col("kind")).alias("space"),
+            F.when(is_name, F.concat_ws(":", "kind", said)).otherwise(F.col("kind")).alias("form_kind"),
+        ),
+        "entities",
+    )
     # An entity met so far blocks its own form; a settled surrogate blocks it too.
     state = entities.withColumn("attempt", F.lit(0)).withColumn("surrogate", F.lit(None).cast("string"))
+    columns = ["kind", "entity", "space", "form_kind"]
     while True:
-        waiting = state.filter("surrogate IS NULL").select("kind", "entity", "attempt")
-        drawn = waiting.mapInArrow(_surrogates(key), "kind string, entity string, attempt int, drawn string")
-        claims = drawn.select("kind", F.col("drawn").alias("form"), "entity", F.lit(1).alias("claim"))
-        blocks = entities.select("kind", F.col("entity").alias("form"), F.lit(None).cast("string").alias("entity"), F.lit(0).alias("claim"))
+        waiting = state.filter("surrogate IS NULL").select("form_kind", "entity", "attempt", "space", "kind")
+        drawn = waiting.mapInArrow(
+            _surrogates(key), "form_kind string, entity string, attempt int, space string, kind string, drawn string"
+        )
+        owner = F.struct("entity", "kind")
+        nobody = F.lit(None).cast("struct<entity:string,kind:string>")
+        claims = drawn.select("space", F.col("drawn").alias("form"), owner.alias("owner"), F.lit(1).alias("claim"))
+        blocks = entities.select("space", F.col("entity").alias("form"), nobody.alias("owner"), F.lit(0).alias("claim"))
         settled = state.filter("surrogate IS NOT NULL")
-        blocks = blocks.union(
-            settled.select("kind", "surrogate", F.lit(None).cast("string"), F.lit(0))
+        blocks = blocks.union(settled.select("space", "surrogate", nobody, F.lit(0)))
+        winners = (
+            claims.union(blocks).groupBy("space", "form")
+            .agg(F.min("claim").alias("claim"), F.min("owner").alias("owner"))
+            .filter("claim = 1")
+            .select("owner.entity", "owner.kind", F.col("form").alias("won"))
         )
-        winners = claims.union(blocks).groupBy("kind", "form").agg(
-            F.min("claim").alias("claim"), F.min("entity").alias("entity")
-        ).filter("claim = 1").select("kind", "entity", F.col("form").alias("won"))
         before = state
         state = materialise(
             state.join(winners, ["kind", "entity"], "left").select(
-                "kind",
-                "entity",
-                (F.col("attempt") + 1).alias("attempt"),
-                F.coalesce("surrogate", "won").alias("surrogate"),
+                *columns, (F.col("attempt") + 1).alias("attempt"), F.coalesce("surrogate", "won").alias("surrogate")
             ),
             "surrogates",
         )
@@ -346,19 +433,20 @@ def assign_surrogates(entities: DataFrame, key: bytes) -> DataFrame:
 
 def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, changes = batch.column("_text").to_pylist(), batch.column("_changes").to_pylist()
-        for i, text in enumerate(texts):
-            if text and changes[i]:
-                parts, done = [], 0
-                for c in changes[i]:
-                    parts += [text[done : c["start"]], render(c["kind"], text[c["start"] : c["stop"]], c["surrogate"])]
-                    done = c["stop"]
-                texts[i] = "".join([*parts, text[done:]])
-        names = batch.schema.names[:-2]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in names], pa.array(texts, pa.string()), batch.column("_changes")],
-            names=batch.schema.names,
-        )
+        for part in slices(batch, "_text"):
+            texts, changes = part.column("_text").to_pylist(), part.column("_changes").to_pylist()
+            for i, text in enumerate(texts):
+                if text and changes[i]:
+                    parts, done = [], 0
+                    for c in changes[i]:
+                        parts += [text[done : c["start"]], render(c["kind"], text[c["start"] : c["stop"]], c["surrogate"])]
+                        done = c["stop"]
+                    texts[i] = "".join([*parts, text[done:]])
+            names = part.schema.names[:-2]
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c) for c in names], pa.array(texts, pa.string()), part.column("_changes")],
+                names=part.schema.names,
+            )
 
 
 def replace_pii(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -377,7 +465,8 @@ def replace_pii(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
         ),
         "pii",
     )
-    named = found.distinct().join(assign_surrogates(found, key), ["kind", "entity"])
+    named = found.distinct().withColumn("kind", _family(F.col("kind")))
+    named = named.join(assign_surrogates(found, key), ["kind", "entity"])
     changes = named.groupBy("doc_id", "text_key").agg(
         F.sort_array(F.collect_list(F.struct("start", "stop", "kind", "surrogate"))).alias("_changes")
     )
