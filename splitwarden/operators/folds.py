@@ -74,7 +74,7 @@ def fold_roles(folds: DataFrame, k: int = N_FOLDS) -> DataFrame:
     """
     if not 1 <= k <= 63:
         raise ValueError("between 1 and 63 folds")
-    held = F.shiftleft(F.lit(1).cast("bigint"), F.col("fold") - 1)
+    held = F.expr("shiftleft(1L, cast(fold AS int) - 1)")
     return folds.withColumns({"held_in": held, "trains_in": F.lit((1 << k) - 1).bitwiseXOR(held)})
 
 
@@ -97,7 +97,7 @@ def fold_assignments(folds: DataFrame, k: int = N_FOLDS, seed: int = SEED) -> Da
 
 def _per_fold(counted: DataFrame, k: int) -> DataFrame:
     """One row per fold of a small table of masks, with whether each role has the fold's bit."""
-    bit = F.shiftleft(F.lit(1).cast("bigint"), F.col("fold") - 1)
+    bit = F.expr("shiftleft(1L, cast(fold AS int) - 1)")
     return counted.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumns(
         {
             "train": F.col("trains_in").bitwiseAND(bit) != 0,

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from splitwarden.functions import keys as KEYS
+from splitwarden.functions import png as PNG
 from splitwarden.operators import audit as A
 from splitwarden.operators import components as CC
 from splitwarden.operators import exact as EX
@@ -20,7 +22,7 @@ from splitwarden.plans.fixtures import round_cols
 from splitwarden.sources import files as FI
 from splitwarden.sources import sinks as SK
 from splitwarden.sources import tables as TB
-from splitwarden.operators.scale import scratch_path, spread
+from splitwarden.operators.scale import materialise, scratch_path, spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -73,6 +75,59 @@ def inventory(spark, sf):
     return FI.build_inventory(rows)
 
 
+IMAGES_SQL = """
+im AS (
+  SELECT vec_id, 'class_' || CAST(label AS VARCHAR) AS class_name,
+    printf('class_%d/%d/%06d.%s', label, vec_id % 10, vec_id,
+      CASE WHEN vec_id % 13 = 0 THEN 'txt' WHEN vec_id % 2 = 0 THEN 'png' ELSE 'PNG' END) AS relative_path,
+    vec_id % 7 <> 0 AND vec_id % 11 <> 0 AS readable, 4 + vec_id % 5 AS w, 3 + vec_id % 4 AS h,
+    CASE vec_id % 3 WHEN 0 THEN 'L' WHEN 1 THEN 'RGB' ELSE 'RGBA' END AS mode
+  FROM embeddings WHERE vec_id % 13 <> 0)"""
+
+
+def _image_rows(batches):
+    """PNG files made of embeddings; some are cut off, some are no images."""
+    for batch in batches:
+        paths, contents = [], []
+        for vec_id, label, values in zip(*[c.to_pylist() for c in batch.columns]):
+            suffix = "txt" if vec_id % 13 == 0 else "png" if vec_id % 2 == 0 else "PNG"
+            width, height, channels = 4 + vec_id % 5, 3 + vec_id % 4, (1, 3, 4)[vec_id % 3]
+            levels = bytes(max(0, min(255, round((v + 1) * 127.5))) for v in values)
+            size = width * height * channels
+            content = PNG.encode((levels * (size // len(levels) + 1))[:size], width, height, channels)
+            if vec_id % 7 == 0:
+                content = content[:20]
+            elif vec_id % 11 == 0:
+                content = b"not an image"
+            paths.append(f"class_{label}/{vec_id % 10}/{vec_id:06d}.{suffix}")
+            contents.append(content)
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], names=["relative_path", "content"])
+
+
+@query(
+    "probe_image_files",
+    f"""WITH {IMAGES_SQL} SELECT class_name, relative_path, readable,
+  CASE WHEN NOT readable THEN 'cannot identify image file' END AS error,
+  CASE WHEN readable THEN CAST(w AS INTEGER) END AS width, CASE WHEN readable THEN CAST(h AS INTEGER) END AS height,
+  CASE WHEN readable THEN mode END AS mode, true AS digest_matches FROM im""",
+)
+def probe_image_files(spark, sf):
+    """Image files written by tasks, found by their class folders, decoded and described."""
+    rows = X.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    images = materialise(rows.mapInArrow(_image_rows, "relative_path string, content binary"), "images")
+    root = scratch_path(spark, "image-files")
+    SK.write_binary_files(images, root)
+    labels = [r["label"] for r in rows.select("label").distinct().orderBy("label").collect()]
+    classes = TB.class_dictionary(spark, [f"class_{n}" for n in labels])
+    files = FI.scan_labeled_files(spark, root, classes)
+    probed = FI.probe_images(spark, FI.class_folders(spark, root, classes), files)
+    written = images.select("relative_path", F.sha2("content", 256).alias("written"))
+    same = F.coalesce(F.col("sha256") == F.col("written"), ~F.col("readable"))
+    return probed.join(written, "relative_path").select(
+        "class_name", "relative_path", "readable", "error", "width", "height", "mode", same.alias("digest_matches")
+    )
+
+
 @query(
     "content_digest",
     "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -242,6 +297,28 @@ def review_read(spark, sf):
     return TB.read_review(X.review_rows(spark, sf))
 
 
+@query(
+    "review_csv_files",
+    f"""WITH {X.PAIRS_SQL} SELECT least(relative_path_1, relative_path_2) AS relative_path_1,
+  greatest(relative_path_1, relative_path_2) AS relative_path_2, decision,
+  'said "' || least(relative_path_1, relative_path_2) || '",' || chr(10) || 'twice' AS notes
+FROM reviewed WHERE listed""",
+)
+def review_csv_files(spark, sf):
+    """Review files of two rounds with a byte order mark, quotes and line ends in fields; the later wins."""
+    rows = X.review_rows(spark, sf).drop("line_no", "notes").withColumn(
+        "notes",
+        F.concat(F.lit('said "'), F.trim(F.least(F.trim("relative_path_1"), F.trim("relative_path_2"))), F.lit('",\ntwice')),
+    )
+    first = rows.withColumns({"decision": F.lit("no"), "notes": F.lit("first round"), "round": F.lit(1)})
+    both = first.unionByName(rows.withColumn("round", F.lit(2))).withColumnRenamed("relative_path_1", "\ufeffrelative_path_1")
+    root = scratch_path(spark, "review-files")
+    both.repartition(3).write.partitionBy("round").option("header", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", False
+    ).option("ignoreTrailingWhiteSpace", False).csv(root)
+    return TB.read_review(TB.read_review_csv(spark, root))
+
+
 @query(
     "apply_review",
     f"""WITH {X.PAIRS_SQL} SELECT relative_path_1, relative_path_2, decision, '' AS notes, n_pairs

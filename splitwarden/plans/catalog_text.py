@@ -425,6 +425,78 @@ def missing_runs(spark, sf):
     return TB.missing_runs(have, wanted)
 
 
+_run_roots: dict[tuple[str, str], str] = {}
+RUN_TABLES = ["fold_results", "per_class", "predictions"]
+RUN_SCHEMA = "fold int, rows bigint, price double"
+RUNS_SQL = """
+r AS (SELECT o_custkey % 10 AS run, CAST(o_orderkey % 5 AS INTEGER) AS fold, o_totalprice FROM orders),
+status AS (
+  SELECT 'run' || CAST(run AS VARCHAR) AS run,
+    CASE run WHEN 3 THEN 'per_class' WHEN 7 THEN 'predictions' ELSE '' END AS missing
+  FROM (SELECT DISTINCT run FROM r))"""
+
+
+def run_folders(spark, sf):
+    """Results of ten runs as CSV folders; run 3 lacks a table, run 7 has one without content."""
+
+    def build():
+        root = scratch_path(spark, "runs")
+        rows = X.table(spark, sf, "orders").groupBy(
+            (F.col("o_custkey") % 10).alias("number"), (F.col("o_orderkey") % 5).cast("int").alias("fold")
+        ).agg(F.count("*").alias("rows"), F.round(F.sum("o_totalprice"), 2).alias("price"))
+        tables = F.explode(F.array(*[F.lit(t) for t in RUN_TABLES]))
+        rows = rows.withColumn("file", tables).filter(
+            "NOT (number = 3 AND file = 'per_class') AND NOT (number = 7 AND file = 'predictions')"
+        )
+        rows = rows.select("fold", "rows", "price", F.concat(F.lit("run"), F.col("number").cast("string")).alias("run"), "file")
+        rows.repartition("run").write.partitionBy("run", "file").option("header", True).csv(root)
+        hollow = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/run=run7/file=predictions/part-0.csv")
+        hollow.getFileSystem(spark._jsc.hadoopConfiguration()).create(hollow).close()
+        return root
+
+    # One set of folders serves the three queries of a session.
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _run_roots:
+        _run_roots[key] = build()
+    return _run_roots[key]
+
+
+@query(
+    "run_discovery",
+    f"WITH {RUNS_SQL} SELECT run, missing, missing = '' AS complete FROM status",
+)
+def run_discovery(spark, sf):
+    """Runs found by their folders, with the tables that are missing or empty."""
+    found = TB.discover_runs(spark, run_folders(spark, sf), RUN_TABLES)
+    return found.select("run", F.array_join("missing", ",").alias("missing"), "complete")
+
+
+@query(
+    "run_results_lenient",
+    f"""WITH {RUNS_SQL} SELECT s.run, fold, count(*) AS rows, round(sum(o_totalprice), 2) AS price
+FROM r JOIN status s ON s.run = 'run' || CAST(r.run AS VARCHAR) WHERE missing = '' GROUP BY ALL""",
+)
+def run_results_lenient(spark, sf):
+    """Fold results of the complete runs; others are left out."""
+    root = run_folders(spark, sf)
+    wanted = spark.createDataFrame([(f"run{i}",) for i in range(12)], "run string")
+    rows = TB.read_run_table(spark, root, "fold_results", RUN_SCHEMA, RUN_TABLES, wanted, strict=False)
+    return rows.select("run", "fold", "rows", "price")
+
+
+@query(
+    "run_results_strict",
+    f"""WITH {RUNS_SQL} SELECT s.run, fold, count(*) AS rows FROM r
+JOIN status s ON s.run = 'run' || CAST(r.run AS VARCHAR) WHERE s.run IN ('run1', 'run2') GROUP BY ALL""",
+)
+def run_results_strict(spark, sf):
+    """Two runs that must be complete."""
+    wanted = spark.createDataFrame([("run1",), ("run2",)], "run string")
+    root = run_folders(spark, sf)
+    rows = TB.read_run_table(spark, root, "predictions", RUN_SCHEMA, RUN_TABLES, wanted)
+    return rows.select("run", "fold", "rows")
+
+
 @query(
     "class_violations",
     """WITH d AS (SELECT p_partkey AS class_index, CASE WHEN p_partkey % 50 = 0 THEN ' ' ELSE 'n' || CAST(p_partkey % 1500 AS VARCHAR) END AS class_name FROM part)

@@ -33,6 +33,17 @@ def missing_classes(files: DataFrame, classes: DataFrame) -> DataFrame:
     return classes.join(files.select("class_name").distinct(), "class_name", "left_anti")
 
 
+def class_folders(spark: SparkSession, root: str, classes: DataFrame, strict: bool = True) -> list[str]:
+    """The folders of the class dictionary that exist."""
+    names = [r["class_name"] for r in classes.select("class_name").collect()]  # the dictionary
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [n for n in names if system.exists(path(f"{root.rstrip('/')}/{n}"))]
+    if strict and len(there) < len(names):
+        raise ValueError(f"missing class folders: {', '.join(sorted(set(names) - set(there)))}")
+    return [f"{root.rstrip('/')}/{n}" for n in there]
+
+
 def scan_labeled_files(
     spark: SparkSession,
     root: str,
@@ -43,10 +54,15 @@ def scan_labeled_files(
     """Files below ``root``/<class>/ with an accepted suffix (any letter case).
 
     Columns: class_name, relative_path, path, length, content. The content is read only
-    when a later step selects it. With ``strict`` an empty class is an error.
+    when a later step selects it. Only the folders of the classes are listed, whatever else stands
+    beside them. With ``strict`` a class without a folder or without a file is an error.
     """
+    folders = class_folders(spark, root, classes, strict)
+    empty = "path string, modificationTime timestamp, length bigint, content binary"
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders)
+        if folders
+        else spark.createDataFrame([], empty)
     )
     base = root.rstrip("/") + "/"
     position = F.locate(base, F.col("path"))
@@ -70,13 +86,16 @@ def scan_labeled_files(
 CHANNEL_MODES = {1: "L", 3: "RGB", 4: "RGBA"}
 
 
-def probe_images(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
-    """Size, mode and digest of each file; undecodable files become rows with an error."""
+def probe_images(spark: SparkSession, root: str | Sequence[str], files: DataFrame) -> DataFrame:
+    """Size, mode and digest of each file; undecodable files become rows with an error.
+
+    ``root`` is the folder of the files, or a list of folders such as ``class_folders`` gives.
+    """
     decoded = (
         spark.read.format("image")
         .option("dropInvalid", False)
         .option("recursiveFileLookup", True)
-        .load(root)
+        .load(root if isinstance(root, str) else list(root))
         .select(
             F.col("image.origin").alias("origin"),
             "image.width",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +121,31 @@ def prediction_table(df: DataFrame, class_names: Sequence[str], extras: Sequence
 
 def append_prediction_records(df: DataFrame, class_names: Sequence[str], path: str) -> None:
     prediction_records(df, class_names).write.mode("append").json(path)
+
+
+def write_binary_files(files: DataFrame, root: str) -> int:
+    """Write (relative_path, content) as single files under ``root``; returns their number.
+
+    Tasks write in parallel to any store Arrow can reach. A file is moved to its name when it is
+    complete, and attempts give equal bytes, so a retried task leaves the same files.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        place = "file:///" + root[5:].lstrip("/") if root.startswith("file:") else root
+        system, folder = fs.FileSystem.from_uri(place)
+        for batch in batches:
+            for name, content in zip(batch.column("relative_path").to_pylist(), batch.column("content")):
+                path = f"{folder}/{name}"
+                parent, _, leaf = path.rpartition("/")
+                system.create_dir(parent, recursive=True)
+                draft = f"{parent}/_draft-{attempt}-{leaf}"
+                with system.open_output_stream(draft) as out:
+                    out.write(content.as_py())
+                if system.get_file_info(path).type != fs.FileType.NotFound:
+                    system.delete_file(path)
+                system.move(draft, path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    written = files.select("relative_path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "n bigint")
+    return written.agg(F.sum("n").alias("n")).first()["n"] or 0

@@ -58,11 +58,21 @@ def strip_bom(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lstrip(BOM) for c in df.columns])
 
 
-def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Review file as text columns, in file order where one file holds it."""
-    raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=True)
-    named = strip_bom(raw)
-    return named.withColumn("line_no", F.monotonically_increasing_id())
+def read_review_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Review files as text columns with their order: file, block of the file, row of the block.
+
+    The order does not depend on how files are dealt to tasks or how large their splits are, so the
+    last row of a pair is the same in every run. ``multi_line`` allows line ends inside quoted
+    fields; a file is then read by one task, without it large files are split.
+    """
+    raw = spark.read.csv(path, header=True, encoding="UTF-8", multiLine=multi_line, quote='"', escape='"')
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    placed = raw.select(*[F.col(f"`{c}`") for c in raw.columns], place.alias("line_no"))
+    return strip_bom(placed)
 
 
 def read_review(df: DataFrame, order: str = "line_no", strict: bool = True) -> DataFrame:
@@ -170,6 +180,55 @@ def read_predictions(df: DataFrame, classes: DataFrame, label: str = "actual_cla
     return df.join(index, label, "left").select(*rest, "y_true", vector.alias("probs"))
 
 
+def discover_runs(spark: SparkSession, root: str, required: Sequence[str]) -> DataFrame:
+    """(run, missing, complete) of every folder ``run=<name>/file=<table>/`` under ``root``.
+
+    A table counts when it has a file with content; a run with a missing or empty one is not
+    complete. Only names and lengths are listed, no content is read.
+    """
+    listed = spark.read.format("binaryFile").load(root).select(
+        F.col("run").cast("string").alias("run"), F.col("file").cast("string").alias("file"), "length"
+    )
+    there = F.collect_set(F.when(F.col("length") > 0, F.col("file")))
+    wanted = F.array(*[F.lit(name) for name in required])
+    found = listed.groupBy("run").agg(F.array_sort(F.array_except(wanted, there)).alias("missing"))
+    return found.withColumn("complete", F.size("missing") == 0)
+
+
+def read_run_table(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    schema: str,
+    required: Sequence[str],
+    requested: DataFrame | None = None,
+    strict: bool = True,
+) -> DataFrame:
+    """Rows of one table of all complete runs, with their ``run``.
+
+    ``requested`` (column run) limits the runs. Strict reading fails, when it is executed, on a run
+    that is not complete or not there; lenient reading leaves such runs out. Nothing is collected.
+    """
+    runs = discover_runs(spark, root, required)
+    if requested is not None:
+        runs = requested.select("run").distinct().join(runs, "run", "left").select(
+            "run",
+            F.coalesce("missing", F.array(*[F.lit(n) for n in required])).alias("missing"),
+            F.coalesce("complete", F.lit(False)).alias("complete"),
+        )
+    table = spark.read.schema(f"{schema}, run string, file string").csv(root, header=True)
+    rows = table.filter(F.col("file") == name).drop("file")
+    kept = rows.join(runs.filter("complete"), "run", "left_semi").select(rows.columns)
+    if not strict:
+        return kept
+    # A row for each incomplete run, which fails when it is made.
+    text = F.concat(F.lit("incomplete run "), "run", F.lit(": "), F.array_join("missing", ", "))
+    failing = runs.filter(~F.col("complete")).select(
+        *[F.raise_error(text).cast(f.dataType).alias(f.name) for f in kept.schema.fields]
+    )
+    return kept.unionByName(failing)
+
+
 def read_runs(table: DataFrame, runs: Sequence[str], strict: bool = True) -> DataFrame:
     """Rows of the requested runs of a table partitioned by ``run``.
 
