@@ -34,6 +34,34 @@ def dhash(grid: str, rows: int, cols: int) -> Column:
     return F.expr(bits[0])
 
 
+def _taps(new: int, old: int) -> tuple[list[int], list[int], list[float]]:
+    """Per new cell: the two old cells it lies between and the weight of the second (half-pixel centres)."""
+    at = [max((i + 0.5) * old / new - 0.5, 0.0) for i in range(new)]
+    low = [min(int(x), old - 1) for x in at]
+    return low, [min(i + 1, old - 1) for i in low], [x - i for x, i in zip(at, low)]
+
+
+def resize(grid: str, rows: int, cols: int, new_rows: int, new_cols: int) -> Column:
+    """Bilinear resize without antialiasing, as one array expression.
+
+    The weights of each axis are literals, so every new cell is a sum of four old ones.
+    """
+
+    def listed(values: list, index: str) -> str:
+        return f"get(array({', '.join(f'{v!r}D' if isinstance(v, float) else str(v) for v in values)}), {index})"
+
+    (top, bottom, dy), (left, right, dx) = _taps(new_rows, rows), _taps(new_cols, cols)
+    r, c = f"CAST(i DIV {new_cols} AS INT)", f"CAST(i % {new_cols} AS INT)"
+    x = listed(dx, c)
+
+    def line(row: list[int]) -> str:
+        at = lambda side: f"CAST(get({grid}, {listed(row, r)} * {cols} + {listed(side, c)}) AS DOUBLE)"
+        return f"({at(left)} * (1 - {x}) + {at(right)} * {x})"
+
+    y = listed(dy, r)
+    return F.expr(f"transform(sequence(0, {new_rows * new_cols - 1}), i -> {line(top)} * (1 - {y}) + {line(bottom)} * {y})")
+
+
 def luma(red: Column, green: Column, blue: Column) -> Column:
     return red * LUMA[0] + green * LUMA[1] + blue * LUMA[2]
 

@@ -181,6 +181,37 @@ def grid_dhash(spark, sf):
     )
 
 
+RESIZED = [(5, 7), (11, 13)]
+
+
+@query(
+    "grid_resize",
+    f"""WITH size(new_rows, new_cols) AS (VALUES {', '.join(str(s) for s in RESIZED)}),
+spot AS (
+  SELECT new_rows, new_cols, r.range AS r, c.range AS c,
+    greatest((r.range + 0.5::DOUBLE) * 8 / new_rows - 0.5::DOUBLE, 0) AS y,
+    greatest((c.range + 0.5::DOUBLE) * 8 / new_cols - 0.5::DOUBLE, 0) AS x
+  FROM size, range(13) r, range(13) c WHERE r.range < new_rows AND c.range < new_cols),
+tap AS (
+  SELECT *, CAST(least(floor(y), 7) AS INTEGER) AS top, CAST(least(floor(x), 7) AS INTEGER) AS lft FROM spot),
+px AS (
+  SELECT vec_id, new_rows, new_cols, r * new_cols + c AS cell, y - top AS dy, x - lft AS dx,
+    embedding[top * 8 + lft + 1]::DOUBLE AS a, embedding[top * 8 + least(lft + 1, 7) + 1]::DOUBLE AS b,
+    embedding[least(top + 1, 7) * 8 + lft + 1]::DOUBLE AS d, embedding[least(top + 1, 7) * 8 + least(lft + 1, 7) + 1]::DOUBLE AS e
+  FROM embeddings, tap)
+SELECT vec_id, new_rows, new_cols, CAST(cell AS INTEGER) AS cell,
+  round((a * (1 - dx) + b * dx) * (1 - dy) + (d * (1 - dx) + e * dx) * dy, 5) + 0.0::DOUBLE AS value FROM px""",
+)
+def grid_resize(spark, sf):
+    """Grids of the embeddings made smaller and larger, in built-in functions."""
+    from splitwarden.functions import grids as G
+
+    grids = X.table(spark, sf, "embeddings").select("vec_id", "embedding")
+    sizes = F.array(*[F.struct(F.lit(r).alias("new_rows"), F.lit(c).alias("new_cols"), G.resize("embedding", 8, 8, r, c).alias("cells")) for r, c in RESIZED])
+    sized = grids.select("vec_id", F.explode(sizes).alias("s")).select("vec_id", "s.new_rows", "s.new_cols", F.posexplode("s.cells").alias("cell", "value"))
+    return sized.withColumn("value", F.round("value", 5) + F.lit(0.0))  # no negative zero
+
+
 @query(
     "hamming_to_nearest_hash",
     f"""WITH {EMBEDDING_BITS_SQL} SELECT a.vec_id AS vec_id,

@@ -148,3 +148,17 @@ def test_temperature_keeps_order_and_sum(spark):
     logs = np.log(np.clip([0.7, 0.2, 0.1, 0.0], 1e-8, 1)) / 1.7
     want = np.exp(logs - logs.max()) / np.exp(logs - logs.max()).sum()
     assert np.allclose(C.calibrate(df, 1.7).first()["probs"], want)
+
+
+@pytest.mark.parametrize("shape", [(8, 8, 5, 7), (8, 8, 11, 13), (1, 3, 4, 2), (6, 5, 6, 5)])
+def test_native_resize_equals_the_pixel_kernel(spark, shape):
+    import numpy as np
+
+    from splitwarden.functions import grids as G
+    from splitwarden.operators.images import bilinear
+
+    rows, cols, new_rows, new_cols = shape
+    values = np.random.default_rng(3).random(rows * cols)
+    df = spark.createDataFrame([(values.tolist(),)], "grid array<double>")
+    found = df.select(G.resize("grid", *shape).alias("g")).first()["g"]
+    assert np.allclose(found, bilinear(values.reshape(rows, cols, 1), new_rows, new_cols)[:, :, 0].ravel(), atol=1e-6)
