@@ -72,8 +72,12 @@ def split_destinations(df: DataFrame) -> DataFrame:
 
 
 def materialize_split(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write the rows partitioned by split and class, so readers prune by split."""
-    split_destinations(df).write.mode(mode).partitionBy("split", "class_name").parquet(path)
+    """Write the rows partitioned by split and class, so readers prune by split.
+
+    Rows are rebalanced first: a small class of a split is one file whatever the number of tasks,
+    and a large one is cut at the session's advisory partition size, hot or not.
+    """
+    split_destinations(df).hint("rebalance", "split", "class_name").write.mode(mode).partitionBy("split", "class_name").parquet(path)
 
 
 def prediction_records(df: DataFrame, class_names: Sequence[str]) -> DataFrame:

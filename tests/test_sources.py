@@ -205,3 +205,49 @@ def test_readers_and_sinks(spark, tmp_path):
     assert got == {"c/x/a.JPG": "train/c/x__a.JPG", "c/x__a.JPG": "train/c/x__a_1.jpg"}
     SK.materialize_split(rows, str(tmp_path / "split"))
     assert spark.read.parquet(str(tmp_path / "split")).filter("split = 'test'").count() == 1
+
+
+def test_split_files_are_few_and_reads_are_pruned(spark, tmp_path):
+    rows = spark.range(3000).selectExpr(
+        "CASE WHEN id % 10 < 7 THEN 'train' WHEN id % 10 < 9 THEN 'test' ELSE 'validation' END AS split",
+        "concat('c', cast(id % 4 AS string)) AS class_name", "concat('c', cast(id % 4 AS string), '/', cast(id AS string), '.png') AS relative_path",
+    ).repartition(64)
+    path = str(tmp_path / "sized")
+    SK.materialize_split(rows, path)
+    files = [f for f in (tmp_path / "sized").rglob("*.parquet")]
+    assert 10 <= len(files) <= 20
+    read = spark.read.parquet(path).filter("split = 'test'")
+    assert read.count() == 600 and "PartitionFilters: [isnotnull(split" in read._jdf.queryExecution().toString()
+
+
+def test_run_folders_strict_and_lenient(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "run string, file string, v int")
+    rows.write.partitionBy("run", "file").option("header", True).csv(str(tmp_path / "runs"))
+    root, required = str(tmp_path / "runs"), ["x", "y"]
+    found = {r["run"]: (r["missing"], r["complete"]) for r in TB.discover_runs(spark, root, required).collect()}
+    assert found == {"a": ([], True), "b": (["y"], False)}
+    assert [r["v"] for r in TB.read_run_table(spark, root, "x", "v int", required, strict=False).collect()] == [1]
+    with pytest.raises(Exception, match="incomplete run b: y"):
+        TB.read_run_table(spark, root, "x", "v int", required).collect()
+    absent = spark.createDataFrame([("a",), ("z",)], "run string")
+    with pytest.raises(Exception, match="incomplete run z: x, y"):
+        TB.read_run_table(spark, root, "x", "v int", required, absent).collect()
+
+
+def test_the_last_review_row_wins_across_files_and_splits(spark, tmp_path):
+    (tmp_path / "review").mkdir()
+    header = "relative_path_1,relative_path_2,decision,notes\n"
+    first = "".join(f"a{i},b{i},no,old\n" for i in range(400)) + "".join(f"a{i},b{i},yes,mid\n" for i in range(400))
+    (tmp_path / "review" / "1.csv").write_text(header + first)
+    (tmp_path / "review" / "2.csv").write_text(header + 'b7,a7,n,"said ""no"",\ntwice"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, multi in (("134217728", True), ("1000", True), ("1000", False)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            table = TB.read_review_csv(spark, str(tmp_path / "review"), multi_line=multi)
+            rows = {r["relative_path_1"]: (r["decision"], r["notes"]) for r in TB.read_review(table, strict=multi).collect()}
+            assert rows["a3"] == ("yes", "mid") and len([k for k in rows if k.startswith("a")]) == 400
+            if multi:
+                assert rows["a7"] == ("no", 'said "no",\ntwice')
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
