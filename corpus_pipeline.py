@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the stages before the last
 return the columns of documents. ``run`` writes every stage to the shared folder and reads it
 again, so a lost executor never repeats an earlier stage.
+
+Cases: a null or empty text fails the quality rules (too few words), so it ends there; a null doc_id
+passes all stages like any other; of rows that are repeated, near dedup keeps one; columns beside doc_id and
+text pass the first four stages unchanged whatever their names, and packing leaves them; an empty
+table goes through all stages and gives no rows; very long texts are read whole in every stage;
+ties (equal lines, equal texts) go to the least doc_id.
 """
 
 from __future__ import annotations

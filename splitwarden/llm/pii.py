@@ -472,9 +472,10 @@ def replace_pii(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     )
     changes = changes.toDF("pii_id", "pii_key", "_changes")
     columns = [c for c in docs.columns if c != "pii_changes"]
-    # The columns get numbers, so no name of the input can clash.
+    # The columns get numbers, so no name of the input can clash; the text travels once.
+    place = {c: f"_k{i}" for i, c in enumerate(columns) if c != text}
     rows = docs.select(
-        *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(columns)],
+        *[F.col(f"`{c}`").alias(p) for c, p in place.items()],
         F.xxhash64(body).alias("row_key"),
         F.col(doc_id).cast("bigint").alias("row_id"),
         body.alias("_text"),
@@ -482,10 +483,10 @@ def replace_pii(docs: DataFrame, key: bytes, doc_id: str = "doc_id", text: str =
     joined = rows.join(
         changes, F.col("row_id").eqNullSafe(F.col("pii_id")) & (F.col("row_key") == F.col("pii_key")), "left"
     )
-    shaped = joined.select(*[f"_k{i}" for i in range(len(columns))], "_text", "_changes")
+    shaped = joined.select(*place.values(), "_text", "_changes")
     done = shaped.mapInArrow(_rewrite, shaped.schema)
     empty = F.array().cast("array<struct<start:bigint,stop:bigint,kind:string,surrogate:string>>")
     return done.select(
-        *[F.col("_text" if c == text else f"_k{i}").alias(c) for i, c in enumerate(columns)],
+        *[F.col(place.get(c, "_text")).alias(c) for c in columns],
         F.coalesce("_changes", empty).alias("pii_changes"),
     )
