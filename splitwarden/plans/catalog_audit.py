@@ -523,6 +523,19 @@ def audit_gate(spark, sf):
     return A.audit_gate(summary(spark, sf))
 
 
+@query(
+    "audit_gate_waived",
+    f"""WITH RECURSIVE {chain(NEAR_LINKS_SQL)}, {MANIFEST_SQL}, {XG_SQL},
+rv AS (SELECT * FROM reviewed), {SUMMARY_SQL},
+why(counter, reason) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in A.BLOCKERS.items())})
+SELECT counter, CAST(value AS DECIMAL(38, 0)) AS value, reason FROM sm JOIN why USING (counter)
+WHERE value > 0 AND counter <> 'unresolved_near_duplicate_pairs'""",
+)
+def audit_gate_waived(spark, sf):
+    """The gate when pairs without a decision are accepted."""
+    return A.audit_gate(summary(spark, sf), allow_unreviewed=True)
+
+
 @query(
     "auto_audit_summary",
     f"""WITH RECURSIVE {chain(AUTO_LINKS_SQL)}, {MANIFEST_SQL}, {XG_SQL},
