@@ -263,3 +263,24 @@ def test_number_rows_and_prefix_sums(spark):
     for r in sorted(sums, key=lambda r: (r["g"], r["k"])):
         running[r["g"]] = running.get(r["g"], 0) + r["v"]
         assert r["run"] == running[r["g"]] and r["whole"] == whole[r["g"]]
+
+
+def joined(df):
+    """Whether the plan of a query has a join."""
+    return "Join" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hash_pairs_of_a_wide_threshold_are_compared_in_blocks(spark):
+    """12 of 56 bits: masks of four bits part nothing, so candidates must not become rows."""
+    rnd = random.Random(12)
+    centres = [rnd.getrandbits(56) for _ in range(40)]
+    values = sorted({rnd.choice(centres) ^ sum(1 << rnd.randrange(56) for _ in range(rnd.randrange(9))) for _ in range(1500)})
+    values = [v & (1 << 56) - 1 for v in values]
+    hashes = spark.createDataFrame([(v,) for v in values], "dhash bigint")
+    want = sorted({
+        (min(a, b), max(a, b), (a ^ b).bit_count()) for i, a in enumerate(values) for b in values[i + 1 :] if 0 < (a ^ b).bit_count() <= 12
+    })
+    for limit in (100, 8000):
+        found = NE.near_hash_pairs(hashes, 12, bucket_limit=limit, bits=56)
+        assert sorted(map(tuple, found.collect())) == want
+    assert not joined(found)  # all hashes are one portion here
