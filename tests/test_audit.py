@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from splitwarden.operators import components as CC
 from splitwarden.operators import exact as EX
+from splitwarden.operators import fingerprint as FP
 from splitwarden.operators import near as NE
 from splitwarden.operators import scale
 from splitwarden.plans.audit_job import run_audit
@@ -284,3 +285,21 @@ def test_hash_pairs_of_a_wide_threshold_are_compared_in_blocks(spark):
         found = NE.near_hash_pairs(hashes, 12, bucket_limit=limit, bits=56)
         assert sorted(map(tuple, found.collect())) == want
     assert not joined(found)  # all hashes are one portion here
+
+
+def test_fingerprints_count_tokens_where_they_are_read(spark):
+    """The same hashes as from the counts of ``text_cells``, without a row per token."""
+    rnd = random.Random(9)
+    words = ["Straße", "l’été", "x-y", "A1", "ß", "çà", "wort", "Ελλάς", "日本", "42"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.randrange(40)))) for i in range(120)]
+    rows += [(200, None), (201, ""), (202, "?! --"), (203, "a b c"), (203, "c d e f"), (None, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = FP.text_fingerprint(docs)
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    cells = {}
+    for r in FP.text_cells(docs).collect():
+        cells.setdefault(r["doc_id"], [0] * 72)[r["cell"]] = r["n"]
+    def dhash(g):
+        return signed(int("".join(str(int(g[r * 9 + c + 1] > g[r * 9 + c])) for r in range(8) for c in range(8)), 2))
+    want = [(i, dhash(cells[i]) if i in cells and i is not None else None) for i, _ in rows]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
