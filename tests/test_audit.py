@@ -303,3 +303,28 @@ def test_fingerprints_count_tokens_where_they_are_read(spark):
         return signed(int("".join(str(int(g[r * 9 + c + 1] > g[r * 9 + c])) for r in range(8) for c in range(8)), 2))
     want = [(i, dhash(cells[i]) if i in cells and i is not None else None) for i, _ in rows]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+@pytest.fixture
+def near_texts(spark, tmp_path):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    base = [rnd.choices(words, k=50) for _ in range(4)]
+    texts = [" ".join(b[:-1] + [f"w{i}"]) for b in base for i in range(6)]
+    rows = [(i, t, ["de", "en"][i % 2], "s", len(t)) for i, t in enumerate(texts)]
+    path = str(tmp_path / "sf")
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def test_review_files_are_of_bounded_size(spark, near_texts, tmp_path, monkeypatch):
+    from splitwarden.plans import catalog_audit as CA
+
+    monkeypatch.setattr(CA, "REVIEW_FILE_ROWS", 5)
+    monkeypatch.setattr(CA, "scratch_path", lambda spark, label: str(tmp_path / label))
+    found = CA.QUERIES["review_csv_files"](spark, near_texts).count()
+    assert found == CA.X.near_pairs(spark, near_texts).count() > 10
+    for part in (1, 2):
+        files = list((tmp_path / "review-files" / f"round={part}").glob("*.csv"))
+        assert len(files) > 3
+        assert max(len(f.read_text().split("twice" if part == 2 else "first round")) for f in files) <= 20
