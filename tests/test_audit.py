@@ -328,3 +328,11 @@ def test_review_files_are_of_bounded_size(spark, near_texts, tmp_path, monkeypat
         files = list((tmp_path / "review-files" / f"round={part}").glob("*.csv"))
         assert len(files) > 3
         assert max(len(f.read_text().split("twice" if part == 2 else "first round")) for f in files) <= 20
+
+
+def test_the_review_is_applied_once_for_links_and_counters(spark, near_texts):
+    from splitwarden.plans import fixtures as X
+
+    first = X.reviewed_pairs(spark, near_texts)
+    assert X.reviewed_pairs(spark, near_texts) is first
+    assert first.scratch_path and first.filter("decision <> ''").count() > 0
