@@ -167,6 +167,17 @@ def test_decisions_hold_for_all_copies(spark):
         assert len(groups) == (1 if expected[0] == "yes" else 4)
 
 
+def test_pairs_carry_only_what_is_read_of_them(spark):
+    df = make_records(spark, [(0, "a", "s", 1), (0, "b", "s", 1), (0, "c", "t", 3)])
+    listed = NE.near_duplicates(df, 4)
+    plan = listed.select("row_1", "row_2", "n_1", "n_2")._jdf.queryExecution().optimizedPlan().toString()
+    # Contents go by numbers; no struct keeps their paths and digests in the joins.
+    assert "struct(" not in plan and "sha256_a" not in plan and "path_a" not in plan
+    narrow = listed.drop("path_1", "path_2", "sha256_1", "sha256_2")
+    members = NE.near_members(df, narrow).select("row_no", "representative", "copies", "n_links")
+    assert sorted(map(tuple, members.collect())) == [(1, "c0/a", 2, 1), (2, "c0/a", 2, 1), (3, "c0/c", 1, 2)]
+
+
 def test_the_list_grows_with_contents_not_with_copies(spark):
     rows = [(0, f"{i:04d}", f"s{i % 3}", [1, 3, 7][i % 3]) for i in range(900)]
     df = make_records(spark, rows)
