@@ -178,6 +178,22 @@ def test_pairs_carry_only_what_is_read_of_them(spark):
     assert sorted(map(tuple, members.collect())) == [(1, "c0/a", 2, 1), (2, "c0/a", 2, 1), (3, "c0/c", 1, 2)]
 
 
+def test_links_and_decisions_need_no_paths_or_digests_in_the_list(spark):
+    far = 0x1F << 40
+    # Content s stands under two hashes, each with a near content of its own.
+    rows = [(0, "a", "s", 1), (0, "b", "s", 1), (0, "c", "t", 3), (0, "d", "s", far), (0, "e", "u", far | 1)]
+    df = make_records(spark, rows)
+    wide = NE.near_duplicates(df, 4)
+    narrow = wide.drop("path_1", "path_2", "sha256_1", "sha256_2")
+    # The decision names s by its other hash; it holds for the whole content.
+    schema = "relative_path_1 string, relative_path_2 string, decision string, notes string"
+    review = spark.createDataFrame([("c0/d", "c0/c", "yes", "seen")], schema)
+    found = NE.apply_review(narrow, review, df)
+    decided = {(r["row_1"], r["row_2"]): (r["decision"], r["notes"]) for r in found.collect()}
+    assert decided == {(1, 3): ("yes", "seen"), (4, 5): ("", "")}
+    assert sorted(map(tuple, NE.confirmed_edges(found, df).collect())) == [(2, 1), (3, 1), (4, 1)]
+
+
 def test_the_list_grows_with_contents_not_with_copies(spark):
     rows = [(0, f"{i:04d}", f"s{i % 3}", [1, 3, 7][i % 3]) for i in range(900)]
     df = make_records(spark, rows)
