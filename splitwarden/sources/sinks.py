@@ -80,6 +80,16 @@ def materialize_split(df: DataFrame, path: str, mode: str = "overwrite") -> None
     split_destinations(df).hint("rebalance", "split", "class_name").write.mode(mode).partitionBy("split", "class_name").parquet(path)
 
 
+def write_labeled_files(df: DataFrame, root: str, label: str, name: str = "rows.parquet") -> None:
+    """Write the rows of each label as one Parquet file in parts: ``label``=<value>/file=``name``/.
+
+    Rows are rebalanced first, so a part has about the session's advisory partition size, however
+    many rows one label has.
+    """
+    named = df.withColumn("file", F.lit(name))
+    named.hint("rebalance", label).write.partitionBy(label, "file").parquet(root)
+
+
 def prediction_records(df: DataFrame, class_names: Sequence[str]) -> DataFrame:
     """Record per prediction: class, both confidences, all probabilities as a map.
 

@@ -61,6 +61,59 @@ def test_scan_probe_inventory(spark, image_root):
         FI.scan_labeled_files(spark, str(image_root), TB.class_dictionary(spark, ["leaf", "fern"]))
 
 
+def test_labeled_files_in_parts(spark, tmp_path):
+    """A label's file is written by several tasks when it is large, holds all rows and counts once."""
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.when(F.col("id") % 100 == 0, "fr").otherwise("en").alias("lang"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    try:
+        SK.write_labeled_files(rows, str(tmp_path / "out"), "lang")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advised)
+    names = TB.class_dictionary(spark, ["lang=en", "lang=fr"])
+    parts = FI.scan_labeled_files(spark, str(tmp_path / "out"), names, (".parquet",))
+    counted = parts.groupBy("class_name").agg(
+        F.count("*").alias("parts"), F.count_distinct(FI.file_of_part(F.col("relative_path"), (".parquet",))).alias("files")
+    )
+    got = {r["class_name"]: r for r in counted.collect()}
+    assert {k: r["files"] for k, r in got.items()} == {"lang=en": 1, "lang=fr": 1}
+    assert got["lang=en"]["parts"] >= 5
+    back = spark.read.parquet(str(tmp_path / "out")).select("lang", "text")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_file_of_part(spark):
+    paths = ["leaf/a.PNG", "leaf/in/b.png", "x.png/in/c.jpg", "leaf/set.png/p/1.png", "leaf/.png/d.png", "leaf/a.png.d/e.jpg"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r[0] for r in df.select(FI.file_of_part(F.col("p"))).collect()] == [
+        "leaf/a.PNG", "leaf/in/b.png", "x.png/in/c.jpg", "leaf/set.png", "leaf/.png/d.png", "leaf/a.png.d/e.jpg",
+    ]
+
+
+def test_scan_query_reads_no_language_in_one_task(spark, tmp_path, monkeypatch):
+    """No part of a language that has most of the documents is larger than the session advises."""
+    from splitwarden.plans import catalog_audit
+
+    rows = spark.range(0, 20_000, 1, 8).select(
+        F.when(F.col("id") % 100 == 0, "fr").otherwise("en").alias("lang"),
+        F.sha2(F.col("id").cast("string"), 256).alias("text"),
+    )
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    advised = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "100k")
+    monkeypatch.setattr(catalog_audit, "scratch_path", lambda _, label: str(tmp_path / "kept" / label))
+    try:
+        got = catalog_audit.QUERIES["scan_labeled_files"](spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advised)
+    assert sorted(map(tuple, got)) == [("lang=en", 1, True), ("lang=fr", 1, True)]
+    parts = list((tmp_path / "kept").glob("labeled-files/lang=en/**/*.parquet"))
+    assert len([p for p in parts if p.is_file()]) >= 5
+
+
 def test_pixel_jobs(spark, image_root):
     images = (
         spark.read.format("image").option("dropInvalid", True)
