@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,48 @@ def test_pairs_totals_and_groups_equal_brute_force(spark, monkeypatch, seed, flo
     assert {r["row_no"]: r["component"] for r in found} == label
 
 
+@pytest.mark.parametrize("limit,levels", [(8000, 4), (40, 1), (15, 2)])
+def test_links_of_near_hashes_grow_with_the_hashes(spark, limit, levels):
+    """All hashes are near one another: links are a forest of each bucket, sums count every pair."""
+    rnd = random.Random(limit)
+    rows = []
+    for i in range(150):
+        h = rnd.getrandbits(64) & 3 << 60 | (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64))
+        rows += [(rnd.randrange(3), f"{i}_{k}", f"s{i}", h) for k in range(rnd.randint(1, 3))]
+    df = make_records(spark, rows)
+    df = df.withColumn("class_index", F.when(F.col("class_index") < 2, F.col("class_index")))  # class 2 is missing
+    recs = df.collect()
+    near = [
+        (a, b, d) for i, a in enumerate(recs) for b in recs[i + 1 :]
+        if 0 < (d := ((a["dhash"] ^ b["dhash"]) & (1 << 64) - 1).bit_count()) <= 4
+    ]
+    known = [(a, b, d) for a, b, d in near if a["class_index"] is not None and a["class_index"] == b["class_index"]]
+    links = NE.near_hash_links(df, 4, bucket_limit=limit, max_levels=levels)
+    nodes = {(r["class_index"], r["dhash"]) for r in recs}
+    if limit == 8000:
+        assert links.filter("src IS NOT NULL").count() <= 5 * len(nodes) < len(known)
+        assert NE.auto_edges(df, 4).filter("src <> dst").count() <= 5 * len(nodes) + len(recs)
+    totals = {r[0]: (int(r[1]), int(r[2])) for r in NE.near_pair_totals(df, 4, links).filter("dhash_distance > 0").collect()}
+    want = {}
+    for pairs, k in ((near, 0), (known, 1)):
+        for _, _, d in pairs:
+            want.setdefault(d, [0, 0])[k] += 1
+    assert totals == {d: (n, n - same) for d, (n, same) in want.items()}
+    first = {}
+    for r in sorted(recs, key=lambda r: r["row_no"]):
+        first.setdefault((r["class_index"], r["dhash"]), r["row_no"])
+    ids = list(first.values())
+    hub = lambda r: first[r["class_index"], r["dhash"]]
+    label = closure(ids, [(hub(a), hub(b)) for a, b, _ in known])
+    made = [(r["src"], r["dst"]) for r in links.filter("src IS NOT NULL").collect()]
+    assert closure(ids, made) == label and {x for e in made for x in e} == {hub(r) for a, b, _ in known for r in (a, b)}
+
+
+def test_products_of_counts_are_summed_exactly():
+    a, b = np.array([4_000_000_000, 7]), np.array([4_000_000_000, 6])
+    assert NE._total(a, b) == 16 * 10**18 + 42 and NE._total(a[1:], b[1:]) == 42 and NE._total(a[:0], b[:0]) == 0
+
+
 def test_one_full_bucket_is_many_tasks(spark, monkeypatch):
     """All hashes agree on the first blocks, so every level keeps them together."""
     rnd = random.Random(6)
