@@ -61,6 +61,15 @@ def test_scan_probe_inventory(spark, image_root):
         FI.scan_labeled_files(spark, str(image_root), TB.class_dictionary(spark, ["leaf", "fern"]))
 
 
+def test_scan_of_a_root_with_a_scheme(spark, image_root):
+    names = TB.class_dictionary(spark, ["leaf", "rust"])
+    for root in (f"file://{image_root}", f"file:{image_root}/"):
+        files = FI.scan_labeled_files(spark, root, names)
+        assert sorted(r[0] for r in files.select("relative_path").collect()) == [
+            "leaf/a.PNG", "rust/broken.jpg", "rust/in/b.png",
+        ]
+
+
 def test_labeled_files_in_parts(spark, tmp_path):
     """A label's file is written by several tasks when it is large, holds all rows and counts once."""
     rows = spark.range(0, 20_000, 1, 8).select(
