@@ -406,3 +406,16 @@ def test_the_review_is_applied_once_for_links_and_counters(spark, near_texts):
     first = X.reviewed_pairs(spark, near_texts)
     assert X.reviewed_pairs(spark, near_texts) is first
     assert first.scratch_path and first.filter("decision <> ''").count() > 0
+
+
+def test_review_files_go_when_they_are_read(spark, near_texts, tmp_path, monkeypatch):
+    from splitwarden.plans import catalog_audit as CA
+
+    whole = sorted(map(tuple, CA.QUERIES["review_csv_files"](spark, near_texts).collect()))
+    monkeypatch.setattr(CA, "REVIEW_ROWS", 10, raising=False)
+    monkeypatch.setattr(CA, "scratch_path", lambda spark, label: str(tmp_path / label))
+    found = CA.QUERIES["review_csv_files"](spark, near_texts)
+    assert sorted(map(tuple, found.collect())) == whole and len(whole) > 10
+    assert not list(tmp_path.rglob("round=*"))
+    # The numbers of the documents come with the list.
+    assert not joined(CA.X.review_rows(spark, near_texts))
