@@ -419,3 +419,20 @@ def test_review_files_go_when_they_are_read(spark, near_texts, tmp_path, monkeyp
     assert not list(tmp_path.rglob("round=*"))
     # The numbers of the documents come with the list.
     assert not joined(CA.X.review_rows(spark, near_texts))
+
+
+@pytest.mark.parametrize("seed, floor", [(4, 100_000), (5, 3)])
+def test_the_whole_list_names_every_pair_of_records(spark, monkeypatch, seed, floor):
+    monkeypatch.setattr(scale, "TARGET_ROWS", floor)
+    df = make_records(spark, random_rows(seed)).cache()
+    recs = sorted((r.asDict() for r in df.collect()), key=lambda r: r["row_no"])
+    path = {r["row_no"]: r["relative_path"] for r in recs}
+    want = reference_pairs(recs, 4)
+    cells = NE.near_duplicates(df, 4, carried=["width"]).cache()
+    found = NE.record_pairs(cells, df, carried=["width"]).collect()
+    assert cells.count() < len(want) and {r["width_1"] for r in found} == {1}
+    got = [(r["row_1"], r["row_2"], r["dhash_distance"], r["cross_class_candidate"]) for r in found]
+    assert sorted(got) == sorted(want)
+    for r in found:
+        assert (r["relative_path_1"], r["relative_path_2"]) == (path[r["row_1"]], path[r["row_2"]])
+        assert (r["class_1"], r["class_2"]) == tuple(path[r[c]].split("/")[0] for c in ("row_1", "row_2"))
