@@ -436,3 +436,16 @@ def test_the_whole_list_names_every_pair_of_records(spark, monkeypatch, seed, fl
     for r in found:
         assert (r["relative_path_1"], r["relative_path_2"]) == (path[r["row_1"]], path[r["row_2"]])
         assert (r["class_1"], r["class_2"]) == tuple(path[r[c]].split("/")[0] for c in ("row_1", "row_2"))
+
+
+def test_a_decision_holds_for_the_two_records_it_names(spark):
+    df = make_records(spark, [(0, "a", "s", 1), (0, "b", "s", 1), (0, "c", "t", 3), (0, "d", "t", 3)])
+    schema = "relative_path_1 string, relative_path_2 string, decision string, notes string"
+    review = spark.createDataFrame([("c0/d", "c0/b", "yes", "seen"), ("c0/a", "c0/c", "n", None)], schema)
+    found = NE.apply_review(NE.record_pairs(NE.near_duplicates(df, 4).cache(), df), review).cache()
+    decided = {(r["row_1"], r["row_2"]): (r["decision"], r["notes"]) for r in found.collect()}
+    assert decided == {(1, 3): ("no", ""), (2, 4): ("yes", "seen"), (1, 4): ("", ""), (2, 3): ("", "")}
+    assert [tuple(r) for r in NE.confirmed_edges(found).collect()] == [(4, 2)]
+    done = run_audit(df, class_dictionary(spark, ["c0"]), 4, review=review, auto=False)
+    counts = {r["counter"]: int(r["value"]) for r in done.summary.collect()}
+    assert [counts[f"{k}_near_duplicate_pairs"] for k in ("confirmed", "rejected", "unresolved")] == [1, 1, 2]
