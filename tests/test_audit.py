@@ -449,3 +449,45 @@ def test_a_decision_holds_for_the_two_records_it_names(spark):
     done = run_audit(df, class_dictionary(spark, ["c0"]), 4, review=review, auto=False)
     counts = {r["counter"]: int(r["value"]) for r in done.summary.collect()}
     assert [counts[f"{k}_near_duplicate_pairs"] for k in ("confirmed", "rejected", "unresolved")] == [1, 1, 2]
+
+
+def test_audit_queries_work_on_every_pair_of_records(spark, near_texts, tmp_path):
+    from splitwarden.plans import catalog_audit as CA
+
+    docs = spark.read.parquet(f"{near_texts}/documents.parquet")
+    copies = docs.withColumn("doc_id", F.col("doc_id") * 7 + 101).filter("doc_id % 2 = 0")
+    sf = str(tmp_path / "copies")
+    docs.union(copies).write.parquet(f"{sf}/documents.parquet")
+    recs = sorted((r.asDict() for r in CA.X.records(spark, sf).collect()), key=lambda r: r["row_no"])
+    by_row = {r["row_no"]: r for r in recs}
+    want, links = {}, exact_links(recs)
+    for x, y, d, cross in reference_pairs(recs, 4):
+        a, b = by_row[x], by_row[y]
+        decision = ("yes", "no", "")[(a["doc_id"] + b["doc_id"]) % 3]
+        want[a["relative_path"], b["relative_path"]] = (d, cross, decision)
+        if decision == "yes" and not cross:
+            links.append((x, y))
+    rows = lambda name: CA.QUERIES[name](spark, sf).collect()
+    ends = lambda r: (r["relative_path_1"], r["relative_path_2"])
+    assert len(want) > CA.X.near_pairs(spark, sf).count()
+    listed = rows("near_duplicates")
+    assert len(listed) == len(want) and {ends(r): (r["dhash_distance"], r["cross_class_candidate"]) for r in listed} == {k: v[:2] for k, v in want.items()}
+    assert {ends(r): r["decision"] for r in rows("apply_review")} == {k: v[2] for k, v in want.items()}
+    assert {ends(r): r["decision"] for r in rows("auto_group")} == {k: v[2] or ("" if v[1] else "yes") for k, v in want.items()}
+    low = {tuple(sorted(k)): v for k, v in want.items()}
+    assert {ends(r): r["decision"] for r in rows("review_read")} == {k: v[2] for k, v in low.items()}
+    assert {ends(r): r["cross_class_candidate"] for r in rows("confirmed_edges")} == {k: v[1] for k, v in low.items() if v[2] == "yes"}
+    label = closure(list(by_row), links)
+    assert {r["row_no"]: r["component"] for r in rows("duplicate_components")} == label
+    groups = {}
+    for r in rows("group_manifest"):
+        groups.setdefault(r["group_id"], set()).add(r["relative_path"])
+    parts = {}
+    for row, part in label.items():
+        parts.setdefault(part, set()).add(by_row[row]["relative_path"])
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, parts.values()))
+    counts = {r["counter"]: int(r["value"]) for r in rows("audit_summary")}
+    for name, decision in (("confirmed", "yes"), ("rejected", "no"), ("unresolved", "")):
+        assert counts[f"{name}_near_duplicate_pairs"] == sum(v[2] == decision for v in want.values())
+    open_ = {r["counter"]: int(r["value"]) for r in rows("audit_gate")}
+    assert open_["unresolved_near_duplicate_pairs"] == counts["unresolved_near_duplicate_pairs"]
